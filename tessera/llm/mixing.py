@@ -26,8 +26,9 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
     The targets share the sum of all sizes by weight, none above ``max_epochs`` times its size;
     what a capped source can't take is shared by weight among the rest, until none is above. In
-    order of cap / weight the capped sources are a prefix, so the level of the water is found
-    from running sums. A source without words has target 0, and weights must be positive.
+    order of cap / weight the capped sources are a prefix. With the first k capped, the level that the
+    rest would reach rises with k while they must be capped and falls thereafter, so the level
+    of the water is the highest of these. A source without words has target 0, and weights must be positive.
     """
     cap, ratio = F.col("source_size") * F.lit(float(max_epochs)), F.col("source_size") / F.col("weight")
     everything = W.partitionBy()
@@ -35,12 +36,11 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     after = ordered.rowsBetween(W.currentRow, W.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
     return (
         sources.withColumns({"cap": cap, "ratio": ratio})
         .withColumn("level", level)
-        .withColumn("water", F.min(fits).over(everything))
-        .withColumn("target", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), F.coalesce("water", F.lit(float("inf"))) * F.col("weight"))))
+        .withColumn("water", F.max("level").over(everything))
+        .withColumn("target", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight"))))
         .select("source", "source_size", "weight", "target")
     )
 
