@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, hnsw, jaccard, mixing, suffix, toxicity, warc
+from tessera.llm import decontaminate, hnsw, jaccard, lm, mixing, suffix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op7_embedding_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_copies(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
