@@ -101,8 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int
     """
     marks = labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    # At most ``max_labelled`` rows of three numbers, so they can be shipped to the texts.
     chosen = marks.withColumn("rank", F.xxhash64("doc_id", F.lit(17))).orderBy("rank", "doc_id").limit(max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").withColumn("shard", F.pmod("rank", F.lit(shards)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod("rank", F.lit(shards)))
     parts = rows.groupBy("shard").applyInArrow(_train(bits, epochs, options), "slot long, weight double")
     found = parts.groupBy("slot").agg(F.sum("weight").alias("weight")).toArrow()  # 2 ** bits + 1 rows at most
     weights = np.zeros((1 << bits) + 1)
