@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, mixing, toxicity
+from tessera.llm import decontaminate, jaccard, mixing, suffix, toxicity
+from tessera.llm._graph import shared_folder
 
 
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from ``labels`` of the documents it is given."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links at 0.8 on shingles of five words."""
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group that links at 0.8 on shingles of five words."""
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 100 bytes or more that also start earlier."""
+    return suffix.remove_repeats(docs, length=100)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within a tenth of its length in edits."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed table: a row for each repetition of a document."""
     return mixing.sample(docs)
 
 
-STAGES = [("toxicity", toxic), ("jaccard_join", near_copies), ("mixing", mixture)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("jaccard_join", one_of_near_copies),
+    ("suffix_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("mixing", mixture),
+]
 
+#: No SQL expresses a trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

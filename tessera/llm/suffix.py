@@ -406,3 +406,41 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = docs.mapInArrow(_pack_texts(parts, ("_id", "doc_id", "text")), SCHEMA)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<array<long>>"
     return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_merge(length, make), schema)
+
+
+def _whole_characters(data: np.ndarray, cut: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spans shrunk to whole characters of UTF-8; those without any go."""
+    start, stop = cut[0].copy(), cut[1].copy()
+    padded = np.append(data, np.uint8(0))
+    for _ in range(3):
+        start += (padded[start] & 0xC0) == 0x80
+        stop -= (padded[stop] & 0xC0) == 0x80
+    real = start < stop
+    return start[real], stop[real]
+
+
+def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of ``text``, and ``n_chars``, if there is one, counted anew.
+
+    Cuts as :func:`repeated_bytes` finds them, shrunk to whole characters, so the rest is text. All
+    rows and columns stay; a text that is a repeat throughout becomes empty, and a null stays null.
+    """
+    columns = docs.columns
+    row = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans, row, parts = _spans(row, length)
+
+    def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, cuts: list) -> pa.Table:
+        texts = []
+        for k, cut in enumerate(cuts):
+            own = data[offsets[k] : offsets[k + 1]]
+            texts.append(_kept(own, cut and _whole_characters(own, cut)).decode("utf-8", "replace") if batch.column("text")[k].is_valid else None)
+        out = dict(zip(columns, batch.column("row").flatten(), strict=True))
+        out["text"] = pa.array(texts, pa.string())
+        if "n_chars" in out:
+            changed = [len(t) if c is not None and t is not None else n.as_py() for t, c, n in zip(texts, cuts, out["n_chars"], strict=True)]
+            out["n_chars"] = pa.array(changed, out["n_chars"].type)
+        return pa.table(out)
+
+    packed = row.mapInArrow(_pack_texts(parts, ("row", "doc_id", "text")), SCHEMA)
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    return packed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_merge(length, make), schema)
