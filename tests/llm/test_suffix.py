@@ -58,8 +58,9 @@ def test_empty_table(spark):
 
 
 def test_remove_repeats_cuts_whole_characters(spark):
-    passage = "é" * 60
-    rows = [(1, "x" + passage + "y", "a", 62), (2, "q" + passage + "z", "b", 62), (3, None, "c", 0), (4, "short", None, 9)]
+    passage = "".join(f"é{k}" for k in range(40)) + "é"
+    size = len(passage) + 2
+    rows = [(1, "x" + passage + "y", "a", size), (2, "q" + passage + "z", "b", size), (3, None, "c", 0), (4, "short", None, 9)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     found = sorted(map(tuple, suffix.remove_repeats(frame, 100).collect()))
     assert found == [rows[0], (2, "qz", "b", 2), rows[2], rows[3]]
