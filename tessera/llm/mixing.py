@@ -1,7 +1,7 @@
 """Mixing sources to target weights: capped water-filling and seeded whole and fractional epochs.
 
 DataFrame and SQL functions only. The plan of the mix needs one small aggregate, words by source
-and by one of ``BUCKETS`` hash buckets, whatever the number of documents; each document is then
+and by one of 16**3 hash buckets, whatever the number of documents; each document is then
 decided by an equi-join on its source. No ordering of a source's documents is needed.
 """
 
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Hash buckets of a source from which the fractional repetition takes a prefix.
-BUCKETS = 4096
+#: Hex digits of a hash that name the bucket of a document; a prefix of a source's 16**3 buckets makes its fraction.
+DIGITS = 3
 MAX_EPOCHS = 3
 
 
@@ -57,10 +57,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int
     size 0; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats")]
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     sized = docs.select(
         *kept,
         word_count(F.col("text")).alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(BUCKETS)).cast("int").alias("_bucket"),
+        F.conv(F.substring(F.md5(key), 1, DIGITS), 16, 10).cast("int").alias("_bucket"),
         F.col("source").isNull().alias("_none"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
     )
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int
         buckets.withColumn("upto", F.sum("words").over(along))
         .join(targets, ["_none", "_source"])
         .groupBy("_none", "_source")
-        .agg(F.max(F.when((F.col("upto") - F.col("words") / 2 <= F.col("rest")) & (F.col("whole") < max_epochs), F.col("_bucket"))).alias("cut"))
+        .agg(F.max(F.when((F.col("upto") - F.col("words") / 2 <= F.col("rest")) & (F.col("rest") > 0) & (F.col("whole") < max_epochs), F.col("_bucket"))).alias("cut"))
     )
     plan = targets.join(cuts, ["_none", "_source"]).select("_none", "_source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
     repeats = F.col("whole") + F.when(F.col("_bucket") <= F.col("cut"), 1).otherwise(0)
