@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,6 +207,13 @@ class Matrix:
         kept = self.X.base.repartition(by).sortWithinPartitions(by).persist()
         return self.with_layer("X", replace(self.X, base=kept))
 
+    def persisted(self) -> Matrix:
+        """Keeps the base of the main layer in memory and on disk, for operators that pass over it several times.
+
+        Equal bases share what is kept; lost blocks are computed again.
+        """
+        return self.with_layer("X", replace(self.X, base=self.X.base.persist(StorageLevel.MEMORY_AND_DISK)))
+
     def unique_names(self, axis: str = "obs") -> Matrix:
         """The k-th repeat of a name gets the suffix -k. Raises ValueError if the result repeats a name."""
         frame, key, name = getattr(self, axis), f"{axis}_id", f"{axis}_name"

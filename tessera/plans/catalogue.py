@@ -102,7 +102,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def normalised(spark: SparkSession, d: str) -> Matrix:
-    return transforms.log1p(transforms.normalize_total(counts(spark, d)))
+    return transforms.log1p(transforms.normalize_total(counts(spark, d).persisted()))
 
 
 # Reductions
@@ -140,23 +140,23 @@ def axis_mean_obs(spark, d):
 @query(""", g AS (SELECT obs_id, var_id, coalesce(value, 0.0) AS value FROM obs CROSS JOIN var LEFT JOIN x USING (obs_id, var_id))
 SELECT obs_id, round(var_pop(value), 6) + 0.0 AS variance FROM g GROUP BY 1""")
 def axis_var_obs_ddof0(spark, d):
-    return _rounded(stats.axis_var(counts(spark, d), 1).select("obs_id", "variance"), "variance")
+    return _rounded(stats.axis_var(counts(spark, d).persisted(), 1).select("obs_id", "variance"), "variance")
 
 
 @query(""", g AS (SELECT obs_id, var_id, coalesce(value, 0.0) AS value FROM obs CROSS JOIN var LEFT JOIN x USING (obs_id, var_id))
 SELECT var_id, round(var_pop(value), 6) + 0.0 AS variance FROM g GROUP BY 1""")
 def axis_var_var_ddof0(spark, d):
-    return _rounded(stats.axis_var(counts(spark, d), 0).select("var_id", "variance"), "variance")
+    return _rounded(stats.axis_var(counts(spark, d).persisted(), 0).select("var_id", "variance"), "variance")
 
 
 @query("SELECT obs_id, obs_name, total AS \"nUMIs\", k AS detected_genes FROM rs JOIN obs USING (obs_id)")
 def qc_obs(spark, d):
-    return stats.qc_metrics(counts(spark, d)).obs.select("obs_id", "obs_name", "nUMIs", "detected_genes")
+    return stats.qc_metrics(counts(spark, d).persisted()).obs.select("obs_id", "obs_name", "nUMIs", "detected_genes")
 
 
 @query("SELECT var_id, var_name, k AS n_cells FROM cs JOIN var USING (var_id)")
 def qc_var(spark, d):
-    return stats.qc_metrics(counts(spark, d)).var.select("var_id", "var_name", "n_cells")
+    return stats.qc_metrics(counts(spark, d).persisted()).var.select("var_id", "var_name", "n_cells")
 
 
 @query("""SELECT obs_id, round(CASE WHEN coalesce(sum(value), 0) = 0 THEN 0.0 ELSE sum(CASE WHEN brand LIKE '%1' THEN value ELSE 0.0 END) / sum(value) END, 6) + 0.0 AS fraction
@@ -266,12 +266,12 @@ def assigned_rectangle(spark, d):
 
 @query(f", {_NORM} SELECT obs_id, total, round(factor, 6) + 0.0 AS factor FROM f")
 def norm_factors_median(spark, d):
-    return _rounded(transforms.norm_factors(counts(spark, d)), "factor")
+    return _rounded(transforms.norm_factors(counts(spark, d).persisted()), "factor")
 
 
 @query("SELECT obs_id, total, round(CASE WHEN total = 0 THEN 1.0 ELSE total / 7777 END, 6) + 0.0 AS factor FROM rs")
 def norm_factors_target(spark, d):
-    return _rounded(transforms.norm_factors(counts(spark, d), target_sum=7777), "factor")
+    return _rounded(transforms.norm_factors(counts(spark, d).persisted(), target_sum=7777), "factor")
 
 
 @query(""", high AS (SELECT DISTINCT var_id FROM x JOIN rs USING (obs_id) WHERE value > 0.3 * total),
@@ -279,12 +279,12 @@ r2 AS (SELECT obs_id, coalesce(sum(CASE WHEN var_id NOT IN (SELECT var_id FROM h
 t AS (SELECT median(total) AS target FROM r2 WHERE total > 0)
 SELECT obs_id, total, round(CASE WHEN total = 0 THEN 1.0 ELSE total / target END, 6) + 0.0 AS factor FROM r2, t""", base=_M2)
 def norm_exclude_high(spark, d):
-    return _rounded(transforms.norm_factors(baskets(spark, d)[:, :], exclude_highly_expressed=True, max_fraction=0.3), "factor")
+    return _rounded(transforms.norm_factors(baskets(spark, d).persisted(), exclude_highly_expressed=True, max_fraction=0.3), "factor")
 
 
 @query(f", {_NORM} SELECT obs_id, total, round(factor, 6) + 0.0 AS factor FROM f WHERE total = 0 OR obs_id % 10 = 0", base=_M2)
 def norm_zero_rows(spark, d):
-    return _rounded(transforms.norm_factors(baskets(spark, d)).where("total = 0 OR obs_id % 10 = 0"), "factor")
+    return _rounded(transforms.norm_factors(baskets(spark, d).persisted()).where("total = 0 OR obs_id % 10 = 0"), "factor")
 
 
 @query(f", {_NORM} SELECT obs_id, var_id, round(value, 6) + 0.0 AS value FROM y")
@@ -326,7 +326,7 @@ def scale_sumsq(spark, d):
 
 @query(", y AS (SELECT * FROM x), " + _MOMENTS + ", " + _SCALE + " SELECT obs.obs_id, p.var_id, round(least(0.5, (coalesce(y.value, 0.0) - mean) / std), 6) + 0.0 AS value FROM obs CROSS JOIN p LEFT JOIN y ON y.obs_id = obs.obs_id AND y.var_id = p.var_id WHERE p.var_id <= 20")
 def centered_upper_clip(spark, d):
-    m = counts(spark, d)
+    m = counts(spark, d).persisted()
     params = stats.mean_var(m).select("var_id", "mean", F.sqrt("variance").alias("std"))
     return _rounded(m.with_layer("c", transforms.centered(m.X, params, clip_high=0.5)).subset(None, F.col("var_id") <= 20).filled("c"), "value")
 
@@ -382,13 +382,13 @@ z AS (SELECT obs_id, var_id, value, greatest(-bound, least(bound, (value - mu) /
 
 @query(f", {_pearson_sql('x', 'rs')} SELECT obs_id, round(z, 6) + 0.0 AS value FROM z WHERE var_id = 13")
 def pearson_resid_column(spark, d):
-    m = transforms.pearson_residuals(counts(spark, d), name="pearson")
+    m = transforms.pearson_residuals(counts(spark, d).persisted(), name="pearson")
     return _rounded(m.obs_vector("P13", "pearson"), "value")
 
 
 @query(f", {_pearson_sql('x', 'rs')} SELECT var_id, round(var_pop(z), 6) + 0.0 AS residual_variance, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 5) + 0.0 AS variance FROM z GROUP BY 1")
 def pearson_resid_var(spark, d):
-    found = transforms.pearson_residual_variance(counts(spark, d))
+    found = transforms.pearson_residual_variance(counts(spark, d).persisted())
     return _rounded(_rounded(found, "residual_variance", "mean"), "variance", digits=5)
 
 
@@ -396,7 +396,7 @@ def pearson_resid_var(spark, d):
 SELECT var_id, round(v, 6) + 0.0 AS residual_variances, rank() OVER (ORDER BY round(v, 9) DESC) + (count(*) OVER (PARTITION BY round(v, 9)) - 1) / 2.0 AS highly_variable_rank,
 rank() OVER (ORDER BY round(v, 9) DESC) + (count(*) OVER (PARTITION BY round(v, 9)) - 1) / 2.0 <= 300 AS highly_variable FROM w""")
 def hvg_pearson(spark, d):
-    found = hvg.pearson_hvg(counts(spark, d), n_top=300)
+    found = hvg.pearson_hvg(counts(spark, d).persisted(), n_top=300)
     return _rounded(found.select("var_id", "residual_variances", "highly_variable_rank", "highly_variable"), "residual_variances")
 
 
@@ -416,7 +416,7 @@ w{b} AS (SELECT var_id, row_number() OVER (ORDER BY round(var_pop(z), 9) DESC, v
 k AS (SELECT var_id, count(*) FILTER (WHERE r < 300) AS nb, median(CASE WHEN r < 300 THEN r END) AS md FROM w GROUP BY 1)
 SELECT var_id, nb AS highly_variable_nbatches, CAST(md AS DOUBLE) AS highly_variable_rank, row_number() OVER (ORDER BY nb DESC, md ASC NULLS LAST, var_id) <= 300 AS highly_variable, nb = 3 AS highly_variable_intersection FROM k""")
 def hvg_pearson_batch(spark, d):
-    found = hvg.pearson_hvg(counts(spark, d), n_top=300, batch_key="batch")
+    found = hvg.pearson_hvg(counts(spark, d).persisted(), n_top=300, batch_key="batch")
     return found.select("var_id", "highly_variable_nbatches", F.col("highly_variable_rank").cast("double").alias("highly_variable_rank"), "highly_variable", "highly_variable_intersection")
 
 
@@ -428,14 +428,14 @@ def hvf_pegasus(spark, d):
 @query(_SEURAT + """, top AS (SELECT var_id, row_number() OVER (ORDER BY round(dn, 9) DESC NULLS LAST, var_id) <= 200 AS hv FROM h)
 SELECT var_id, hv AND k >= 27 AS selected FROM top JOIN cs USING (var_id)""")
 def scrublet_mask(spark, d):
-    return hvg.scrublet_prepare(counts(spark, d), min_cells=27, n_top=200)[1]
+    return hvg.scrublet_prepare(counts(spark, d).persisted(), min_cells=27, n_top=200)[1]
 
 
 # Regression and products
 
 @query("SELECT var_id, round(total, 4) + 0.0 AS x0, round(coalesce(sum(value * acctbal), 0.0), 2) + 0.0 AS x1 FROM cs LEFT JOIN x USING (var_id) LEFT JOIN obs USING (obs_id) GROUP BY var_id, total")
 def regress_xtx(spark, d):
-    sums = transforms.normal_equations(counts(spark, d), ["acctbal"])[1]
+    sums = transforms.normal_equations(counts(spark, d).persisted(), ["acctbal"])[1]
     return sums.select("var_id", r("x0", 4).alias("x0"), r("x1", 2).alias("x1"))
 
 
@@ -444,12 +444,12 @@ _REGRESSION = ", g AS (SELECT o.obs_id, var.var_id, coalesce(x.value, 0.0) AS va
 
 @query(_REGRESSION + " SELECT var_id, round(b0, 5) + 0.0 AS b0, round(b1, 7) + 0.0 AS b1 FROM be")
 def regress_betas(spark, d):
-    return transforms.regress_betas(counts(spark, d), ["acctbal"]).select("var_id", r("b0", 5).alias("b0"), r("b1", 7).alias("b1"))
+    return transforms.regress_betas(counts(spark, d).persisted(), ["acctbal"]).select("var_id", r("b0", 5).alias("b0"), r("b1", 7).alias("b1"))
 
 
 @query(_REGRESSION + " SELECT obs_id, round(value - b0 - b1 * acctbal, 5) + 0.0 AS value FROM g JOIN be USING (var_id) WHERE var_id = 17")
 def regress_residual_column(spark, d):
-    return _rounded(transforms.regress(counts(spark, d), ["acctbal"]).obs_vector("P17", "regressed"), "value", digits=5)
+    return _rounded(transforms.regress(counts(spark, d).persisted(), ["acctbal"]).obs_vector("P17", "regressed"), "value", digits=5)
 
 
 def _weights(frame: DataFrame, key: str) -> DataFrame:
@@ -475,7 +475,7 @@ def rmatmul(spark, d):
 
 @query("SELECT a.var_id AS i, b.var_id AS j, sum(a.value * b.value) AS value FROM x a JOIN x b USING (obs_id) WHERE a.var_id <= b.var_id GROUP BY 1, 2", base=_M2)
 def gram(spark, d):
-    return linalg.gram(baskets(spark, d))
+    return linalg.gram(baskets(spark, d).persisted())
 
 
 @query("SELECT a.var_id AS i, b.var_id AS j, round(sum(a.value * b.value), 5) + 0.0 AS value FROM x a JOIN x b USING (obs_id) WHERE a.var_id <= b.var_id AND b.var_id < 12 GROUP BY 1, 2", base=_M4)
@@ -485,14 +485,15 @@ def gram_vectors(spark, d):
 
 @query()
 def pca_embedding(spark, d):
-    m = transforms.scale(normalised(spark, d))
-    chosen = hvg.dispersion_hvg(normalised(spark, d), n_top=300).select("var_id", "highly_variable")
+    n = normalised(spark, d)
+    m = transforms.scale(n)
+    chosen = hvg.dispersion_hvg(n, n_top=300).select("var_id", "highly_variable")
     return linalg.pca(m.with_var(chosen), n_comps=10).embedding.select("obs_id", *[r(F.col("vec")[k], 4).alias(f"pc{k + 1}") for k in range(10)])
 
 
 @query()
 def pca_variance(spark, d):
-    m = vectors(spark, d)
+    m = vectors(spark, d).persisted()
     found = linalg.pca(transforms.scale(m), n_comps=10)
     rows = [(k, round(float(a), 6), round(float(b), 6)) for k, (a, b) in enumerate(zip(found.variance_ratio, found.explained_variance_ratio, strict=True))]
     return spark.createDataFrame(rows, "component int, variance_ratio double, explained_variance_ratio double")
