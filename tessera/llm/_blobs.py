@@ -32,10 +32,10 @@ def decode(block: bytes, dtypes: Sequence[str]) -> list[np.ndarray]:
 
 
 class Packer:
-    """Holds records up to ``limit`` rows, then deals them out as blocks by part."""
+    """Holds records up to ``limit`` rows, by default some hundreds a part, then deals them out as blocks by part."""
 
-    def __init__(self, parts: int, limit: int = 1 << 21):
-        self.parts, self.limit, self.held, self.rows = parts, limit, [], 0
+    def __init__(self, parts: int, limit: int = 0):
+        self.parts, self.limit, self.held, self.rows = parts, limit or max(1 << 18, parts << 9), [], 0
 
     def add(self, part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((part, *columns))

@@ -15,18 +15,20 @@ them all, so the rule is exact.
 Sets with one content are one class, named by a hash of the set. Every index entry is compared
 with the smallest class that has it; an exact lower bound of the set difference, from
 parity bitmaps, precedes verification of the texts themselves. Only entries whose classes are
-then in several components need further pairs, and of these only pairs across components.
+then in several components need further pairs, and of these only pairs across components
+that the sizes and short parity sketches still allow; the join itself drops the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._blobs import SCHEMA, Packer, gather
@@ -38,6 +40,8 @@ HOT = 16
 #: Rows up to which a list of ids is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _MAX_BITS = 1 << 15
+#: Words of 64 parity bits that the join across components compares.
+SKETCH = 8
 
 
 @dataclass(frozen=True)
@@ -125,22 +129,30 @@ def class_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
-def parity(tokens: np.ndarray) -> bytes:
+def parity(tokens: np.ndarray, bits: int = 0) -> bytes:
     """Bits that each token toggles: two bitmaps differ in no more bits than the sets in tokens."""
-    bits = min(_MAX_BITS, max(64, 1 << int(len(tokens)).bit_length()))
+    bits = bits or min(_MAX_BITS, max(64, 1 << int(len(tokens)).bit_length()))
     flags = (np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(flags).tobytes()
 
 
+def _may_link(percent: int) -> Column:
+    """Whether the sizes and sketches of x and y allow a link, as a condition of a join."""
+    apart = reduce(add, [F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH)])
+    sizes = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+    return sizes & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+
+
 def _features(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, bitmaps = [], [], []
+            sizes, names, bitmaps, sketches = [], [], [], []
             for tokens in shingle_sets(batch.column("text"), width):
                 sizes.append(len(tokens))
                 names.append(class_of(tokens) if len(tokens) else None)
                 bitmaps.append(parity(tokens) if len(tokens) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bitmaps, pa.binary())], names=["doc_id", "n", "cls", "bitmap"])
+                sketches.append(np.frombuffer(parity(tokens, 64 * SKETCH), np.int64))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "bitmap", "sketch"])
 
     return run
 
@@ -186,15 +198,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verify(width: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")])
-            keep, n, held = [], len(batch), []
-            for k, tokens in enumerate(shingle_sets(texts, width)):
-                if k < n:
-                    held.append(tokens)
-                elif linked(held[k - n], tokens, percent):
-                    keep.append(k - n)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                batch = whole.slice(a, 256)
+                first = list(shingle_sets(batch.column("text_a"), width))
+                keep = [k for k, tokens in enumerate(shingle_sets(batch.column("text_b"), width)) if linked(first[k], tokens, percent)]
+                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -250,8 +259,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = checkpoint(docs.mapInArrow(_features(width), "doc_id long, n long, cls long, bitmap binary"))
-    classes = checkpoint(features.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")))
+    features = checkpoint(docs.mapInArrow(_features(width), "doc_id long, n long, cls long, bitmap binary, sketch array<long>"))
+    classes = checkpoint(features.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("sketch").alias("sketch")))
     volume = features.agg(F.sum("n")).first()[0] or 0
     fraction = 4 * (100 - percent) / (100 + percent)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume * fraction) // 3_000_000)
@@ -272,10 +281,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     placed = kept.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     split = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("entry")
-    open_ = checkpoint(placed.join(split, "entry").where("cls <> first").select("entry", "cls", "component"))
-    x = open_.select("entry", F.col("cls").alias("a"), F.col("component").alias("ca"))
-    y = open_.select("entry", F.col("cls").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "entry").where("ca <> cb and a < b").select("a", "b").distinct()
+    open_ = checkpoint(placed.join(split, "entry").where("cls <> first").select("entry", "cls", "component").join(classes.select("cls", "n", "sketch"), "cls"))
+    across = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.cls") < F.col("y.cls"))
+    rest = open_.alias("x").join(open_.alias("y"), across & _may_link(percent)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     more = checkpoint(_links(rest, classes, docs, width, percent))
     if more.take(1):
         found = components(links.unionByName(more))
