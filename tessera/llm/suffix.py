@@ -28,7 +28,7 @@ from tessera.llm._text import chunks, mix, prefix_hash, span_hash, utf8
 
 GRAM = 20
 #: Bytes of contexts that one suffix array holds; hashes with more are split by their windows.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 2 << 20
 _DEPTH = 8
 
 
@@ -154,7 +154,7 @@ def _contexts(length: int, parts: int) -> Callable:
         packer = Packer(parts)
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
-            for row, data, offsets in chunks(batch.column("text")):
+            for row, data, offsets in chunks(batch.column("text"), 1 << 19):
                 if len(data) < length:
                     continue
                 prefix = prefix_hash(data, False)
