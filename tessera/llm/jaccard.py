@@ -152,7 +152,7 @@ def _features(width: int) -> Callable:
                 names.append(class_of(tokens) if len(tokens) else None)
                 bitmaps.append(parity(tokens) if len(tokens) else None)
                 sketches.append(np.frombuffer(parity(tokens, 64 * SKETCH), np.int64))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "bitmap", "sketch"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "id", "same", "n", "cls", "bitmap", "sketch"])
 
     return run
 
@@ -234,10 +234,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     """Those of the pairs of classes (a, b) that link: bitmaps first, then whole texts."""
     side = {s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab"}
     close = checkpoint(pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(_close(percent), "a long, b long"))
-    wanted = checkpoint(close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(classes.select("cls", "doc_id"), "cls"))
-    ids = wanted.select("cls", "doc_id")
+    wanted = checkpoint(close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(classes.select("cls", "at.id", "at.same"), "cls"))
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").groupBy("cls").agg(F.min("text").alias("text"))
+    texts = docs.select("id", "same", "text").join(F.broadcast(wanted) if few else wanted, ["id", "same"]).groupBy("cls").agg(F.min("text").alias("text"))
     return (
         close.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
@@ -259,13 +258,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = checkpoint(docs.mapInArrow(_features(width), "doc_id long, n long, cls long, bitmap binary, sketch array<long>"))
-    classes = checkpoint(features.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("sketch").alias("sketch")))
+    # A text is found again by its id and a hash, so ids that are null or stand for several texts do no harm.
+    docs = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "same": F.xxhash64("text")})
+    features = checkpoint(docs.mapInArrow(_features(width), "doc_id long, id long, same long, n long, cls long, bitmap binary, sketch array<long>"))
+    classes = checkpoint(features.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("id", "same")).alias("at"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("sketch").alias("sketch")))
     volume = features.agg(F.sum("n")).first()[0] or 0
     fraction = 4 * (100 - percent) / (100 + percent)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume * fraction) // 3_000_000)
 
-    index = docs.mapInArrow(_index(width, percent, parts), SCHEMA)
+    index = docs.select("text").mapInArrow(_index(width, percent, parts), SCHEMA)
     shared = checkpoint(index.groupBy("part").applyInArrow(_shared, "entry long, cls long, band int, empty int, classes long"))
     slack = F.element_at(F.array(*[F.lit(b.slack) for b in bands(percent)]), F.col("band") + 1)
     hot = shared.where(F.col("classes") > HOT).groupBy("cls", "band").agg(F.count("*").alias("hot"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm._blobs import SCHEMA, Packer, decode, encode, gather
@@ -30,6 +31,8 @@ GRAM = 20
 #: Bytes of contexts that one suffix array holds; hashes with more are split by their windows.
 SORT_BYTES = 2 << 20
 _DEPTH = 8
+#: The place of a null doc_id, before any that occurs.
+_NULL = -(1 << 44)
 
 
 def _eights(text: np.ndarray, beyond: int) -> np.ndarray:
@@ -201,6 +204,9 @@ def _compare_contexts(parts: int) -> Callable:
         least, whole, doc, begin, count, again = gather(table, _CONTEXT)
         order = np.lexsort((begin, doc, count, whole, least))
         least, whole, doc, begin, count, again = (x[order] for x in (least, whole, doc, begin, count, again))
+        if len(doc):  # rows alike are one document
+            other = np.concatenate(([True], (begin[1:] != begin[:-1]) | (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])))
+            least, whole, doc, begin, count, again = (x[other] for x in (least, whole, doc, begin, count, again))
         new_hash = np.concatenate(([True], least[1:] != least[:-1]))[: len(least)]
         new = (new_hash | np.concatenate(([True], (whole[1:] != whole[:-1]) | (count[1:] != count[:-1])))[: len(least)]).astype(bool)
         group = np.cumsum(new_hash) - 1
@@ -244,13 +250,16 @@ def _fetch(length: int, parts: int) -> Callable:
         doc, least, begin, count = doc[pick], least[pick], begin[pick], count[pick]
         wanted, first = np.unique(doc, return_index=True)
         stops = np.append(first[1:], len(doc))
-        out_part, out_block = [], []
+        out_part, out_block, done = [], [], np.zeros(len(wanted), dtype=bool)
         for batch in _texts(texts):
             ids = np.asarray(batch.column("doc_id"))
             data, offsets = utf8(batch.column("text"))
             where = np.searchsorted(wanted, ids)
             held: dict[int, list] = {}
             for row in np.flatnonzero((where < len(wanted)) & (wanted[np.minimum(where, max(0, len(wanted) - 1))] == ids)) if len(wanted) else ():
+                if done[where[row]]:
+                    continue
+                done[where[row]] = True
                 for k in range(first[where[row]], stops[where[row]]):
                     a = offsets[row] + begin[k]
                     held.setdefault(int((least[k] >> np.uint64(32)) % np.uint64(parts)), []).append((k, data[a : a + count[k] + length - 1]))
@@ -374,6 +383,23 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, int]:
     return found.unionByName(sorted_), docs, parts
 
 
+def _keyed(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``doc_id`` made a key that orders texts: as it is where no id has several texts.
+
+    Otherwise the texts of an id are numbered by their hash; rows alike in both are one document.
+    """
+    texts = frame.select("doc_id", F.xxhash64("text").alias("_t"))
+    most = texts.groupBy("doc_id").agg(F.min("_t").alias("a"), F.max("_t").alias("b")).where("a <> b")
+    if not most.take(1):
+        return frame
+    places = texts.distinct().withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("_t")) - 1)
+    low, high, wide = places.agg(F.min("doc_id"), F.max("doc_id"), F.max("_r") + 1).first()
+    if max(-low, high) >= (1 << 62) // wide:
+        raise ValueError("ids of several texts are too large to be numbered")
+    numbered = frame.withColumn("_t", F.xxhash64("text")).join(places, ["doc_id", "_t"])
+    return numbered.withColumn("doc_id", F.col("doc_id") * wide + F.col("_r")).drop("_t", "_r")
+
+
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     """What is left of each document without the bytes of ``length``-byte strings that also start earlier.
 
@@ -381,10 +407,11 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     input and don't cross documents. Returns a row per row of ``docs`` (doc_id, text, any others):
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes), kept_sha256 and
     spans (starts and stops). A null text is empty; an empty table gives an empty result. doc_id is
-    the key: a null one counts as the smallest number, and of rows that repeat one, all
-    lose what any of them loses.
+    the key: a null one counts as less than the others, rows alike in id and text are one document and
+    returned each, and different texts of one id are documents in an order of their own.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _keyed(docs)
     spans, docs, parts = _spans(docs, length)
 
     def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, cuts: list) -> pa.Table:
@@ -426,7 +453,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     rows and columns stay; a text that is a repeat throughout becomes empty, and a null stays null.
     """
     columns = docs.columns
-    row = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = _keyed(row)
     spans, row, parts = _spans(row, length)
 
     def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, cuts: list) -> pa.Table:

@@ -74,6 +74,10 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (2, "A B C"), (3, None)]
     found = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, schema)).collect()))
     assert found == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+    long = [f"w{k}" for k in range(60)]
+    odd = [(None, " ".join(long)), (5, " ".join(long[1:])), (5, "q r s"), (6, "q r s t u v"), (4, "q r s")]
+    found = sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(odd, schema), 3, 90).collect()), key=str)
+    assert found == sorted([(None, 58, 5), (5, 57, 5), (5, 1, 4), (4, 1, 4), (6, 4, 6)], key=str)
     assert sorted(r.doc_id for r in jaccard.keep_one(spark.createDataFrame(rows, schema)).collect()) == [1, 1, 3]
 
 

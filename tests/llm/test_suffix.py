@@ -57,6 +57,15 @@ def test_empty_table(spark):
     assert suffix.repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_repeated_rows_and_ids(spark):
+    rnd = random.Random(5)
+    a, b, c = ("".join(rnd.choices("abcdefgh", k=150)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, b), (2, c + a), (None, c), (3, a + c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.repeated_bytes(frame).collect()), key=str)
+    assert found == sorted([(1, 150, 0), (1, 150, 0), (2, 150, 0), (2, 300, 300), (None, 150, 0), (3, 300, 300)], key=str)
+
+
 def test_remove_repeats_cuts_whole_characters(spark):
     passage = "".join(f"é{k}" for k in range(40)) + "é"
     size = len(passage) + 2
