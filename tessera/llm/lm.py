@@ -1,20 +1,22 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
-Counts of all training words come first, exact and distributed. The ``TARGETS`` most frequent
-words, one class of all others and the end are the outputs; the two words before are the context,
-with ``CONTEXTS`` symbols. A context predicts a vector, the sum of a matrix times the vector of each word,
-and an output's score is its product with the output's vector plus a bias. Every
-task trains a replica on all its training tokens, contrasting each with shared noise samples;
-replicas are averaged by an aggregate. The log normaliser of every possible context is then one
-batched matrix product, so scoring a token is two look-ups and a product of short vectors. A word of the class
+Counts of all training words come first, exact and distributed. Words seen ``LEAST`` times or more, among the
+``head`` most frequent ones (which grows with the square root of the training bytes), are outputs and contexts of
+their own; one class of all other words and the end are outputs too, and other words share hashed context symbols,
+a quarter as many. A context of two words predicts a vector, the sum of a matrix times the vector of each word. Outputs
+are dealt to classes by rank, as many as a class has members: an output's probability is that of its class times that within the class, and
+either comes from scores that are the vector's products with vectors of classes or outputs, plus a bias. Every
+task trains a replica on all its training tokens, contrasting each with noise samples of classes and of the members of its class;
+the rows a replica has touched are averaged by the tokens that touched them. Scores are normalised for each batch of contexts
+that occur, over the classes and over the members of the target's class. A word of the class
 of others has the class's probability times its share by smoothed counts.
 
-Only tables whose size is a parameter are shipped to tasks. Counts of words beyond the ``HEAD``
-most frequent ones are looked up by shuffling compressed blocks of those words alone.
+Counts of words beyond the head are looked up by shuffling compressed blocks of those words alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,16 +29,25 @@ from tessera.llm._blobs import ARROW, SCHEMA, Packer, encode, gather
 from tessera.llm._graph import checkpoint
 from tessera.llm._text import chunks, mix, word_hashes
 
-#: Words whose counts are shipped; output words; context symbols (256 pairs by 256); vector length.
+#: Least number of words whose counts are shipped, and of outputs; symbols before the hashed ones at least; vector length.
 HEAD = 1 << 16
 TARGETS = 4096
 CONTEXTS = 256
+LEAST = 3
 DIM = 24
 NOISE = 64
+NEAR = 4
 BATCH = 8192
 RATE = 0.05
+RARE = 0.05
 _OTHER, _END = TARGETS, TARGETS + 1
 _NONE, _START = CONTEXTS - 2, CONTEXTS - 1
+_BEYOND = 1 << 40
+
+
+def head(volume: int) -> int:
+    """How many words' counts are shipped, for so many training bytes."""
+    return max(HEAD, 4 * math.isqrt(volume))
 
 
 def is_held_out() -> F.Column:
@@ -67,10 +78,14 @@ def _count(parts: int) -> Callable:
     return run
 
 
-def _merge_counts(table: pa.Table) -> pa.Table:
-    words, n = _sum_by(*gather(table, ("u8", "i8")))
-    top = np.argsort(-n, kind="stable")[:HEAD]
-    return pa.table({"part": table.column("part")[:1], "block": pa.array([encode([words, n])], pa.binary()), "tokens": [int(n.sum())], "words": [len(words)], "top": pa.array([[{"word": int(w), "n": int(c)} for w, c in zip(words[top].astype(np.int64), n[top], strict=True)]], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))})
+def _merge_counts(shown: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        words, n = _sum_by(*gather(table, ("u8", "i8")))
+        top = np.argsort(-n, kind="stable")[:shown]
+        return pa.table({"part": table.column("part")[:1], "block": pa.array([encode([words, n])], pa.binary()), "tokens": [int(n.sum())], "words": [len(words)], "top": pa.array([[{"word": int(w), "n": int(c)} for w, c in zip(words[top].astype(np.int64), n[top], strict=True)]], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))})
+
+    return run
+
 
 
 class Vocabulary:
@@ -80,29 +95,47 @@ class Vocabulary:
         order = np.argsort(words)
         self.words, self.counts, self.rank = words[order], counts[order], order
         self.tokens, self.distinct, self.ends = tokens + ends, distinct + (ends > 0), ends
-        shown = counts[:TARGETS].sum()
-        self.other_tokens, self.other_words = tokens - int(shown), distinct - min(TARGETS, len(counts))
-        mass = np.concatenate((counts[:TARGETS], np.zeros(max(0, TARGETS - len(counts)), np.int64), [self.other_tokens, ends])).astype(float) + 0.5
+        likely = int(np.count_nonzero(counts >= LEAST))
+        self.outputs, self.contexts = max(TARGETS, likely), max(_NONE, likely)
+        self.hashed = max(CONTEXTS, self.contexts // 4)
+        shown = np.zeros(self.outputs, np.int64)
+        shown[: len(counts)] = counts[: self.outputs]
+        self.other_tokens, self.other_words = tokens - int(shown.sum()), distinct - min(self.outputs, len(counts))
+        mass = np.concatenate((shown[:TARGETS], [self.other_tokens, ends], shown[TARGETS:])).astype(float) + 0.5
         self.unigram = mass / mass.sum()
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (HEAD if beyond) and count (-1 if beyond) of each word."""
+        """Rank (_BEYOND if beyond) and count (-1 if beyond) of each word."""
         if not len(self.words):
-            return np.full(len(hashes), HEAD), np.full(len(hashes), -1)
+            return np.full(len(hashes), _BEYOND), np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         known = self.words[at] == hashes
-        return np.where(known, self.rank[at], HEAD), np.where(known, self.counts[at], -1)
+        return np.where(known, self.rank[at], _BEYOND), np.where(known, self.counts[at], -1)
+
+
+def _width(outputs: int) -> int:
+    """Members of a class of outputs."""
+    return max(1, math.isqrt(outputs - 1) + 1)
+
+
+def _classes(unigram: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(unigram, np.arange(0, len(unigram), _width(len(unigram))))
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Vectors of contexts, classes and outputs (the last of the latter two is the bias)."""
     rng = np.random.default_rng(7)
-    return {
-        "E": rng.normal(0, 0.3, (CONTEXTS, DIM)),
+    mass = _classes(vocabulary.unigram)
+    within = vocabulary.unigram / np.repeat(mass, _width(len(vocabulary.unigram)))[: len(vocabulary.unigram)]
+    first, rest = rng.normal(0, 0.3, (CONTEXTS, DIM)), rng.normal(0, RARE, (vocabulary.contexts + 2 + vocabulary.hashed - CONTEXTS, DIM))
+    out = {
+        "E": np.concatenate((first, rest)),
         "C1": np.eye(DIM) * 0.5,
         "C2": np.eye(DIM) * 0.5,
-        "R": rng.normal(0, 0.05, (TARGETS + 2, DIM)),
-        "b": np.log(vocabulary.unigram)[:, None],
+        "S": np.column_stack((rng.normal(0, 0.05, (len(mass), DIM)), np.log(mass))),
+        "R": np.column_stack((rng.normal(0, 0.05, (len(within), DIM)), np.log(within))),
     }
+    return {k: v.astype(np.float32) for k, v in out.items()}
 
 
 def sequences(hashes: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,107 +146,161 @@ def sequences(hashes: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) ->
     text = np.repeat(np.arange(texts), np.diff(first) + 1)
     rank, count = vocabulary.find(hashes)
     target, shown, counts, words = np.full(n, _END), np.full(n, _START), np.full(n, vocabulary.ends), np.zeros(n, np.uint64)
-    target[at], counts[at], words[at] = np.where(rank < TARGETS, rank, _OTHER), count, hashes
-    shown[at] = np.where(rank < _NONE, rank, _NONE)
+    target[at], counts[at], words[at] = np.where(rank < vocabulary.outputs, rank + 2 * (rank >= TARGETS), _OTHER), count, hashes
+    shown[at] = np.where(rank < vocabulary.contexts, rank + 2 * (rank >= _NONE), vocabulary.contexts + 2 + (hashes % np.uint64(vocabulary.hashed)).astype(np.int64))
     before = np.full((2, n), _START)
     before[0, 1:], before[1, 2:] = shown[:-1], shown[:-2]
     before[1, 1:][before[0, 1:] == _START] = _START
     return target, before[0], before[1], words, counts, text
 
 
-def _scatter(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    flat = (index[:, None] * values.shape[1] + np.arange(values.shape[1])).ravel()
-    return np.bincount(flat, values.ravel(), rows * values.shape[1]).reshape(rows, -1)
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
 
 
 class Trainer:
-    """Adagrad on the noise-contrastive loss."""
+    """Adagrad on the noise-contrastive losses of classes and of the members of a class."""
 
     def __init__(self, parameters: dict[str, np.ndarray], unigram: np.ndarray, seed: int):
         self.p = {k: v.copy() for k, v in parameters.items()}
-        self.squares = {k: np.full(v.shape, 1.0) for k, v in parameters.items()}
-        self.log_noise, self.cumulative = np.log(NOISE * unigram), np.cumsum(unigram)
+        self.squares = {k: np.full(v.shape, 1.0, np.float32) for k, v in parameters.items()}
+        self.times = {k: np.zeros(len(parameters[k]), np.int64) for k in ("E", "R")}
+        mass, self.width = _classes(unigram), _width(len(unigram))
+        self.cumulative, self.bounds = np.cumsum(mass), np.concatenate(([0.0], np.cumsum(unigram)))
+        starts = np.append(np.arange(0, len(unigram), self.width), len(unigram))
+        self.starts = starts
+        self.log_noise = np.log(NOISE * mass).astype(np.float32)
+        self.log_near = np.log(NEAR * unigram / np.repeat(mass, np.diff(starts))).astype(np.float32)
         self.rng, self.seen = np.random.default_rng(seed), 0
 
+    def _move(self, k: str, rows: np.ndarray | slice, g: np.ndarray) -> None:
+        squares = self.squares[k][rows] + g * g
+        self.squares[k][rows] = squares
+        self.p[k][rows] += RATE * g / np.sqrt(squares)
+
+    def _move_rows(self, k: str, index: np.ndarray, values: Callable) -> None:
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        first = _runs(index)
+        rows = index[first]
+        self.times[k][rows] += np.diff(np.append(first, len(index)))
+        self._move(k, rows, np.add.reduceat(values(order), first, axis=0))
+
     def learn(self, target: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        p = self.p
+        p, n = self.p, len(target)
+        order = np.argsort(target, kind="stable")
+        target, h1, h2 = target[order], h1[order], h2[order]
         e1, e2 = p["E"][h1], p["E"][h2]
-        q = e1 @ p["C1"] + e2 @ p["C2"]
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), TARGETS + 1)
-        r, rn = p["R"][target], p["R"][noise]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, r) + p["b"][target, 0] - self.log_noise[target], -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(q @ rn.T + (p["b"][noise, 0] - self.log_noise[noise]), -30, 30)))
-        dq = up[:, None] * r - down @ rn
-        rows = TARGETS + 2
-        grads = {
-            "R": _scatter(target, up[:, None] * q, rows) - _scatter(noise, down.T @ q, rows),
-            "b": (np.bincount(target, up, rows) - np.bincount(noise, down.sum(0), rows))[:, None],
-            "C1": e1.T @ dq,
-            "C2": e2.T @ dq,
-            "E": _scatter(h1, dq @ p["C1"].T, CONTEXTS) + _scatter(h2, dq @ p["C2"].T, CONTEXTS),
-        }
-        for k, g in grads.items():
-            self.squares[k] += g * g
-            p[k] += RATE * g / np.sqrt(self.squares[k])
-        self.seen += len(target)
-
-
-_ORDER = ("E", "C1", "C2", "R", "b")
-
-
-def _train(shipped, parameters: dict[str, np.ndarray]) -> Callable:
+        q = np.ones((n, DIM + 1), np.float32)
+        q[:, :DIM] = e1 @ p["C1"] + e2 @ p["C2"]
+        kind = target // self.width
+        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(self.cumulative) - 1)
+        low, high = self.starts[kind], self.starts[kind + 1]
+        at = self.bounds[low][:, None] + self.rng.random((n, NEAR)) * (self.bounds[high] - self.bounds[low])[:, None]
+        near = np.clip(np.searchsorted(self.bounds, at.ravel(), side="right").reshape(n, NEAR) - 1, low[:, None], high[:, None] - 1)
+        c, cn, r, rn = p["S"][kind], p["S"][noise], p["R"][target], p["R"][near]
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, c) - self.log_noise[kind], -30, 30)))
+        down = 1 / (1 + np.exp(-np.clip(q @ cn.T - self.log_noise[noise], -30, 30)))
+        up_near = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, r) - self.log_near[target], -30, 30)))
+        down_near = 1 / (1 + np.exp(-np.clip((rn @ q[:, :, None])[:, :, 0] - self.log_near[near], -30, 30)))
+        dq = (up[:, None] * c - down @ cn + up_near[:, None] * r - (down_near[:, None, :] @ rn)[:, 0])[:, :DIM]
+        g = np.zeros_like(p["S"])
+        first = _runs(kind)
+        g[kind[first]] = np.add.reduceat(up[:, None] * q, first, axis=0)
+        np.subtract.at(g, noise, down.T @ q)
+        weight = np.concatenate((up_near, -down_near.ravel()))
+        owner = np.concatenate((np.arange(n), np.repeat(np.arange(n), NEAR)))
+        back = np.concatenate((dq @ p["C1"].T, dq @ p["C2"].T))
+        self._move("S", slice(None), g)
+        self._move_rows("R", np.concatenate((target, near.ravel())), lambda o: weight[o, None] * q[owner[o]])
+        self._move("C1", slice(None), e1.T @ dq)
+        self._move("C2", slice(None), e2.T @ dq)
+        self._move_rows("E", np.concatenate((h1, h2)), lambda o: back[o])
+        self.seen += n
+
+
+_ORDER = ("E", "C1", "C2", "S", "R")
+#: row, tokens that touched it, values
+_ROW = ("i8", "f8", *["f4"] * (DIM + 1))
+
+
+def _train(shipped, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shipped.value
-        trainer = Trainer(parameters, vocabulary.unigram, TaskContext.get().partitionId())
+        parameters = initial(vocabulary)
+        trainer, packer = Trainer(parameters, vocabulary.unigram, TaskContext.get().partitionId()), Packer(parts)
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
                 target, h1, h2, *_ = sequences(*word_hashes(data, offsets), vocabulary)
                 for a in range(0, len(target), BATCH):
                     trainer.learn(target[a : a + BATCH], h1[a : a + BATCH], h2[a : a + BATCH])
         if trainer.seen:
-            width = max(v.shape[1] for v in parameters.values())
-            table = np.concatenate([np.pad(trainer.p[k], ((0, 0), (0, width - trainer.p[k].shape[1]))) for k in _ORDER])
-            columns = [pa.array(np.arange(len(table))), pa.array(np.full(len(table), trainer.seen)), *(pa.array(x * trainer.seen) for x in table.T)]
-            yield pa.record_batch(columns, names=["row", "seen", *(f"x{k}" for k in range(width))])
+            at = 0
+            for k in _ORDER:
+                values = trainer.p[k]
+                times = trainer.times.get(k, np.full(len(values), trainer.seen))
+                rows = np.flatnonzero(times)
+                for some in np.array_split(rows, len(rows) // (1 << 16) + 1):
+                    table = np.pad(values[some], ((0, 0), (0, DIM + 1 - values.shape[1])))
+                    yield from packer.add(((some + at) % parts).astype(np.int32), some + at, times[some].astype(float), *table.T)
+                at += len(values)
+        yield from packer.flush()
 
     return run
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters averaged over the replicas of all tasks, by the tokens each has seen."""
-    parameters = initial(vocabulary)
-    width = max(v.shape[1] for v in parameters.values())
-    names = [f"x{k}" for k in range(width)]
+def _average(table: pa.Table) -> pa.Table:
+    row, times, *columns = gather(table, _ROW)
+    rows, inverse = np.unique(row, return_inverse=True)
+    total = np.bincount(inverse, times)
+    mean = [(np.bincount(inverse, times * x) / total).astype(np.float32) for x in columns]
+    return pa.Table.from_batches([pa.record_batch([table.column("part")[:1].combine_chunks(), pa.array([encode([rows, total, *mean])], pa.binary())], schema=ARROW)])
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, parts: int) -> dict[str, np.ndarray]:
+    """Parameters averaged over the replicas of all tasks, each row by the tokens that touched it; a row that none touched is as at first."""
+    out = initial(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = docs.mapInArrow(_train(shipped, parameters), "row long, seen long, " + ", ".join(f"{n} double" for n in names))
-    mean = rows.groupBy("row").agg(*[(F.sum(n) / F.sum("seen")).alias(n) for n in names]).toArrow().sort_by("row")  # one row for each row of the model
-    if not len(mean):
-        return parameters
-    table = np.stack([np.asarray(mean.column(n)) for n in names], axis=1)
-    out, at = {}, 0
+    mean = docs.mapInArrow(_train(shipped, parts), SCHEMA).groupBy("part").applyInArrow(_average, SCHEMA).toArrow()  # the rows of one model
+    row, _, *columns = gather(mean, _ROW)
+    table, at = np.column_stack(columns), 0
     for k in _ORDER:
-        rows_, columns = parameters[k].shape
-        out[k], at = table[at : at + rows_, :columns], at + rows_
+        some = (row >= at) & (row < at + len(out[k]))
+        out[k][row[some] - at] = table[some][:, : out[k].shape[1]]
+        at += len(out[k])
     return out
 
 
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials by row; changes ``s``."""
+    top = s.max(axis=1)
+    s -= top[:, None]
+    return np.log(np.exp(s, out=s).sum(axis=1)) + top
+
+
 class Model:
     """A trained model made ready for scoring."""
 
     def __init__(self, vocabulary: Vocabulary, p: dict[str, np.ndarray]):
-        self.vocabulary = vocabulary
-        self.first, self.second = (p["E"] @ p["C1"]).astype(np.float32), (p["E"] @ p["C2"]).astype(np.float32)
-        self.outputs, self.bias = p["R"].astype(np.float32), p["b"][:, 0].astype(np.float32)
-        self.log_z = np.zeros((CONTEXTS, CONTEXTS))
-        for k in range(CONTEXTS):
-            s = (self.first[k] + self.second) @ self.outputs.T + self.bias
-            top = s.max(axis=1)
-            self.log_z[k] = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
+        self.vocabulary, self.p = vocabulary, p
 
     def log10(self, target: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of outputs after their contexts."""
-        s = np.einsum("ij,ij->i", self.first[h1] + self.second[h2], self.outputs[target]) + self.bias[target]
-        return (s - self.log_z[h1, h2]) / np.log(10)
+        p, width, out = self.p, _width(len(self.p["R"])), np.zeros(len(target))
+        order = np.argsort(target, kind="stable")
+        for a in range(0, len(target), BATCH):
+            at = order[a : a + BATCH]
+            q = np.ones((len(at), DIM + 1), np.float32)
+            q[:, :DIM] = p["E"][h1[at]] @ p["C1"] + p["E"][h2[at]] @ p["C2"]
+            t = target[at]
+            kind = t // width
+            found = np.einsum("ij,ij->i", q, p["S"][kind] + p["R"][t]) - _log_sum(q @ p["S"].T)
+            first = _runs(kind)
+            for b, e in zip(first, np.append(first[1:], len(kind)), strict=True):
+                found[b:e] -= _log_sum(q[b:e] @ p["R"][kind[b] * width : (kind[b] + 1) * width].T)
+            out[at] = found
+        return out / np.log(10)
 
 
 def smoothed(count: np.ndarray, tokens: int, words: int) -> np.ndarray:
@@ -312,11 +399,12 @@ def score(docs: DataFrame) -> DataFrame:
     training = docs.where("not held_out").select("text")
     texts, volume = training.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (volume or 0) // (24 << 20))
-    counts = checkpoint(training.mapInArrow(_count(parts), SCHEMA).groupBy("part").applyInArrow(_merge_counts, f"{SCHEMA}, tokens long, words long, top array<struct<word: long, n: long>>"))
+    shown = head(volume or 0)
+    counts = checkpoint(training.mapInArrow(_count(parts), SCHEMA).groupBy("part").applyInArrow(_merge_counts(shown), f"{SCHEMA}, tokens long, words long, top array<struct<word: long, n: long>>"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    top = counts.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    top = counts.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("n"), "word").limit(shown).toArrow()
     vocabulary = Vocabulary(np.asarray(top.column("word")).astype(np.int64).view(np.uint64), np.asarray(top.column("n")).astype(np.int64), tokens, distinct, texts)
-    model = Model(vocabulary, train(training, vocabulary))
+    model = Model(vocabulary, train(training, vocabulary, parts))
     shipped = spark.sparkContext.broadcast(model)
     found = checkpoint(docs.mapInArrow(_score(shipped, parts), f"{SCHEMA}, kind int"))
     asked = found.where("kind = 1").select("part", "block")

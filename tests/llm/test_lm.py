@@ -69,3 +69,25 @@ def test_empty_table(spark):
 def test_word_hashes_fold_case():
     a, _ = word_hashes(*utf8(pa.array(["The cat", "THE  CAT"])))
     assert a[0] == a[2] and a[1] == a[3] and a[0] != a[1]
+
+
+def test_vocabularies_grow_with_the_training_counts():
+    n = 9000
+    hashes = np.arange(1, n + 1, dtype=np.uint64)
+    vocabulary = lm.Vocabulary(hashes, np.full(n, 5), 5 * n, n, 3)
+    target, h1, *_ = lm.sequences(hashes, np.array([0, n]), vocabulary)
+    assert len(set(target.tolist())) == n + 1 and lm._OTHER not in target
+    assert len(set(h1.tolist())) == n + 1 and lm._NONE not in h1
+    trainer = lm.Trainer(lm.initial(vocabulary), vocabulary.unigram, 1)
+    trainer.learn(target, h1, h1)
+    model = lm.Model(vocabulary, trainer.p)
+    every = np.arange(n + 2)
+    for c in (3, 5000):
+        assert abs((10 ** model.log10(every, np.full(n + 2, c), np.full(n + 2, 7000))).sum() - 1) < 1e-4
+
+
+def test_rare_words_share_hashed_contexts():
+    vocabulary = lm.Vocabulary(np.array([1], dtype=np.uint64), np.array([9]), 9, 1, 1)
+    h1 = lm.sequences(np.array([50, 51], dtype=np.uint64), np.array([0, 2]), vocabulary)[1]
+    assert lm._NONE not in h1 and len(set(h1.tolist())) == 3
+    assert lm.head(1 << 40) > lm.head(1 << 30) >= lm.HEAD
