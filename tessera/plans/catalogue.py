@@ -221,11 +221,22 @@ def to_df_window(spark, d):
     return counts(spark, d)[:50, ["P1", "P2", "P3"]].to_df()
 
 
+@query("""SELECT obs_id, coalesce(max(value) FILTER (WHERE var_id = 1), 0.0) AS "P1", coalesce(max(value) FILTER (WHERE var_id = 2), 0.0) AS "P2", coalesce(max(value) FILTER (WHERE var_id = 3), 0.0) AS "P3"
+FROM obs LEFT JOIN x USING (obs_id) GROUP BY 1""")
+def to_df_window_whole(spark, d):
+    return counts(spark, d)[:, ["P1", "P2", "P3"]].to_df()
+
+
 @query("SELECT pos, obs_id, var_id, value FROM (VALUES (CAST(0 AS BIGINT), 9), (1, 3), (2, 9), (3, 4)) AS a(pos, id) JOIN x ON obs_id = id WHERE var_id < 500")
 def row_indices_ordered(spark, d):
     return counts(spark, d)[:, :500].row_indices([9, 3, 9, 4])
 
 
+@query("SELECT pos, obs_id, var_id, value FROM (VALUES (CAST(0 AS BIGINT), 9), (1, 3), (2, 9), (3, 4)) AS a(pos, id) JOIN x ON obs_id = id")
+def row_indices_ordered_whole(spark, d):
+    return counts(spark, d).row_indices([9, 3, 9, 4])
+
+
 @query("SELECT obs_id, var_id, value FROM x WHERE obs_id >= 10 AND obs_id < 20")
 def row_range(spark, d):
     return counts(spark, d).rows(10, 20)
@@ -240,6 +251,15 @@ def chunked_blocks(spark, d):
     return out
 
 
+@query("SELECT obs_id, count(*) AS n, sum(value) AS total FROM x GROUP BY 1")
+def chunked_blocks_whole(spark, d):
+    out = None
+    for _, _, cells in counts(spark, d).persisted().chunked(25):
+        part = cells.groupBy("obs_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(""", k AS (SELECT var_id, brand, row_number() OVER (PARTITION BY brand ORDER BY var_id) - 1 AS k FROM var)
 SELECT var_id, CASE WHEN k > 0 THEN brand || '-' || k ELSE brand END AS var_name FROM k""")
 def unique_names(spark, d):
@@ -257,11 +277,21 @@ def transposed(spark, d):
     return counts(spark, d)[:30].transposed().X.values()
 
 
+@query("SELECT var_id AS obs_id, obs_id AS var_id, value FROM x")
+def transposed_whole(spark, d):
+    return counts(spark, d).transposed().X.values()
+
+
 @query("SELECT obs_id, var_id, value FROM x WHERE NOT (obs_id < 5 AND var_id < 10) AND obs_id < 10 UNION ALL SELECT obs_id, var_id, 2.5 FROM obs CROSS JOIN var WHERE obs_id < 5 AND var_id < 10")
 def assigned_rectangle(spark, d):
     return counts(spark, d)[:10].assign(slice(0, 5), slice(0, 10), 2.5).X.values()
 
 
+@query("SELECT obs_id, var_id, value FROM x WHERE NOT (obs_id < 5 AND var_id < 10) UNION ALL SELECT obs_id, var_id, 2.5 FROM obs CROSS JOIN var WHERE obs_id < 5 AND var_id < 10")
+def assigned_rectangle_whole(spark, d):
+    return counts(spark, d).assign(slice(0, 5), slice(0, 10), 2.5).X.values()
+
+
 # Normalisation, scaling
 
 @query(f", {_NORM} SELECT obs_id, total, round(factor, 6) + 0.0 AS factor FROM f")
@@ -287,6 +317,11 @@ def norm_zero_rows(spark, d):
     return _rounded(transforms.norm_factors(baskets(spark, d).persisted()).where("total = 0 OR obs_id % 10 = 0"), "factor")
 
 
+@query(f", {_NORM} SELECT obs_id, total, round(factor, 6) + 0.0 AS factor FROM f", base=_M2)
+def norm_zero_rows_whole(spark, d):
+    return _rounded(transforms.norm_factors(baskets(spark, d).persisted()), "factor")
+
+
 @query(f", {_NORM} SELECT obs_id, var_id, round(value, 6) + 0.0 AS value FROM y")
 def log1p_values(spark, d):
     return _rounded(normalised(spark, d).X.values(), "value")
@@ -331,6 +366,13 @@ def centered_upper_clip(spark, d):
     return _rounded(m.with_layer("c", transforms.centered(m.X, params, clip_high=0.5)).subset(None, F.col("var_id") <= 20).filled("c"), "value")
 
 
+@query()
+def centered_upper_clip_whole(spark, d):
+    m = counts(spark, d).persisted()
+    params = stats.mean_var(m).select("var_id", "mean", F.sqrt("variance").alias("std"))
+    return _rounded(m.with_layer("c", transforms.centered(m.X, params, clip_high=0.5)).filled("c"), "value")
+
+
 # Feature selection
 
 @query("SELECT var_id, k AS n_cells, round(k / n_obs * 100, 6) + 0.0 AS percent_cells, k / n_obs * 100 >= 26.0 AS robust FROM cs, n WHERE k > 0")
@@ -483,6 +525,11 @@ def gram_vectors(spark, d):
     return _rounded(linalg.gram(vectors(spark, d)[:, :12]), "value", digits=5)
 
 
+@query("SELECT a.var_id AS i, b.var_id AS j, round(sum(a.value * b.value), 5) + 0.0 AS value FROM x a JOIN x b USING (obs_id) WHERE a.var_id <= b.var_id GROUP BY 1, 2", base=_M4)
+def gram_vectors_whole(spark, d):
+    return _rounded(linalg.gram(vectors(spark, d)), "value", digits=5)
+
+
 @query()
 def pca_embedding(spark, d):
     n = normalised(spark, d)
@@ -527,6 +574,11 @@ def raw_after_hvg(spark, d):
     return m.raw[:, F.col("var_id") % 50 == 3].X.values()
 
 
+@query("SELECT obs_id, var_id, value FROM x")
+def raw_after_hvg_whole(spark, d):
+    return counts(spark, d).with_raw()[:, F.col("size") > 40].raw.X.values()
+
+
 @query(f", {_NORM} SELECT obs_id, var_id, round(value, 6) + 0.0 AS value FROM y WHERE obs_id < 30")
 def layer_roundtrip(spark, d):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
@@ -535,6 +587,14 @@ def layer_roundtrip(spark, d):
     return _rounded(store.read_store(spark, path).X.values(), "value")
 
 
+@query(f", {_NORM} SELECT obs_id, var_id, round(value, 6) + 0.0 AS value FROM y")
+def layer_roundtrip_whole(spark, d):
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/matrix-{uuid.uuid4().hex}"
+    store.write_store(normalised(spark, d), path)
+    return _rounded(store.read_store(spark, path).X.values(), "value")
+
+
 @query("SELECT obs_id, total AS doubled FROM (SELECT obs_id, 2 * sum(coalesce(value, 0.0)) AS total FROM obs LEFT JOIN x ON x.obs_id = obs.obs_id AND x.var_id < 10 WHERE obs.obs_id < 20 GROUP BY obs.obs_id)".replace("SELECT obs_id, 2", "SELECT obs.obs_id, 2"))
 def guard_copy_back(spark, d):
     @guard.in_memory(obs=["*"])
@@ -542,3 +602,12 @@ def guard_copy_back(spark, d):
         obs["doubled"] = 2 * values.sum(axis=1).to_numpy()
 
     return double(counts(spark, d)[:20, :10]).obs.select("obs_id", "doubled")
+
+
+@query("SELECT obs.obs_id, 2 * sum(coalesce(value, 0.0)) AS doubled FROM obs LEFT JOIN x ON x.obs_id = obs.obs_id GROUP BY obs.obs_id")
+def guard_copy_back_whole(spark, d):
+    @guard.in_memory(obs=["*"])
+    def double(values, obs, var):
+        obs["doubled"] = 2 * values.sum(axis=1).to_numpy()
+
+    return double(counts(spark, d)).obs.select("obs_id", "doubled")

@@ -31,6 +31,31 @@ def test_query_equals_sql(spark, name):
     assert plain(map(tuple, found.select(columns).collect())) == plain(want)
 
 
+WHOLE = ["norm_zero_rows", "layer_roundtrip", "transposed", "chunked_blocks", "raw_after_hvg", "gram_vectors", "guard_copy_back", "to_df_window", "row_indices_ordered", "assigned_rectangle"]
+
+
+@needs_data
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_query_equals_sql(spark, name):
+    test_query_equals_sql(spark, f"{name}_whole")
+
+
+@needs_data
+def test_whole_centered_clip_by_brute_force(spark):
+    import numpy as np
+
+    m = catalogue.counts(spark, DATA)
+    obs, var = (sorted(r[0] for r in f.collect()) for f in (m.obs.select("obs_id"), m.var.select("var_id")))
+    dense = np.zeros((len(obs), len(var)))
+    for r in m.X.values().collect():
+        dense[obs.index(r.obs_id), var.index(r.var_id)] = r.value
+    std = dense.std(axis=0, ddof=1)
+    want = np.minimum(0.5, (dense - dense.mean(axis=0)) / np.where(std == 0, 1, std))
+    found = catalogue.queries()["centered_upper_clip_whole"](spark, DATA).collect()
+    assert len(found) == want.size
+    assert all(abs(r.value - want[obs.index(r.obs_id), var.index(r.var_id)]) < 2e-6 for r in found)
+
+
 def test_entry_lists_the_catalogue():
     import __spark_entry__
 
