@@ -43,8 +43,11 @@ def pearson_hvg(m: Matrix, n_top: int = 2000, theta: float = 100.0, clip_at: flo
     )
 
 
-def dispersions(m: Matrix, flavor: str = "seurat", n_bins: int = 20, layer: str | None = None) -> DataFrame:
-    """var_id, means, dispersions, dispersions_norm by bins of the mean; null where there is none."""
+def dispersions(m: Matrix, flavor: str = "seurat", n_bins: int = 20, layer: str | None = None, digits: int = 9) -> DataFrame:
+    """var_id, means, dispersions, dispersions_norm by bins of the mean; null where there is none.
+
+    Bins of cell_ranger compare means and percentiles on ``digits`` digits, so that means equal but for rounding share a bin.
+    """
     if flavor not in ("seurat", "cell_ranger"):
         raise ValueError(f"unknown flavor {flavor!r}")
     found = stats.mean_var(m, layer, expm1=flavor == "seurat")
@@ -61,8 +64,8 @@ def dispersions(m: Matrix, flavor: str = "seurat", n_bins: int = 20, layer: str
         # A feature alone in its bin has no spread: its own mean stands for it, and the centre is 0.
         binned = binned.withColumns({"_c": F.when(spread.isNull(), 0.0).otherwise(centre), "_s": F.coalesce(spread, centre)})
     else:
-        edges = np.unique([x for x in found.agg(F.percentile("means", F.array(*[F.lit(p / 100) for p in range(10, 101, 5)]))).first()[0] or []])
-        place = sum((F.when(F.col("means") > float(e), 1).otherwise(0) for e in edges), F.lit(0))
+        edges = found.agg(F.percentile("means", F.array(*[F.lit(p / 100) for p in range(10, 101, 5)])).alias("e")).select(F.explode("e").alias("e")).select(F.round("e", digits)).distinct().collect()
+        place = sum((F.when(F.round("means", digits) > e[0], 1).otherwise(0) for e in edges), F.lit(0))
         binned = found.withColumn("_bin", place)
         by_bin = binned.groupBy("_bin").agg(F.percentile("dispersions", F.lit(0.5)).alias("_c"))
         apart = binned.join(by_bin, "_bin").withColumn("_a", F.abs(F.col("dispersions") - F.col("_c")))
@@ -73,7 +76,7 @@ def dispersions(m: Matrix, flavor: str = "seurat", n_bins: int = 20, layer: str
 
 def dispersion_hvg(m: Matrix, flavor: str = "seurat", n_top: int | None = None, n_bins: int = 20, min_mean: float = 0.0125, max_mean: float = 3.0, min_disp: float = 0.5, max_disp: float = float("inf"), layer: str | None = None, digits: int = 9) -> DataFrame:
     """``dispersions`` with highly_variable: the n_top greatest (and their rank), or those within the cut-offs."""
-    found = dispersions(m, flavor, n_bins, layer)
+    found = dispersions(m, flavor, n_bins, layer, digits)
     if n_top is None:
         inside = (F.col("means") > min_mean) & (F.col("means") < max_mean) & (F.col("dispersions_norm") > min_disp) & (F.col("dispersions_norm") < max_disp)
         return found.withColumn("highly_variable", F.coalesce(inside, F.lit(False)))

@@ -415,6 +415,18 @@ def hvg_cell_ranger(spark, d):
     return near.select("var_id", r("means").alias("means"), r("dispersions_norm", 4).alias("dispersions_norm"))
 
 
+@query(f""", {_NORM}, {_MOMENTS},
+a AS (SELECT var_id, CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS means, variance / CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS disp FROM mv),
+e AS (SELECT DISTINCT round(unnest(quantile_cont(means, [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0])), 9) AS edge FROM a),
+b AS (SELECT var_id, means, disp, (SELECT count(*) FROM e WHERE round(means, 9) > edge) AS bin FROM a),
+c AS (SELECT *, median(disp) OVER (PARTITION BY bin) AS m FROM b),
+s AS (SELECT *, 1.4826 * median(abs(disp - m)) OVER (PARTITION BY bin) AS s FROM c)
+SELECT var_id, round(means, 6) + 0.0 AS means, round((disp - m) / nullif(s, 0), 4) + 0.0 AS dispersions_norm FROM s""")
+def hvg_cell_ranger_whole(spark, d):
+    found = hvg.dispersions(normalised(spark, d), "cell_ranger")
+    return found.select("var_id", r("means").alias("means"), r("dispersions_norm", 4).alias("dispersions_norm"))
+
+
 def _pearson_sql(cells: str, rows: str) -> str:
     return f"""g AS (SELECT o.obs_id, v.var_id, coalesce(c.value, 0.0) AS value, o.total AS s, v.total AS t FROM (SELECT obs_id, total FROM {rows}) o CROSS JOIN (SELECT var_id, coalesce(sum(value), 0.0) AS total FROM var LEFT JOIN {cells} USING (var_id) GROUP BY 1) v LEFT JOIN {cells} c ON c.obs_id = o.obs_id AND c.var_id = v.var_id),
 tt AS (SELECT sum(total) AS total, sqrt(CAST(count(*) AS DOUBLE)) AS bound FROM {rows}),

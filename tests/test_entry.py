@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, name):
     assert plain(map(tuple, found.select(columns).collect())) == plain(want)
 
 
-WHOLE = ["norm_zero_rows", "layer_roundtrip", "transposed", "chunked_blocks", "raw_after_hvg", "gram_vectors", "guard_copy_back", "to_df_window", "row_indices_ordered", "assigned_rectangle"]
+WHOLE = ["hvg_cell_ranger", "norm_zero_rows", "layer_roundtrip", "transposed", "chunked_blocks", "raw_after_hvg", "gram_vectors", "guard_copy_back", "to_df_window", "row_indices_ordered", "assigned_rectangle"]
 
 
 @needs_data
@@ -56,6 +56,24 @@ def test_whole_centered_clip_by_brute_force(spark):
     assert all(abs(r.value - want[obs.index(r.obs_id), var.index(r.var_id)]) < 2e-6 for r in found)
 
 
+@needs_data
+def test_cell_ranger_returns_every_variable(spark):
+    found = catalogue.queries()["hvg_cell_ranger_whole"](spark, DATA)
+    assert found.count() == catalogue.counts(spark, DATA).var.count()
+
+
+@needs_data
+def test_cell_ranger_ties_share_a_bin(spark, monkeypatch):
+    from tessera.functions import stats
+    from tessera.operators import hvg
+
+    rows = [(i, 0.3 + (1e-16 if i % 2 else 0.0), float(i + 1)) for i in range(20)] + [(20 + i, 1.0 + i, 3.0) for i in range(4)]
+    monkeypatch.setattr(stats, "mean_var", lambda *a, **b: spark.createDataFrame(rows, "var_id long, mean double, variance double"))
+    found = {r.var_id: r.dispersions_norm for r in hvg.dispersions(None, "cell_ranger").collect()}
+    steps = [found[i + 1] - found[i] for i in range(19)]
+    assert len(found) == 24 and min(steps) > 0 and max(steps) - min(steps) < 1e-9
+
+
 def test_entry_lists_the_catalogue():
     import __spark_entry__
 
