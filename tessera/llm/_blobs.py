@@ -7,6 +7,8 @@ few blocks, and a part is read back as numpy columns.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -59,3 +61,13 @@ def gather(table: pa.Table, dtypes: Sequence[str], column: str = "block") -> lis
     """All records of a part, column by column."""
     parts = [decode(b.as_py(), dtypes) for b in table.column(column) if b.is_valid]
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=d) for d in dtypes]
+
+
+_C = ctypes.CDLL(None) if sys.platform.startswith("linux") else None
+
+
+def trim() -> None:
+    """Gives freed memory back, which a Python worker would hold while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)

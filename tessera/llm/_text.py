@@ -1,8 +1,9 @@
 """Vectorised byte-level text primitives that the corpus operators share.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes. Hashes are polynomials modulo 2**64 over
-random byte codes, read from prefix sums and finalised by a 64-bit mixer, so hashing a text
-is a handful of numpy passes whatever its number of words.
+A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes. A word's hash sums a random code for each pair of
+place and byte, so no structure of a word makes two collide; hashing a text is a handful of numpy passes whatever
+its number of words. Spans at any place (k-grams, windows) have polynomials: :func:`prefix_hash` modulo 2**64
+where a collision only costs time, and :func:`prefix_marks` modulo two primes where equality is decided.
 """
 
 from __future__ import annotations
@@ -60,6 +61,44 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return mix((prefix[stop] - prefix[start]) * powers(len(prefix))[1][start] + (stop - start).astype(np.uint64))
 
 
+#: Primes below 2**31 and bases of the two fingerprints.
+_PRIMES = (np.uint64(2147483647), np.uint64(2147483629))
+_BASES = (np.uint64(1803442709), np.uint64(928513371))
+_mark_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _marks_of(n: int) -> list[np.ndarray]:
+    """The first n powers of both bases, and of their inverses, modulo the primes; kept between calls."""
+    if len(_mark_powers[0]) < n or len(_mark_powers) < 4:
+        bases = [*_BASES, *(np.uint64(pow(int(b), -1, int(p))) for b, p in zip(_BASES, _PRIMES, strict=True))]
+        out = []
+        for b, p in zip(bases, _PRIMES * 2, strict=True):
+            table = np.ones(1, np.uint64)
+            while len(table) < max(n, CHUNK_BYTES + 1):
+                step = np.uint64(pow(int(b), len(table), int(p)))
+                table = np.concatenate((table, table * step % p))
+            out.append(table)
+        _mark_powers[:] = out
+    return [x[:n] for x in _mark_powers]
+
+
+def prefix_marks(data: np.ndarray) -> list[np.ndarray]:
+    """Prefix sums from which :func:`span_marks` reads the fingerprint of any span."""
+    out = []
+    for power, prime in zip(_marks_of(len(data))[:2], _PRIMES, strict=True):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power % prime, out=sums[1:])
+        out.append(sums)
+    return out
+
+
+def span_marks(marks: list[np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """62 bits of two polynomials modulo primes; unlike those modulo 2**64 they have no texts that always collide."""
+    inverse = _marks_of(len(marks[0]))[2:]
+    a, b = ((m[stop] - m[start]) % p * i[start] % p for m, p, i in zip(marks, _PRIMES, inverse, strict=True))
+    return mix((a << np.uint64(31)) ^ b) + (stop - start).astype(np.uint64)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end and the n+1 offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,10 +139,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+def _placed(fold_case: bool) -> np.ndarray:
+    codes = mix(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * _GOLDEN).reshape(64, 256)
+    if fold_case:
+        codes[:, 65:91] = codes[:, 97:123]
+    return codes.ravel()
+
+
+_PLACED = _placed(True)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Case-folded word hashes of a chunk, and each text's first word."""
     starts, stops, first = word_spans(data, offsets)
-    return span_hash(prefix_hash(data, True), starts, stops), first
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    sizes = stops - starts
+    inner = np.flatnonzero(~IS_SPACE[data])  # words end to end
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.arange(len(inner)) - np.repeat(edges[:-1], sizes)
+    codes = _PLACED[((place & 63) << 8) + data[inner]]
+    if sizes.max() > 64:
+        far = np.flatnonzero(place > 63)
+        codes[far] *= mix((place[far] >> 6).astype(np.uint64) * _GOLDEN) | np.uint64(1)
+    return mix(np.add.reduceat(codes, edges[:-1]) + mix(sizes.astype(np.uint64))), first
 
 
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)

@@ -1,79 +1,95 @@
 """Exact Jaccard self-join on word shingles by universe partition and pigeonhole.
 
-Tokens (shingle hashes) are dealt to ``m`` segments of the hash universe, by band of set size.
-Two sets that link differ in at most ``H`` tokens, so whichever budgets the segments get, if
-they sum to ``H + 1 + slack`` some segments lie within their budget: equal (budget one) or one
-deletion apart (budget two, the one-deletion neighbourhood is indexed too). The allocation of
-budgets to segments minimises an estimate of index entries plus chance collisions, band by band;
-large sets are cheapest with equality only, small ones with deletions.
-
-``slack`` pays for segments that say nothing, those that are empty and those whose entry is hot
-(shared by many sets, as a common passage makes it). A set with no more of them than its slack
-leaves them out: any partner still meets it in another segment. A set with more of them keeps
-them all, so the rule is exact.
-
-Sets with one content are one class, named by a hash of the set. Every index entry is compared
-with the smallest class that has it; an exact lower bound of the set difference, from
-parity bitmaps, precedes verification of the texts themselves. Only entries whose classes are
-then in several components need further pairs, and of these only pairs across components
-that the sizes and short parity sketches still allow; the join itself drops the others.
+Tokens (shingle hashes) are dealt to segments of the hash universe, by band of set size. Two sets that link
+differ in at most ``H`` tokens, so of segments whose budgets sum to more than ``H`` one lies within its budget:
+a budget of one asks for equal segments, whose subset is indexed; a budget of two allows a segment to differ in a token, so its
+one-deletion neighbourhood is indexed too. The allocation of segments and budgets minimises, band by band,
+an estimate of index entries, chance collisions and sets that the allocation fails.
+
+Segments that are empty say nothing and have no entry. A set whose other segments still have budgets of more
+than ``H`` will meet any partner by them; the rest is its *spare*. An index entry that joins many groups of sets
+(a common passage makes such) is left out by every set that can spare it. The few sets that can't,
+and those of too many empty segments, are partitioned once more to the finest, a token a segment, and each gives its
+budget to the ``H + 1`` tokens that the fewest of these sets have. So no set is dropped, and none is compared with all others.
+
+Sets with one content are one class. A class is first verified against one other that shares an entry, then
+entries are looked at that span several components, by their first classes; what still spans several is joined across
+components (all but the largest of an entry against all, salted), under a bound from parity sketches. An
+exact lower bound of the difference, from bitmaps as long as the set, precedes verification of the texts themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
+from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._blobs import SCHEMA, Packer, gather
-from tessera.llm._graph import checkpoint, components
+from tessera.llm._blobs import SCHEMA, Packer, gather, trim
+from tessera.llm._graph import checkpoint, components, unused
 from tessera.llm._text import distinct_sorted, mix, shingle_sets
 
-#: An entry that more classes than this share is hot.
+#: An entry that spans more components than this is hot.
 HOT = 16
-#: Rows up to which a list of ids is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-_MAX_BITS = 1 << 15
-#: Words of 64 parity bits that the join across components compares.
-SKETCH = 8
+#: Bytes of (id, id, id) rows up to which a list of texts to fetch is broadcast; a longer one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Share of a set's size that the allocation sets aside for hot entries.
+SPARED = 0.02
+#: Bits of the sketches that the join across components compares, at most.
+SKETCH_BITS = 4096
+#: Rows of an entry that one task of that join holds, about.
+SALT_ROWS = 512
 
 
 @dataclass(frozen=True)
 class Band:
-    """Sets of at most ``high - 1`` tokens: ``segments``, of which the first ``wide`` get budget two."""
+    """Sets whose larger partner has low..high-1 tokens: ``segments``, of which the first ``wide`` have budget two."""
 
     low: int
     high: int
     segments: int
     wide: int
-    slack: int
 
 
-def allocate(low: int, high: int, percent: int) -> Band:
-    """The cheapest allocation for pairs whose larger set has low..high-1 tokens.
+def most_apart(n: int, band: Band, percent: int) -> int:
+    """``H``: the most tokens in which a set of n tokens differs from a partner in the band."""
+    return (n + min(band.high - 1, 100 * n // percent)) * (100 - percent) // (100 + percent)
 
-    Candidates are equality everywhere, with the slack that its expected empty segments need, and
-    mixtures with one-deletion segments, which have no slack and so must leave hardly any empty.
-    """
-    need = 2 * (high - 1) * (100 - percent) // (100 + percent) + 1
-    empty = lambda m: m * np.exp(-low / m)
-    slack = 2 if need >= 8 else 0
-    while need > 1 and slack <= need and empty(need + slack) > 0.02 and slack < empty(need + slack) + 4 * np.sqrt(empty(need + slack)):
-        slack += 1 + slack // 16
-    if slack > need:
-        slack = 0
+
+def _fails(n: int, band: Band, percent: int) -> float:
+    """About the share of sets of n tokens whose budgets, but for empty segments, don't exceed ``H`` by what hot entries need."""
+    load = n / band.segments
+    none, one = np.exp(-load), load * np.exp(-load)
+    plain, plain_var = 1 - none, none * (1 - none)
+    broad, broad_var = 2 * (1 - none) - one, 4 * (1 - none) - 3 * one - (2 * (1 - none) - one) ** 2
+    m, w = band.segments - band.wide, band.wide
+    # Segments share the tokens, so fewer are empty together than if they were filled apart.
+    spread = max(1e-3, sqrt(max(0.0, (m * plain_var + w * broad_var) - n * (none * m + (none + one) * w) ** 2 / band.segments**2)))
+    wanted = most_apart(n, band, percent) + 0.5 + SPARED * n
+    return 0.5 * (1 + erf((wanted - m * plain - w * broad) / spread / sqrt(2)))
+
+
+def allocate(low: int, high: int, percent: int) -> Band:
+    """The cheapest allocation for pairs whose larger set has low..high-1 tokens."""
+    need = most_apart(high - 1, Band(low, high, 1, 0), percent) + 1
+    sizes = sorted({max(1, low * percent // 100), low, (low + high) // 2, high - 1})
     best = None
-    for segments, wide, spare in [(need + slack, 0, slack), *((need - w, w, 0) for w in range(1, need // 2 + 1 if need <= 64 else 1) if empty(need - w) <= 0.02)]:
-        load = low / segments
-        cost = segments + wide * load + 4096 * ((segments - wide) * np.exp(-3 * load) + wide * load * np.exp(-3 * (load - 1)))
-        if best is None or cost < best[0]:
-            best = cost, Band(low, high, segments, wide, spare)
+    for wide in range(0, need // 2 + 1 if need <= 16 else 1):
+        for extra in sorted({need * k // 16 for k in range(17)} | {1, 2}):
+            band = Band(low, high, need - wide + extra, wide)
+            cost = 0.0
+            for n in sizes:
+                load = n / band.segments
+                shared = (band.segments - wide) * 0.3**load + wide * load * 0.3 ** max(0.0, load - 1)
+                cost += band.segments + wide * load + 64 * shared + 3 * n * _fails(n, band, percent)
+            if best is None or cost < best[0]:
+                best = cost, band
     return best[1]
 
 
@@ -105,22 +121,27 @@ def _layout(number: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return edges, mix(np.arange(segments, dtype=np.uint64) + np.uint64(number << 32))
 
 
-def entries(tokens: np.ndarray, number: int, band: Band) -> tuple[np.ndarray, int]:
-    """The index entries of a set in a band, and how many of its segments are empty."""
+def entries(tokens: np.ndarray, number: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A set's index entries in a band, the budget that goes with each, and what the set can spare (less than 0: it fails)."""
+    band = bands(percent)[number]
     edges, place = _layout(number, band.segments)
     bounds = np.concatenate(([0], np.searchsorted(tokens, edges), [len(tokens)]))
     mixed = mix(tokens + np.uint64(0x632BE59BD9B4E019))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
     whole = sums[bounds[1:]] - sums[bounds[:-1]]
-    filled = np.diff(bounds) > 0
-    empty = len(filled) - int(np.count_nonzero(filled))
-    out = mix(whole + place)
-    if empty and empty <= band.slack:
-        out = out[filled]
+    sizes = np.diff(bounds)
+    budget = np.minimum(sizes, 1)
+    budget[: band.wide] = np.minimum(sizes[: band.wide], 2)
+    filled = sizes > 0
+    out, loss = mix(whole + place)[filled], budget[filled]
     if band.wide:
-        within = np.searchsorted(bounds, np.arange(bounds[band.wide]), side="right") - 1
-        out = np.concatenate((out, mix(whole[within] - mixed[: bounds[band.wide]] + place[within])))
-    return distinct_sorted(out), empty
+        at = np.arange(bounds[band.wide])
+        within = np.searchsorted(bounds, at, side="right") - 1
+        at, within = at[sizes[within] > 1], within[sizes[within] > 1]
+        out = np.concatenate((out, mix(whole[within] - mixed[at] + place[within])))
+        loss = np.concatenate((loss, budget[within]))
+    out, first = np.unique(out, return_index=True)
+    return out, loss[first], int(budget.sum()) - most_apart(len(tokens), band, percent) - 1
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -129,66 +150,102 @@ def class_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
-def parity(tokens: np.ndarray, bits: int = 0) -> bytes:
-    """Bits that each token toggles: two bitmaps differ in no more bits than the sets in tokens."""
-    bits = bits or min(_MAX_BITS, max(64, 1 << int(len(tokens)).bit_length()))
+def parity(tokens: np.ndarray) -> bytes:
+    """Bits, as many as tokens or up to twice that, that each token toggles: two bitmaps differ in no more bits than the sets in tokens."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
     flags = (np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(flags).tobytes()
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _may_link(percent: int) -> Column:
-    """Whether the sizes and sketches of x and y allow a link, as a condition of a join."""
-    apart = reduce(add, [F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH)])
-    sizes = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
-    return sizes & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of so many words that the same set has."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0) if len(bitmap) > words else bitmap
 
 
 def _features(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, bitmaps, sketches = [], [], [], []
+            sizes, names, bitmaps = [], [], []
             for tokens in shingle_sets(batch.column("text"), width):
                 sizes.append(len(tokens))
                 names.append(class_of(tokens) if len(tokens) else None)
                 bitmaps.append(parity(tokens) if len(tokens) else None)
-                sketches.append(np.frombuffer(parity(tokens, 64 * SKETCH), np.int64))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "id", "same", "n", "cls", "bitmap", "sketch"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("id"), batch.column("same"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bitmaps, pa.binary())], names=["doc_id", "id", "same", "n", "cls", "bitmap"])
+        trim()
 
     return run
 
 
+#: entry, class, band (and _FAILS), budget, spare.
+_ENTRY = ("u8", "i8", "u1", "u1", "u2")
+_FAILS = 128
+
+
+def _part(entry: np.ndarray, parts: int) -> np.ndarray:
+    return ((entry >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
 def _index(width: int, percent: int, parts: int) -> Callable:
+    """Entries by segments; a set that fails in a band is marked by a record of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen, table = Packer(parts), set(), bands(percent)
+        packer, seen = Packer(parts), set()
         for batch in batches:
             for tokens in shingle_sets(batch.column("text"), width):
                 if not len(tokens) or (name := class_of(tokens)) in seen:
                     continue
                 seen.add(name)
                 for number in bands_of(len(tokens), percent):
-                    found, empty = entries(tokens, number, table[number])
+                    found, loss, spare = entries(tokens, number, percent)
+                    code = np.full(len(found), number, np.uint8)
+                    if spare < 0:
+                        found, loss, code = np.append(found, np.uint64(name & (1 << 64) - 1)), np.append(loss, 0), np.append(code, np.uint8(number | _FAILS))
                     n = len(found)
-                    part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                    yield from packer.add(part, found, np.full(n, name, np.int64), np.full(n, number, np.uint8), np.full(n, min(empty, 65535), np.uint16))
+                    yield from packer.add(_part(found, parts), found, np.full(n, name, np.int64), code, loss.astype(np.uint8), np.full(n, min(max(spare, 0), 65535), np.uint16))
+        yield from packer.flush()
+        trim()
+
+    return run
+
+
+def _finest(width: int, percent: int, parts: int) -> Callable:
+    """Entries of the finest partition: every token, in each band that ``bands`` of the row names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts)
+        for batch in batches:
+            for tokens, numbers in zip(shingle_sets(batch.column("text"), width), batch.column("bands").to_pylist(), strict=True):
+                name, n = class_of(tokens), len(tokens)
+                for number in numbers:
+                    found = mix(tokens + mix(np.array([number + 1000], np.uint64)))
+                    yield from packer.add(_part(found, parts), found, np.full(n, name, np.int64), np.full(n, number, np.uint8), np.zeros(n, np.uint8), np.zeros(n, np.uint16))
         yield from packer.flush()
+        trim()
 
     return run
 
 
-_ENTRY = ("u8", "i8", "u1", "u2")
+_SHARED = "entry long, cls long, band int, loss int, spare int, classes long"
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Entries of a part that several classes have, with their number of classes."""
-    entry, name, number, empty = gather(table, _ENTRY)
-    order = np.lexsort((name, entry))
-    entry, name, number, empty = entry[order], name[order], number[order], empty[order]
+    """Entries of a part that several classes have, with their number of classes; marks have none."""
+    entry, name, number, loss, spare = gather(table, _ENTRY)
+    order = np.lexsort((number, name, entry))
+    entry, name, number = entry[order], name[order], number[order]
     if len(entry):
-        new = np.concatenate(([True], (entry[1:] != entry[:-1]) | (name[1:] != name[:-1])))
-        entry, name, number, empty = entry[new], name[new], number[new], empty[new]
-    _, inverse, count = np.unique(entry, return_inverse=True, return_counts=True)
-    many = count[inverse] > 1
-    return pa.table([pa.array(entry[many].astype(np.int64)), pa.array(name[many]), pa.array(number[many].astype(np.int32)), pa.array(empty[many].astype(np.int32)), pa.array(count[inverse][many])], names=["entry", "cls", "band", "empty", "classes"])
+        new = np.concatenate(([True], (entry[1:] != entry[:-1]) | (name[1:] != name[:-1]) | (number[1:] != number[:-1])))
+        entry, name, number, order = entry[new], name[new], number[new], order[new]
+    mark = number >= _FAILS
+    first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))[: len(entry)])
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(entry))))
+    count = np.bincount(group, ~mark)[group].astype(np.int64) if len(entry) else np.zeros(0, np.int64)
+    count[mark] = 0
+    pick = mark | (count > 1)
+    order = order[pick]
+    out = pa.table([pa.array(entry[pick].view(np.int64)), pa.array(name[pick]), pa.array((number[pick] & (_FAILS - 1)).astype(np.int32)), pa.array(loss[order].astype(np.int32)), pa.array(spare[order].astype(np.int32)), pa.array(count[pick])], names=["entry", "cls", "band", "loss", "spare", "classes"])
+    trim()
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -197,13 +254,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verify(width: int, percent: int) -> Callable:
+    """Rows come in runs of one ``a``, whose text is hashed once a run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, len(whole), 256):
-                batch = whole.slice(a, 256)
-                first = list(shingle_sets(batch.column("text_a"), width))
-                keep = [k for k, tokens in enumerate(shingle_sets(batch.column("text_b"), width)) if linked(first[k], tokens, percent)]
-                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        for batch in batches:
+            a = np.asarray(batch.column("a"))
+            new = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))[: len(a)])
+            firsts = shingle_sets(batch.column("text_a").take(pa.array(new, pa.int64())), width)
+            keep, starts = [], set(new.tolist())
+            for k, tokens in enumerate(shingle_sets(batch.column("text_b"), width)):
+                if k in starts:
+                    first = next(firsts)
+                if linked(first, tokens, percent):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        trim()
 
     return run
 
@@ -219,30 +284,144 @@ def _close(percent: int) -> Callable:
                 if 100 * min(n_a[k], n_b[k]) < percent * max(n_a[k], n_b[k]):
                     continue
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(x) < len(y):
-                    x, y = y, x
-                while len(x) > len(y):
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                if int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n_a[k] + n_b[k]) * (100 - percent):
+                words = min(len(x), len(y))
+                if int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) * (100 + percent) <= (n_a[k] + n_b[k]) * (100 - percent):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs of classes (a, b) that link: bitmaps first, then whole texts."""
-    side = {s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab"}
-    close = checkpoint(pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(_close(percent), "a long, b long"))
-    wanted = checkpoint(close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(classes.select("cls", "at.id", "at.same"), "cls"))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select("id", "same", "text").join(F.broadcast(wanted) if few else wanted, ["id", "same"]).groupBy("cls").agg(F.min("text").alias("text"))
-    return (
-        close.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_verify(width, percent), "a long, b long")
-    )
+def _sketch(percent: int) -> Callable:
+    """Bitmaps folded to the length that sketches have in a band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bands(percent)
+        for batch in batches:
+            out = []
+            for number, raw in zip(batch.column("band").to_pylist(), batch.column("bitmap"), strict=True):
+                smallest = max(1, table[number].low * percent // 100)
+                bits = min(SKETCH_BITS, max(64, 1 << (smallest - 1).bit_length()))
+                out.append(fold(np.frombuffer(raw.as_py(), np.uint64), bits // 64).view(np.int64))
+            yield pa.record_batch([batch.column("cls"), batch.column("band"), batch.column("n"), pa.array(out, pa.list_(pa.int64()))], names=["cls", "band", "n", "sketch"])
+
+    return run
+
+
+def _may_link(percent: int) -> Column:
+    """Whether the sizes and sketches of x and y allow a link, as a condition of a join."""
+    apart = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, p: total + p)
+    sizes = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+    return sizes & (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+
+
+class _Join:
+    """The classes of a corpus, the links found so far, and the components they make."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+        self.links, self.found = None, None
+
+    def texts(self, names: DataFrame) -> DataFrame:
+        """Texts of the classes named, one each; further columns of ``names`` stay."""
+        more = [F.first(c).alias(c) for c in names.columns if c != "cls"]
+        wanted = checkpoint(names.join(self.classes.select("cls", "at.id", "at.same"), "cls"))
+        few = wanted.count() * 24 <= BROADCAST_BYTES and not more
+        return self.docs.select("id", "same", "text").join(F.broadcast(wanted) if few else wanted, ["id", "same"]).groupBy("cls").agg(F.min("text").alias("text"), *more)
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sizes and bitmaps allow a link."""
+        side = {s: self.classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bitmap_{s}")) for s in "ab"}
+        return checkpoint(pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(_close(self.percent), "a long, b long"))
+
+    def verify(self, close: DataFrame) -> None:
+        """Adds those of the pairs that link, by their whole texts, and unites their components."""
+        texts = self.texts(close.select(F.col("a").alias("cls")).union(close.select("b")).distinct())
+        pairs = close.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        links = checkpoint(pairs.mapInArrow(_verify(self.width, self.percent), "a long, b long"))
+        if not links.take(1):
+            return
+        if self.found is not None:  # an edge from each class to its component says what the links so far say
+            links = links.unionByName(self.found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.found = checkpoint(components(links))
+
+    def place(self, rows: DataFrame, name: str = "cls") -> DataFrame:
+        """``rows`` with the component of the class in column ``name``."""
+        if self.found is None:
+            return rows.withColumn("component", F.col(name))
+        return rows.join(self.found.withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
+
+    def open(self, kept: DataFrame) -> DataFrame:
+        """The rows of entries that still span several components, with these."""
+        placed = self.place(kept)
+        split = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("entry")
+        return checkpoint(placed.join(split, "entry"))
+
+    def settle(self, kept: DataFrame) -> DataFrame:
+        """Compares classes with the first of each entry: at first one for each class, then the other pairs not yet united. Returns what is open."""
+        first = kept.groupBy("entry").agg(F.min("cls").alias("a"))
+        pairs = kept.join(first, "entry").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+        close = self.close(pairs)
+        self.verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        left = self.place(self.place(close, "a").withColumnRenamed("component", "other"), "b").where("component <> other").select("a", "b")
+        self.verify(checkpoint(left))
+        return self.open(kept)
+
+    def across(self, rows: DataFrame) -> None:
+        """Compares the classes of each entry that are not of its largest component with all of it in other components."""
+        size = rows.groupBy("entry", "component").agg(F.count("*").alias("c"))
+        whole = size.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.ceil(F.sum("c") / SALT_ROWS).alias("salts"))
+        sketches = checkpoint(rows.select("cls", "band").distinct().join(self.classes.select("cls", "n", "bitmap"), "cls").mapInArrow(_sketch(self.percent), "cls long, band int, n long, sketch array<long>"))
+        full = rows.select("entry", "cls", "band", "component").join(whole, "entry").join(sketches, ["cls", "band"])
+        x = full.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
+        y = full.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        apart = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component"))
+        apart &= (F.col("y.component") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+        pairs = x.alias("x").join(y.alias("y"), apart & _may_link(self.percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        self.verify(self.close(pairs))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of ``docs`` (doc_id, id, same, text): doc_id, id, same, n, cls and component, the latter null without words."""
+    spark = docs.sparkSession
+    features = checkpoint(docs.mapInArrow(_features(width), "doc_id long, id long, same long, n long, cls long, bitmap binary"))
+    classes = checkpoint(features.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "same")).alias("at"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")))
+    join = _Join(docs, classes, width, percent)
+    parts_of = lambda records: max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(records) // 1_500_000)
+    parts = parts_of((features.agg(F.sum("n")).first()[0] or 0) * 5 * (100 - percent) / (100 + percent))
+    index = docs.select("text").mapInArrow(_index(width, percent, parts), SCHEMA)
+    shared = checkpoint(index.groupBy("part").applyInArrow(_shared, _SHARED))
+    open_ = join.settle(shared.where("classes > 1").select("entry", "cls", "band", "loss", "spare"))
+
+    spans = open_.groupBy("entry").agg(F.countDistinct("component").alias("spans"))
+    open_ = checkpoint(open_.drop("component").join(spans, "entry"))
+    fails = shared.where("classes = 0").select("cls", "band")
+    poor = open_.where(F.col("spans") > HOT).groupBy("cls", "band").agg(F.sum("loss").alias("loss"), F.min("spare").alias("spare")).where("loss > spare").select("cls", "band")
+    members = checkpoint(fails.unionByName(poor).distinct())
+    rest = open_.where(F.col("spans") <= HOT).select("entry", "cls", "band")
+    if members.take(1):
+        names = members.groupBy("cls").agg(F.collect_set("band").alias("bands"))
+        parts = parts_of(members.join(classes, "cls").agg(F.sum("n")).first()[0] or 0)
+        fine = join.texts(names).select("text", "bands").mapInArrow(_finest(width, percent, parts), SCHEMA)
+        fine = checkpoint(fine.groupBy("part").applyInArrow(_shared, _SHARED)).select("entry", "cls", "band", "classes")
+        # A token that no other member has takes a place among the rarest, too.
+        high = F.element_at(F.array(*[F.lit(b.high - 1).cast("long") for b in bands(percent)]), F.col("band") + 1)
+        most = F.floor((F.col("n") + F.least(high, F.floor(100 * F.col("n") / percent))) * (100 - percent) / (100 + percent))
+        by = W.partitionBy("cls", "band")
+        ranked = fine.withColumns({"rank": F.row_number().over(by.orderBy("classes", "entry")), "all": F.count("*").over(by)})
+        rare = ranked.join(classes.select("cls", "n"), "cls").where(F.col("rank") <= most + 1 - (F.col("n") - F.col("all"))).select("entry", "cls", "band")
+        rest = rest.unionByName(join.settle(checkpoint(rare)).select("entry", "cls", "band"))
+    rest = join.open(rest)
+    if rest.take(1):
+        join.across(rest)
+    return join.place(features.drop("bitmap"))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """A text is found again by its id and a hash, so ids that are null or stand for several texts do no harm."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("same"), "text")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -254,52 +433,32 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     smallest doc_id reachable by links. A null, empty or blank text has no shingles and links
     with nothing, so its component is its own doc_id. Rows that repeat a doc_id are each
     returned; a null doc_id is kept, and its component is the smallest other one or null. An empty
-    table gives an empty result.
+    table gives an empty result. Texts may be of any length: memory goes with the longest alone.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # A text is found again by its id and a hash, so ids that are null or stand for several texts do no harm.
-    docs = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "same": F.xxhash64("text")})
-    features = checkpoint(docs.mapInArrow(_features(width), "doc_id long, id long, same long, n long, cls long, bitmap binary, sketch array<long>"))
-    classes = checkpoint(features.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("id", "same")).alias("at"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("sketch").alias("sketch")))
-    volume = features.agg(F.sum("n")).first()[0] or 0
-    fraction = 4 * (100 - percent) / (100 + percent)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume * fraction) // 3_000_000)
-
-    index = docs.select("text").mapInArrow(_index(width, percent, parts), SCHEMA)
-    shared = checkpoint(index.groupBy("part").applyInArrow(_shared, "entry long, cls long, band int, empty int, classes long"))
-    slack = F.element_at(F.array(*[F.lit(b.slack) for b in bands(percent)]), F.col("band") + 1)
-    hot = shared.where(F.col("classes") > HOT).groupBy("cls", "band").agg(F.count("*").alias("hot"))
-    kept = shared.where(F.col("classes") <= HOT).select("entry", "cls").unionByName(
-        shared.where(F.col("classes") > HOT).join(hot, ["cls", "band"]).where(F.col("hot") + F.col("empty") > slack).select("entry", "cls")
-    )
-    first = kept.groupBy("entry").agg(F.min("cls").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    kept = checkpoint(kept.join(first, "entry"))
-
-    pairs = kept.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
-    links = checkpoint(_links(pairs, classes, docs, width, percent))
-    found = components(links)
-
-    placed = kept.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    split = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("entry")
-    open_ = checkpoint(placed.join(split, "entry").where("cls <> first").select("entry", "cls", "component").join(classes.select("cls", "n", "sketch"), "cls"))
-    across = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.cls") < F.col("y.cls"))
-    rest = open_.alias("x").join(open_.alias("y"), across & _may_link(percent)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = checkpoint(_links(rest, classes, docs, width, percent))
-    if more.take(1):
-        found = components(links.unionByName(more))
-
-    named = classes.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.select("cls", "component").join(smallest, "component").select("cls", "component_id")
-    return features.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = _grouped(_plain(docs), width, percent)
+    smallest = rows.where("cls is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(smallest, "component", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group of near copies.
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id, a null one counting as the largest.
 
-    Of rows that repeat a doc_id all are judged by that id. Texts without words all stay.
+    Of rows alike in doc_id and text one stays, of several texts of that doc_id the one of the smallest hash. Texts
+    without words, null ones too, all stay: they are in no group.
     """
-    found = jaccard_components(docs, width, percent)
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    rows = checkpoint(_grouped(_plain(docs), width, percent).where("cls is not null"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "same")
+    first = rows.groupBy("component").agg(F.min(order).alias("f"))
+    judged = rows.join(first, "component").select("id", "same", (F.col("same").eqNullSafe(F.col("f.same")) & F.col("doc_id").eqNullSafe(F.col("f.doc_id"))).alias("stays"))
+    judged = checkpoint(judged.groupBy("id", "same").agg(F.first("stays").alias("stays"), F.count("*").alias("rows")))
+    id_, same = unused(docs, "id"), unused(docs, "same")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), same: F.xxhash64(F.col("text").cast("string"))})
+    on = lambda frame: frame.select(F.col("id").alias(id_), F.col("same").alias(same))
+    repeated = on(judged.where("stays and rows > 1"))
+    out = keyed.join(on(judged.where("not stays or rows > 1")), [id_, same], "left_anti")
+    if repeated.take(1):
+        rank = unused(docs, "rank")
+        again = keyed.join(repeated, [id_, same]).withColumn(rank, F.row_number().over(W.partitionBy(id_, same).orderBy(F.lit(0))))
+        out = out.unionByName(again.where(F.col(rank) == 1).drop(rank))
+    return out.select(docs.columns)
