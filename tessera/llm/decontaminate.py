@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._blobs import trim
+from tessera.llm._graph import unused
+
 #: Characters of benchmark items that one pass looks for; more are looked for in several passes.
 BLOCK_CHARS = 2_000_000
 #: At a budget of a tenth each edit may destroy so many grams, and four tenths of them remain.
@@ -101,17 +104,26 @@ class Finder:
         if at:
             self.automaton.make_automaton()
         self.empty = not at
+        #: Distinct grams of the items looked at, no more than they have characters, and one mask that all use in turn.
         self.grams: dict[int, tuple[np.ndarray, int]] = {}
+        self.mask = np.zeros(1 << 16, dtype=bool)
 
     def _may(self, k: int, codes: np.ndarray, a: int, b: int) -> bool:
         """An edit destroys ``GRAM`` grams at most."""
         if k not in self.grams:
             _, text, budget = self.items[k]
-            own = np.zeros(1 << 16, dtype=bool)
-            own[_codes(text)] = True
-            self.grams[k] = own, int(np.count_nonzero(own)) - GRAM * budget
+            own = np.unique(_codes(text))
+            self.grams[k] = own, len(own) - GRAM * budget
         own, least = self.grams[k]
-        return int(np.count_nonzero(own[codes[a : max(a, b - GRAM + 1)]])) >= least
+        if least <= 0:
+            return True
+        self.mask[own] = True
+        found = int(np.count_nonzero(self.mask[codes[a : max(a, b - GRAM + 1)]]))
+        self.mask[own] = False
+        return found >= least
+
+    def holds(self, text: str) -> bool:
+        return next(self.find(text), None) is not None
 
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, start, stop, distance) of the best passage for each item, in the text as it was."""
@@ -153,30 +165,57 @@ def _scan(items: list[tuple[int, str]], percent: int) -> Callable:
                     rows += [(doc_id.as_py(), *hit) for hit in finder.find(text.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "stop", "distance"])
+        trim()
+
+    return run
+
+
+def _without(items: list[tuple[int, str]], percent: int, column: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(items, percent)
+        for batch in batches:
+            keep = [not (text.is_valid and finder.holds(text.as_py())) for text in batch.column(column)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return run
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Distinct items in blocks of ``BLOCK_CHARS`` or so, or one item if that is longer."""
+    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    volume = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = max(1, -(-volume // BLOCK_CHARS))
+    for k in range(blocks):
+        block = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else texts
+        yield [(r.item_id, normalise(r.text)) for r in block.orderBy("item_id", "text").collect()]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame:
     """Pairs of documents and benchmark items that they hold: doc_id, item_id, start, stop, distance.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text, either any further columns. One row
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text, either any further columns, which are not read. One row
     for each pair, its best passage (least distance, then first), as characters of the text. Null,
-    empty or blank texts and items match nothing; repeated rows match each; a null id stays null.
+    empty or blank texts and items match nothing; repeated rows match each; a null id stays null. Texts of any
+    length are searched whole. The documents are scanned once for each ``BLOCK_CHARS`` characters of the benchmark.
     """
-    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    volume = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-volume // BLOCK_CHARS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for k in range(blocks):
-        block = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else texts
-        items = [(r.item_id, normalise(r.text)) for r in block.orderBy("item_id", "text").collect()]  # BLOCK_CHARS or so
+    for items in _blocks(benchmark):
         found = docs.mapInArrow(_scan(items, percent), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows of null doc_id stay."""
-    return docs.join(matches(docs, benchmark, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold a benchmark item; each row is judged by its own text, in the scan of it.
+
+    Rows of null doc_id are judged like the others, and rows that share an id with a dirty one stay if they are clean.
+    """
+    text = next(c for c in docs.columns if c.lower() == "text")
+    out = docs
+    if docs.schema[text].dataType.simpleString() != "string":
+        out, text = docs.withColumn(unused(docs, "plain"), F.col(text).cast("string")), unused(docs, "plain")
+    for items in _blocks(benchmark):
+        out = out.mapInArrow(_without(items, percent, text), out.schema)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,6 +9,7 @@ other. Tokens that cross a boundary go where a stated rule says.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._blobs import trim
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,9 +39,24 @@ def _encoder(ranks: bytes):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), sizes
 
 
+#: Runs of blanks as the pattern sees them (Unicode's White_Space), too long for its look-ahead, which goes back by single characters.
+_LONG_RUN = re.compile("(?<![{0}])[{0}]{{1000,}}".format("\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
+
+
+def encode(text: str, encoder) -> list[int]:
+    """The tokens of a text, long runs of blanks apart: all of a run but its last blank, or all at the end of the text, is one piece to the pattern, too."""
+    found, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        found += encoder.encode_ordinary(text[at : run.start()])
+        found += encoder._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return found + encoder.encode_ordinary(text[at:] if at else text)
+
+
 def token_spans(text: str, encoder, sizes: np.ndarray) -> np.ndarray:
     """Edges of the tokens of a text in its UTF-8 bytes: token k is from edge k to edge k + 1."""
-    found = np.asarray(encoder.encode_ordinary(text), dtype=np.int64)
+    found = np.asarray(encode(text, encoder), dtype=np.int64)
     return np.concatenate(([0], np.cumsum(sizes[found])))
 
 
@@ -112,6 +130,7 @@ def _count(ranks: bytes, columns: list[str], rule: str, separator: str) -> Calla
                 [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(sections, pa.int64()), pa.array(crossing, pa.int64()), pa.array(counts, pa.list_(pa.float64()))],
                 names=[*kept, "n_tokens", "n_sections", "n_crossing", "section_tokens"],
             )
+        trim()
 
     return run
 
@@ -122,12 +141,21 @@ def token_counts(rows: DataFrame, keys: list[str], columns: list[str], rule: str
     One column: the sections are its lines. Several: they are the fields of a text that joins them by
     ``separator``, whose bytes belong to none. Returns ``keys`` and n_tokens, n_sections, n_crossing (tokens not wholly in one
     section) and section_tokens, in order. With the rule "first" and lines all tokens are
-    given out. A null text is empty: no tokens, and no lines or an empty field. Repeated rows are
-    each counted. ``vocabulary`` is a local file that the driver reads and ships, of ranks by line.
+    given out; where shares of a token tie ("most") the first section has it. A null text is empty: no tokens, and no
+    lines or an empty field. Repeated rows are each counted, texts of any length encoded whole. A key that has the name
+    of a result is returned as ``key_<name>``. ``vocabulary`` is a file that the driver reads and ships whole, of
+    ranks by line (some hundreds of kilobytes); an empty table gives an empty result.
     """
     with open(vocabulary, "rb") as file:
         ranks = file.read()
-    clash = {c: f"_{c}" for c in columns}
-    narrow = rows.select(*[F.col(k) for k in keys], *[F.col(c).cast("string").alias(clash[c]) for c in columns])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*keys).schema)
-    return narrow.mapInArrow(_count(ranks, list(clash.values()), rule, separator), f"{schema}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")
+    results = ("n_tokens", "n_sections", "n_crossing", "section_tokens")
+    key = rows.select(*[F.col(f"`{k}`").alias(f"key_{k}" if k.lower() in results else k) for k in keys])
+    names = []
+    for c in columns:
+        name = f"text_{len(names)}"
+        while name.lower() in {k.lower() for k in key.columns}:
+            name += "_"
+        names.append(name)
+    narrow = rows.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, key.columns, strict=True)], *[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(columns, names, strict=True)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key.schema)
+    return narrow.mapInArrow(_count(ranks, names, rule, separator), f"{schema}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._blobs import trim
+from tessera.llm._graph import checkpoint, unused
 from tessera.llm._text import IS_SPACE, chunks, distinct_sorted, mix, prefix_hash, span_hash, word_spans
 
 BITS = 20
 #: The classifier is fitted on at most so many labelled rows, those of the smallest hash of doc_id.
 MAX_LABELLED = 20_000
-#: Models of disjoint shares of these rows are averaged; one learns most from few rows.
-SHARDS = 1
 #: A word counts by its first bytes, so many of them, too.
 STEMS = (5, 7)
 _SKIP = np.uint64(0xA24BAED4963EE407)
@@ -76,65 +76,90 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _train(bits: int, epochs: int, options: dict) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table.column("rank")), kind="stable")
-        labels = np.asarray(table.column("label"))
-        rows = list(features(table.column("text").combine_chunks(), bits))
+def _extract(bits: int) -> Callable:
+    """Slots in place of the texts; there are ``2 ** bits`` at most, however long a text is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([s.tolist() for s in features(batch.column("text"), bits)], pa.list_(pa.int32()))
+            yield pa.record_batch([batch.column("rank"), batch.column("label"), found], names=["rank", "label", "slots"])
+        trim()
+
+    return run
+
+
+def _train(bits: int, options: dict) -> Callable:
+    """Learns the rows as they come, in order, and holds none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(bits, **options)
-        for _ in range(epochs):
-            for k in order:
-                model.learn(rows[k], int(labels[k]))
+        for batch in batches:
+            for at, label in zip(batch.column("slots"), batch.column("label").to_pylist(), strict=True):
+                model.learn(np.asarray(at.values), label)
         w = model.weights(slice(None))
         used = np.flatnonzero(w)
-        return pa.table({"slot": pa.array(used, pa.int64()), "weight": pa.array(w[used])})
+        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(w[used])], names=["slot", "weight"])
+        trim()
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int = MAX_LABELLED, shards: int = SHARDS, epochs: int = 4, **options) -> np.ndarray:
-    """Weights by slot, the bias last, averaged over models of ``shards`` shares of the rows.
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int = MAX_LABELLED, epochs: int = 4, **options) -> np.ndarray | None:
+    """Weights by slot, the bias last; None where nothing can be told apart, as labels of both kinds are wanting.
 
     Learns from the rows of ``labels`` (doc_id, toxic) that are not held out, at most
-    ``max_labelled`` of them. Null ids and null labels are left out, and an id with labels
-    of both kinds counts as toxic. Without any labelled row all weights are 0.
+    ``max_labelled`` of them, those of the smallest hash of doc_id. Null ids and null labels are left out, an id with labels
+    of both kinds counts as toxic, and of rows of ``docs`` that repeat an id each is learnt from. The texts' slots are
+    found in parallel; the model passes over them ``epochs`` times in the order of that hash, as a stream.
     """
     marks = labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     # At most ``max_labelled`` rows of three numbers, so they can be shipped to the texts.
     chosen = marks.withColumn("rank", F.xxhash64("doc_id", F.lit(17))).orderBy("rank", "doc_id").limit(max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod("rank", F.lit(shards)))
-    parts = rows.groupBy("shard").applyInArrow(_train(bits, epochs, options), "slot long, weight double")
-    found = parts.groupBy("slot").agg(F.sum("weight").alias("weight")).toArrow()  # 2 ** bits + 1 rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = checkpoint(rows.select("rank", "label", "text").mapInArrow(_extract(bits), "rank long, label int, slots array<int>"))
+    if found.agg(F.countDistinct("label")).first()[0] < 2:
+        return None
+    passes = found.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    ordered = passes.repartition(1).sortWithinPartitions("epoch", "rank", F.hash("slots"))  # at most epochs * max_labelled rows
     weights = np.zeros((1 << bits) + 1)
-    weights[np.asarray(found.column("slot"), dtype=np.int64)] = np.asarray(found.column("weight")) / max(1, shards)
+    table = ordered.select("label", "slots").mapInArrow(_train(bits, options), "slot long, weight double").toArrow()  # 2 ** bits + 1 rows at most
+    weights[np.asarray(table.column("slot"), dtype=np.int64)] = np.asarray(table.column("weight"))
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with a further column ``score`` of 0 to 1, the chance of label 1; a null text is empty."""
+def score(docs: DataFrame, weights: np.ndarray | None, name: str = "score") -> DataFrame:
+    """``docs`` with a further column ``name`` of 0 to 1, the chance of label 1; a column of that name in any case is replaced.
+
+    A null text is empty. Without weights all scores are 0.5.
+    """
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
+    if weights is None:
+        return kept.withColumn(name, F.lit(0.5))
     bits = (len(weights) - 1).bit_length() - 1
     used = np.flatnonzero(weights)
     shipped = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used]))
-    columns = [c for c in docs.columns if c != "score"]
+    columns, text = kept.columns, next(c for c in kept.columns if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values = shipped.value
         full = np.zeros((1 << bits) + 1)
         full[at] = values
         for batch in batches:
-            sums = np.array([full[s].sum() for s in features(batch.column("text"), bits)]) + full[-1]
-            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))) if len(batch) else [], pa.float64())], names=[*columns, "score"])
+            sums = np.array([full[s].sum() for s in features(batch.column(text).cast(pa.string()), bits)]) + full[-1]
+            yield pa.record_batch([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))) if len(batch) else [], pa.float64())], names=[*columns, name])
+        trim()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(columns).schema)
-    return docs.select(columns).mapInArrow(run, f"{schema}, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text, any others).
 
-    Repeated rows score alike; a null, empty or blank text scores the bias. Label tables may have
-    further columns, which are not read, nor is any column of ``docs`` but doc_id and text.
+    Repeated rows score alike; a null, empty or blank text scores the bias, a very long one by all its words. Label
+    tables may have further columns, which are not read, nor is any column of ``docs`` but doc_id and text. Where
+    labels of both kinds are wanting all scores are 0.5. An empty table gives an empty result.
     """
     weights = fit(docs, labels, **options)
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), is_held_out().alias("held_out")), weights)
@@ -142,6 +167,9 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows predicted toxic."""
+    """``docs`` without the rows predicted toxic; all of them where nothing could be learnt."""
     weights = fit(docs, labels, **options)
-    return score(docs, weights).where("score < 0.5").select(docs.columns)
+    if weights is None:
+        return docs
+    name = unused(docs, "score")
+    return score(docs, weights, name).where(F.col(name) < 0.5).select(docs.columns)

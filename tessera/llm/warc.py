@@ -21,8 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 from tessera.llm._graph import checkpoint, shared_folder
 
-#: Repeated payloads up to which their list is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of the list of repeated payloads (a digest and a number each) up to which it is broadcast; a longer one is joined by shuffle, salted.
+BROADCAST_BYTES = 16 << 20
+SALTS = 64
 SCHEMA = "warc_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_length long, content_length long, payload binary"
 _HEADERS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _BATCH_BYTES = 8 << 20
@@ -42,14 +43,18 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "
     response and the others revisit it; smaller payloads are all responses. A null html is an empty payload,
     a null url gives no WARC-Target-URI, and control characters and blanks of a url are written as %20.
     Rows that repeat the smallest page_id with that payload are responses too; a null page_id is
-    never the smallest unless there is no other.
+    never the smallest unless there is no other. Pages may be of any length; columns beyond the three are not read.
     """
     page = F.col("page_id").cast("long")
     rows = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
     seen = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     seen = checkpoint(seen.select("digest", "first", F.lit(True).alias("again")))
-    rows = rows.join(F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen, "digest", "left")
+    if seen.count() * 64 <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(seen), "digest", "left")
+    else:  # a payload that very many pages have is spread over as many keys
+        salted = seen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted, ["digest", "salt"], "left")
     revisit = F.coalesce(F.col("again"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("bytes") >= least_bytes)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -94,15 +99,27 @@ def _lines_and_blocks(stream) -> Iterator[tuple[dict[str, str], int]]:
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins with {line[:40]!r}")
         headers = {}
-        while (line := stream.readline().strip(b"\r\n")) != b"":
+        while (raw := stream.readline()).strip(b"\r\n"):
+            line = raw.strip(b"\r\n")
             key, _, value = line.decode("utf-8", "replace").partition(":")
             headers[key.strip().lower()] = value.strip()
-        yield headers, int(headers.get("content-length", 0))
+        if not raw or "content-length" not in headers:
+            raise ValueError("the archive ends within a header, or a record has no Content-Length")
+        yield headers, int(headers["content-length"])
 
 
 def _pass_over(stream, size: int) -> None:
     while size > 0:
-        size -= len(stream.read(min(size, 1 << 20))) or size
+        if not (found := len(stream.read(min(size, 1 << 20)))):
+            raise ValueError(f"the archive ends {size} bytes before its last block does")
+        size -= found
+
+
+def _take(stream, size: int) -> bytes:
+    block = stream.read(size)
+    if len(block) < size:
+        raise ValueError(f"the archive ends {size - len(block)} bytes before its last block does")
+    return block
 
 
 class WarcReader(DataSourceReader):
@@ -141,7 +158,7 @@ class WarcReader(DataSourceReader):
                     continue
                 payload = None
                 if self.payload and values["warc_type"] != "revisit":
-                    payload = stream.read(size)
+                    payload = _take(stream, size)
                     if headers.get("content-type", "").startswith("application/http"):
                         payload = payload.partition(b"\r\n\r\n")[2]
                     held += len(payload)
@@ -173,6 +190,8 @@ class WarcDataSource(DataSource):
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of the archives at ``path``, a file or folder: the columns of ``SCHEMA``.
 
+    An archive that is cut short is an error, never a shorter result.
+
     Equality and IN on warc_type and the other header columns are pushed into the reader, for which
     this turns on ``spark.sql.python.filterPushdown.enabled``.
     """

@@ -21,6 +21,22 @@ CASES = [
     ("<head><title>T</title></head><body>b", "b"),
     ("<table><tr><td><table><tr><td>in<td>ner</table><td>o</table>", "in  ner  o"),
     ("<p>unclosed <b>bold", "unclosed bold"),
+    ("<html><head><title>T</title><body><p>Hello</p>", "Hello"),
+    ("<head><title>T</title><p>Hello", "Hello"),
+    ("<head><meta charset=x>\n words", "words"),
+    ("<p>a<head>b", "ab"),
+    ("<ol><li value='²'>a<li value=7>b<li>c<ol start=-1><li>d</ol></ol>", "1. a\n7. b\n8. c\n\n   -1. d"),
+    (f"<table><tr><td colspan={'9' * 5000}>a<td rowspan={'0' * 6000}2>b<tr><td>c</table>", "a  b\nc"),
+    (f"x&#{'9' * 6000};y&#{'0' * 6000}65;z", "x\ufffdyAz"),
+    ("<div style='visibility: hidden'>no <b style='visibility:visible'>yes</b> no</div>", "yes"),
+    ("<a title=\"x>y\" href='q'>t</a><b class=a\"b>u</b>", "tu"),
+    ("<ul><li><p>a</p><p>b</p></li><li></li><li>c</ul>d", "- a\n\n  b\n- c\n\nd"),
+    ("<ul><li><ul><li>x</ul><li>y</ul>", "- - x\n- y"),
+    ("<blockquote><ul><li>a</ul>b</blockquote>", "  - a\n\n  b"),
+    ("<noscript><p>no</p></noscript>x<title>t</title>", "x"),
+    ("cut <a href='", "cut <a href='"),
+    ("<p>a</p >b</body></html> c", "a\n\nb c"),
+    ("<ul>loose<li>a</ul>", "loose\n- a"),
     ("", ""),
     (None, ""),
 ]
@@ -37,6 +53,27 @@ def test_no_visible_word_is_lost_and_deep_nesting_ends():
     assert html.text_of("<" * 10_000).count("<") == 10_000
 
 
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 20_000, "<title>" * 20_000, "<title " * 20_000, "<a x='" * 20_000 + "z", "<b>" * 100_000 + "<div>" * 100_000 + "w", "<p><table><td>" + "<b>" * 50_000 + "<div>w" * 50_000,
+     "<blockquote>" * 50_000 + "w", "<ul><li>" * 50_000 + "w", "<table><tr><td>" * 30_000 + "w", "<table><tr><td colspan=1000 rowspan=9>w" + "<tr><td>x" * 30_000, "<!--" * 50_000, "<" * 100_000, "&" * 100_000, "<tr>" * 50_000, "</x>" * 100_000],
+)
+def test_time_is_in_proportion(page):
+    import time
+
+    began = time.time()
+    html.text_of(page)
+    assert time.time() - began < 5
+
+
+def test_deep_pages_lose_nothing():
+    for depth in (10, 160, 5000):
+        for tag in ("div", "b", "blockquote", "ul", "table><tr><td"):
+            page = f"<{tag}>" * depth + "<img alt='see me'><input value=val><pre>a\n b</pre><table><tr><td>c<td>d</table>"
+            found = html.text_of(page).split()
+            assert [w for w in found if w != "-"] == ["see", "me", "val", "a", "b", "c", "d"] or [w for w in found if w != "-"] == ["see", "meval", "a", "b", "c", "d"]
+
+
 def test_extract(spark):
     rows = [(1, "<title>A &lt; B</title><p>x", "u", "t"), (1, "<title>A &lt; B</title><p>x", "u", "t"), (2, None, None, "t"), (None, "", "v", None)]
     frame = spark.createDataFrame(rows, "page_id long, html string, url string, text string")

@@ -46,5 +46,10 @@ def test_pushdown_and_skipping(spark, tmp_path):
 
 def test_a_broken_archive_is_an_error(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(b"HELLO\r\n")
+    for cut in (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5000\r\n\r\nshort", b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 9\r\n\r\nshort", b"WARC/1.1\r\nContent-Len"):
+        (tmp_path / "cut.warc").write_bytes(cut)
+        for payload in (True, False):
+            with pytest.raises(Exception, match="the archive ends"):
+                warc.read_warc(spark, str(tmp_path / "cut.warc"), payload).collect()
     with pytest.raises(Exception, match="no WARC record"):
         warc.read_warc(spark, str(tmp_path / "x.warc")).collect()
