@@ -4,11 +4,13 @@ A byte is removed when it lies in a ``length``-byte string that also starts earl
 these strings without sorting all suffixes of the corpus in one place, each window of ``length``
 bytes is filed under its least k-gram hash, a function of the window alone, so equal windows
 always meet. Runs of windows with one least hash are one context. Contexts that are equal
-throughout need no sorting: only the first stays. The first ones of a hash that has several
-different contexts, and contexts that may repeat within themselves, are concatenated and their suffix
+throughout, by fingerprints modulo two primes, hash and length, need no sorting: only the first stays, picked in the task that
+reads them and then by content, so no content is hot. The different contexts of a hash, and contexts that may repeat
+within themselves, are concatenated and their suffix
 array is built: only suffixes smaller than their successors are sorted directly, the rest
 are induced from them by one scan of the buckets, and adjacent common prefixes of ``length`` bytes
-or more mark the windows that start earlier elsewhere.
+or more mark the windows that start earlier elsewhere. A hash of very many different contexts (the rims of
+a passage that many texts have) is split: each of its windows goes where its own fingerprint says, to a suffix array there.
 """
 
 from __future__ import annotations
@@ -20,19 +22,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._blobs import SCHEMA, Packer, decode, encode, gather
+from tessera.llm._blobs import SCHEMA, Packer, decode, encode, gather, trim
 from tessera.llm._graph import checkpoint
-from tessera.llm._text import chunks, mix, prefix_hash, span_hash, utf8
+from tessera.llm._text import chunks, mix, prefix_hash, prefix_marks, span_hash, span_marks, utf8
 
 GRAM = 20
-#: Bytes of contexts that one suffix array holds; hashes with more are split by their windows.
+#: Bytes of contexts that one suffix array holds; a hash with more is split by its windows.
 SORT_BYTES = 2 << 20
 _DEPTH = 8
-#: The place of a null doc_id, before any that occurs.
-_NULL = -(1 << 44)
 
 
 def _eights(text: np.ndarray, beyond: int) -> np.ndarray:
@@ -141,22 +140,100 @@ def _least_grams(data: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarra
     return grams
 
 
-#: hash, hash of the context, doc_id, first window, windows, whether windows may repeat within it.
-_CONTEXT = ("u8", "u8", "i8", "i8", "i4", "u1")
-#: doc_id, kind, hash, first window, windows; kind 0: remove these windows, 1: compare them.
-_SPAN = ("i8", "u1", "u8", "i8", "i4")
-_TEXT = ("u8", "i8", "i8", "i4")
+#: Contexts of one hash in a task beyond which all of its contexts are compared window by window.
+HOT = 64
+#: Contexts that a task holds before it deals them out.
+_HELD = 1 << 18
+#: least hash, fingerprint, doc_id, sub, first window, windows, whether windows may repeat within it.
+_CONTEXT = ("u8", "u8", "i8", "i8", "i8", "i4", "u1")
+#: least hash, doc_id, sub, first window, windows, whether windows may repeat within it (1) or the hash is hot (2).
+_DISTINCT = ("u8", "i8", "i8", "i8", "i4", "u1")
+#: doc_id, sub, kind, hash, first window, windows.
+_SPAN = ("i8", "i8", "u1", "u8", "i8", "i4")
+_REMOVE, _COMPARE, _BY_WINDOW = 0, 1, 2
+_TEXT = ("u8", "i8", "i8", "i8", "i4")
+#: Rows of blocks: the part, whether the block holds spans (0) or what is next compared (1).
+_BLOCKS = "part int, kind int, block binary"
 
 
-def _doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def _doc_part(ids: np.ndarray, subs: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64) ^ mix(subs.view(np.uint64))) % np.uint64(parts)).astype(np.int32)
+
+
+def _hash_part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(hashes) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
+def _place(doc: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    """Numbers that order documents as doc_id and, among texts of one, sub do."""
+    if not sub.any():
+        return doc
+    order = np.lexsort((sub, doc))
+    new = np.concatenate(([0], (doc[order][1:] != doc[order][:-1]) | (sub[order][1:] != sub[order][:-1])))
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _kind(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        yield pa.record_batch([x.column("part"), pa.array(np.full(len(x), kind, np.int32)), x.column("block")], names=["part", "kind", "block"])
+
+
+def _deal(part: np.ndarray, parts: int, kind: int, *columns: np.ndarray) -> list[pa.RecordBatch]:
+    packer = Packer(parts, 1 << 62)
+    return [*_kind(packer.add(part, *columns), kind), *_kind(packer.flush(), kind)]
+
+
+def _spans_of(parts: int, kind: int, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, count: np.ndarray, least: np.ndarray | None = None) -> list[pa.RecordBatch]:
+    n = len(doc)
+    return _deal(_doc_part(doc, sub, parts), parts, 0, doc, sub, np.full(n, kind, np.uint8), np.zeros(n, np.uint64) if least is None else least, begin, count)
+
+
+def _table(batches: list[pa.RecordBatch], passed: pa.Table) -> pa.Table:
+    """The batches, and the spans that came with a part and stay in it."""
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+    return pa.concat_tables([pa.Table.from_batches(batches, schema), passed.select(["part", "kind", "block"]).cast(schema)])
+
+
+def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Blocks of spans, and of what the part compares."""
+    next_ = np.asarray(table.column("kind")) == 1
+    return table.filter(pa.array(~next_)), table.filter(pa.array(next_))
+
+
+def _first_of_equal(least: np.ndarray, whole: np.ndarray, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are the first of those that are equal, and which come after them; rows alike are one."""
+    key = mix(whole ^ mix(least)) + count.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))[: len(key)]
+    single = new & np.append(new[1:], True)[: len(key)]
+    many = order[~single]
+    group = (np.cumsum(new) - 1)[~single]
+    place = _place(doc[many], sub[many])
+    inner = np.lexsort((begin[many], place, group))
+    many, group, place = many[inner], group[inner], place[inner]
+    first = np.concatenate(([True], group[1:] != group[:-1]))[: len(many)]
+    alike = np.concatenate(([False], (group[1:] == group[:-1]) & (place[1:] == place[:-1]) & (begin[many][1:] == begin[many][:-1])))[: len(many)]
+    return np.concatenate((order[single], many[first])), many[~first & ~alike]
 
 
 def _contexts(length: int, parts: int) -> Callable:
+    """Contexts by their content; of equal ones that a task holds the first alone, the others are to be removed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                held.clear()
+                first, rest = _first_of_equal(*columns[:6])
+                yield from _deal(_hash_part(columns[1][first], parts), parts, 1, *(c[first] for c in columns))
+                yield from _spans_of(parts, _REMOVE, *(c[rest] for c in columns[2:6]))
+
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
+            ids, subs = np.asarray(batch.column("doc_id")), np.asarray(batch.column("sub"))
             for row, data, offsets in chunks(batch.column("text"), 1 << 19):
                 if len(data) < length:
                     continue
@@ -172,7 +249,7 @@ def _contexts(length: int, parts: int) -> Callable:
                 first = np.flatnonzero(new)
                 count = np.diff(np.append(first, len(start)))
                 begin, doc, least = start[first], doc[first], least[first]
-                whole = span_hash(prefix, begin, begin + count + length - 1)
+                whole = span_marks(prefix_marks(data), begin, begin + count + length - 1)
                 # A k-gram is the least of at most so many windows in a row, unless it comes again.
                 k = min(GRAM, length)
                 at = np.arange(len(data) - k + 1)
@@ -182,38 +259,58 @@ def _contexts(length: int, parts: int) -> Callable:
                 places = np.arange(len(run_of)) - np.repeat(np.cumsum(count + length - k) - (count + length - k), count + length - k) + begin[run_of]
                 hits = np.bincount(run_of[grams[places] == least[run_of]], minlength=len(first))
                 again[hits > 1] = 1
-                part = ((least >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-                yield from packer.add(part, least, whole, ids[row + doc], (begin - offsets[doc]).astype(np.int64), count.astype(np.int32), again)
-        yield from packer.flush()
+                held.append((least, whole, ids[row + doc], subs[row + doc], (begin - offsets[doc]).astype(np.int64), count.astype(np.int32), again))
+                if sum(len(x[0]) for x in held) >= _HELD:
+                    yield from flush()
+        yield from flush()
+        trim()
 
     return run
 
 
-def _emit(parts: int, *columns: np.ndarray) -> pa.Table:
-    from tessera.llm._blobs import ARROW
+def _merge_equal(parts: int, most: int) -> Callable:
+    """Of equal contexts all but the first are removed. Those left go by their hash; a hash of many is marked as hot."""
 
-    packer = Packer(parts, 1 << 62)
-    list(packer.add(_doc_part(columns[0], parts), *columns))
-    return pa.Table.from_batches(list(packer.flush()), ARROW)
+    def run(table: pa.Table) -> pa.Table:
+        passed, mine = _split(table)
+        least, whole, doc, sub, begin, count, again = gather(mine, _CONTEXT)
+        first, rest = _first_of_equal(least, whole, doc, sub, begin, count)
+        out = _spans_of(parts, _REMOVE, doc[rest], sub[rest], begin[rest], count[rest])
+        first = first[np.argsort(least[first], kind="stable")]
+        least, doc, sub, begin, count, again = (x[first] for x in (least, doc, sub, begin, count, again))
+        begins = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1]))[: len(least)])
+        sizes = np.diff(np.append(begins, len(least)))
+        hot = np.repeat(sizes > most, sizes)
+        out += _spans_of(parts, _BY_WINDOW, doc[hot], sub[hot], begin[hot], count[hot])
+        lead = begins[sizes > most]  # one of each hot hash says that it is
+        again[lead] |= 2
+        keep = ~hot
+        keep[lead] = True
+        out += _deal(_hash_part(least[keep], parts), parts, 1, *(x[keep] for x in (least, doc, sub, begin, count, again)))
+        return _table(out, passed)
+
+    return run
 
 
-def _compare_contexts(parts: int) -> Callable:
-    """Of equal contexts all but the first are removed; the first of several different ones are compared."""
+def _compare(length: int, parts: int, most_bytes: int) -> Callable:
+    """Different contexts of one hash are compared, all at once or, where they are many, window by window."""
 
     def run(table: pa.Table) -> pa.Table:
-        least, whole, doc, begin, count, again = gather(table, _CONTEXT)
-        order = np.lexsort((begin, doc, count, whole, least))
-        least, whole, doc, begin, count, again = (x[order] for x in (least, whole, doc, begin, count, again))
-        if len(doc):  # rows alike are one document
-            other = np.concatenate(([True], (begin[1:] != begin[:-1]) | (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])))
-            least, whole, doc, begin, count, again = (x[other] for x in (least, whole, doc, begin, count, again))
-        new_hash = np.concatenate(([True], least[1:] != least[:-1]))[: len(least)]
-        new = (new_hash | np.concatenate(([True], (whole[1:] != whole[:-1]) | (count[1:] != count[:-1])))[: len(least)]).astype(bool)
-        group = np.cumsum(new_hash) - 1
-        several = np.bincount(group, weights=new)[group] > 1 if len(group) else new
-        compare = new & (several | (again > 0))
-        pick = ~new | compare
-        return _emit(parts, doc[pick], compare[pick].astype(np.uint8), least[pick], begin[pick], count[pick])
+        passed, mine = _split(table)
+        least, doc, sub, begin, count, again = gather(mine, _DISTINCT)
+        order = np.argsort(least, kind="stable")
+        least, doc, sub, begin, count, again = (x[order] for x in (least, doc, sub, begin, count, again))
+        begins = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1]))[: len(least)])
+        sizes = np.diff(np.append(begins, len(least)))
+        group = np.repeat(np.arange(len(begins)), sizes)
+        volume = np.bincount(group, count + length - 1.0) if len(group) else np.zeros(0)
+        hot = np.bincount(group, again > 1) > 0 if len(group) else np.zeros(0, bool)
+        hot = (hot | (volume > most_bytes))[group]
+        # One that marks its hash as hot is on its way already.
+        by_window, several = hot & (again < 2), ~hot & ((sizes[group] > 1) | (again > 0))
+        out = _spans_of(parts, _BY_WINDOW, doc[by_window], sub[by_window], begin[by_window], count[by_window])
+        out += _spans_of(parts, _COMPARE, doc[several], sub[several], begin[several], count[several], least[several])
+        return _table(out, passed)
 
     return run
 
@@ -223,13 +320,14 @@ def _pack_texts(parts: int, columns: tuple[str, ...]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = _doc_part(np.asarray(batch.column("doc_id")), parts)
+            part = _doc_part(np.asarray(batch.column("doc_id")), np.asarray(batch.column("sub")), parts)
             for p in np.unique(part):
                 some = batch.select(list(columns)).take(pa.array(np.flatnonzero(part == p)))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, some.schema) as writer:
                     writer.write_batch(some)
                 yield pa.record_batch([pa.array([p], pa.int32()), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 1)], pa.binary())], names=["part", "block"])
+        trim()
 
     return run
 
@@ -240,40 +338,75 @@ def _texts(table: pa.Table) -> Iterator[pa.RecordBatch]:
             yield from reader
 
 
+def _keys(doc: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    """Documents as numbers, by a hash where an id has several texts."""
+    return doc.view(np.uint64) ^ np.where(sub == 0, np.uint64(0), mix(sub.view(np.uint64)))
+
+
 def _fetch(length: int, parts: int) -> Callable:
-    """The texts of the contexts to compare, by part of their hash."""
+    """The texts of the contexts to compare, by part of their hash, and those of single windows by part of their fingerprint.
+
+    Of equal windows that the part has the first alone goes, the others are to be removed.
+    """
 
     def run(key: tuple, texts: pa.Table, spans: pa.Table) -> pa.Table:
-        doc, kind, least, begin, count = gather(spans, _SPAN)
-        pick = np.flatnonzero(kind == 1)
-        pick = pick[np.argsort(doc[pick], kind="stable")]
-        doc, least, begin, count = doc[pick], least[pick], begin[pick], count[pick]
-        wanted, first = np.unique(doc, return_index=True)
+        doc, sub, kind, least, begin, count = gather(spans, _SPAN)
+        pick = np.flatnonzero(kind != _REMOVE)
+        names = _keys(doc, sub)
+        pick = pick[np.argsort(names[pick], kind="stable")]
+        doc, sub, kind, least, begin, count, names = (x[pick] for x in (doc, sub, kind, least, begin, count, names))
+        wanted, first = np.unique(names, return_index=True)
         stops = np.append(first[1:], len(doc))
-        out_part, out_block, done = [], [], np.zeros(len(wanted), dtype=bool)
+        done = np.zeros(len(wanted), dtype=bool)
+        found: list[tuple[int, np.ndarray]] = []
+        windows: list[tuple[np.ndarray, ...]] = []
+        bodies: list[np.ndarray] = []
         for batch in _texts(texts):
-            ids = np.asarray(batch.column("doc_id"))
             data, offsets = utf8(batch.column("text"))
-            where = np.searchsorted(wanted, ids)
-            held: dict[int, list] = {}
-            for row in np.flatnonzero((where < len(wanted)) & (wanted[np.minimum(where, max(0, len(wanted) - 1))] == ids)) if len(wanted) else ():
+            own = _keys(np.asarray(batch.column("doc_id")), np.asarray(batch.column("sub")))
+            where = np.minimum(np.searchsorted(wanted, own), max(0, len(wanted) - 1))
+            for row in np.flatnonzero(wanted[where] == own) if len(wanted) else ():
                 if done[where[row]]:
                     continue
                 done[where[row]] = True
+                text, marks = data[offsets[row] : offsets[row + 1]], None
                 for k in range(first[where[row]], stops[where[row]]):
-                    a = offsets[row] + begin[k]
-                    held.setdefault(int((least[k] >> np.uint64(32)) % np.uint64(parts)), []).append((k, data[a : a + count[k] + length - 1]))
-            for p, found in held.items():
-                ks = np.array([k for k, _ in found])
-                out_part.append(p)
-                head = encode([least[ks], doc[ks], begin[ks], count[ks]])
-                body = zstandard.compress(b"".join(x.tobytes() for _, x in found), 1)
-                out_block.append(len(head).to_bytes(8, "little") + head + body)
-        return pa.table({"part": pa.array(out_part, pa.int32()), "block": pa.array(out_block, pa.binary())})
+                    if kind[k] == _COMPARE:
+                        found.append((k, text[begin[k] : begin[k] + count[k] + length - 1].copy()))
+                        continue
+                    marks = marks or prefix_marks(text)
+                    at = np.arange(begin[k], begin[k] + count[k])
+                    n = len(at)
+                    windows.append((span_marks(marks, at, at + length), np.full(n, doc[k]), np.full(n, sub[k]), at))
+                    bodies.append(np.lib.stride_tricks.sliding_window_view(text, length)[at])
+        out = []
+        ks = np.array([k for k, _ in found], dtype=np.int64)
+        part = _hash_part(least[ks], parts)
+        for p in np.unique(part):
+            some = np.flatnonzero(part == p)
+            out.append(_text_block(p, [x[ks[some]] for x in (least, doc, sub, begin, count)], [found[j][1] for j in some]))
+        if windows:
+            mark, doc, sub, at = (np.concatenate(c) for c in zip(*windows, strict=True))
+            body = np.concatenate(bodies)
+            one = np.ones(len(mark), np.int32)
+            keep, rest = _first_of_equal(mark, mark, doc, sub, at, one)
+            out += _spans_of(parts, _REMOVE, doc[rest], sub[rest], at[rest], one[rest])
+            part = _hash_part(mark[keep], parts)
+            for p in np.unique(part):
+                some = keep[part == p]
+                out.append(_text_block(p, [x[some] for x in (mark, doc, sub, at, one)], list(body[some])))
+        trim()
+        return _table(out, spans.slice(0, 0).append_column("kind", pa.array([], pa.int32())))
 
     return run
 
 
+def _text_block(part: int, head: list[np.ndarray], body: list[np.ndarray]) -> pa.RecordBatch:
+    packed = encode(head)
+    block = len(packed).to_bytes(8, "little") + packed + zstandard.compress(b"".join(x.tobytes() for x in body), 1)
+    return pa.record_batch([pa.array([part], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.binary())], names=["part", "kind", "block"])
+
+
 def windows_seen_before(text: np.ndarray, starts: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
     """Positions of windows of which an equal one has a lesser rank.
 
@@ -292,42 +425,45 @@ def windows_seen_before(text: np.ndarray, starts: np.ndarray, ranks: np.ndarray,
 
 def _sort_contexts(length: int, parts: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
+        passed, mine = _split(table)
+        if not len(mine):
+            return passed.select(["part", "kind", "block"])
         heads, bodies = [], []
-        for block in table.column("block"):
+        for block in mine.column("block"):
             raw = block.as_py()
             n = int.from_bytes(raw[:8], "little")
             heads.append(decode(raw[8 : 8 + n], _TEXT))
             bodies.append(np.frombuffer(zstandard.decompress(raw[8 + n :]), np.uint8))
-        least, doc, begin, count = (np.concatenate(x) for x in zip(*heads, strict=True))
+        least, doc, sub, begin, count = (np.concatenate(x) for x in zip(*heads, strict=True))
         sizes = count.astype(np.int64) + length - 1
         text, at = np.concatenate(bodies), np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        order = np.lexsort((begin, doc, least))
-        least, doc, begin, sizes, at = (x[order] for x in (least, doc, begin, sizes, at))
+        place = _place(doc, sub)
+        order = np.lexsort((begin, place, least))
+        least, place, begin, sizes, at = (x[order] for x in (least, place, begin, sizes, at))
         out: list[tuple[np.ndarray, np.ndarray]] = []
         a, total = 0, np.cumsum(sizes)
         new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1], [True])))
         while a < len(least):
-            # Whole hashes up to SORT_BYTES; one alone may be larger.
+            # Whole hashes up to SORT_BYTES, which no hash exceeds by much.
             limit = (total[a - 1] if a else 0) + SORT_BYTES
             b = new[max(np.searchsorted(new, a, side="right"), np.searchsorted(new, np.searchsorted(total, limit, side="right"), side="right") - 1)]
             s = sizes[a:b]
             starts = np.concatenate(([0], np.cumsum(s)))
             inner = np.arange(starts[-1]) - np.repeat(starts[:-1], s)
             piece = text[np.repeat(at[a:b], s) + inner]
-            # Contexts are sorted by doc_id and place within a hash, and windows are compared within one only.
+            # Contexts are sorted by document and place within a hash, and windows are compared within one only.
             of = np.repeat(np.arange(a, b), s)
             rank = np.empty(len(of), np.int64)
-            rank[np.lexsort((begin[of] + inner, doc[of]))] = np.arange(len(of))
+            rank[np.lexsort((begin[of] + inner, place[of]))] = np.arange(len(of))
             found = windows_seen_before(piece, starts, rank, length)
-            out.append((doc[of[found]], begin[of[found]] + inner[found]))
+            out.append((order[of[found]], begin[of[found]] + inner[found]))
             a = b
-        doc = np.concatenate([x for x, _ in out])
-        place = np.concatenate([x for _, x in out])
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1))))[: len(doc)]
-        run_length = np.diff(np.append(first, len(doc))).astype(np.int32)
-        return _emit(parts, doc[first], np.zeros(len(first), np.uint8), np.zeros(len(first), np.uint64), place[first], run_length)
+        which, at = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((at, _place(doc, sub)[which]))
+        doc, sub, at = doc[which][order], sub[which][order], at[order]
+        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1] + 1))))[: len(doc)]
+        trim()
+        return _table(_spans_of(parts, _REMOVE, doc[first], sub[first], at[first], np.diff(np.append(first, len(doc))).astype(np.int32)), passed)
 
     return run
 
@@ -336,27 +472,28 @@ def _merge(length: int, make: Callable) -> Callable:
     """Cuts the found windows out of each text; ``make`` turns texts and spans into the rows returned."""
 
     def run(key: tuple, texts: pa.Table, spans: pa.Table) -> pa.Table:
-        doc, kind, _, begin, count = gather(spans, _SPAN)
-        pick = kind == 0
-        doc, begin, stop = doc[pick], begin[pick], begin[pick] + count[pick] + length - 1
-        order = np.lexsort((begin, doc))
-        doc, begin, stop = doc[order], begin[order], stop[order]
-        wanted, first = np.unique(doc, return_index=True)
-        ends = np.append(first[1:], len(doc))
+        doc, sub, kind, _, begin, count = gather(spans, _SPAN)
+        pick = kind == _REMOVE
+        name, begin, stop = _keys(doc, sub)[pick], begin[pick], begin[pick] + count[pick] + length - 1
+        order = np.lexsort((begin, name))
+        name, begin, stop = name[order], begin[order], stop[order]
+        wanted, first = np.unique(name, return_index=True)
+        ends = np.append(first[1:], len(name))
         rows = []
         for batch in _texts(texts):
-            ids = np.asarray(batch.column("doc_id"))
+            own = _keys(np.asarray(batch.column("doc_id")), np.asarray(batch.column("sub")))
             data, offsets = utf8(batch.column("text"))
-            where = np.searchsorted(wanted, ids)
+            where = np.searchsorted(wanted, own)
             cuts = []
             for row, w in enumerate(where):
-                if w < len(wanted) and wanted[w] == ids[row]:
+                if w < len(wanted) and wanted[w] == own[row]:
                     a, b = begin[first[w] : ends[w]], np.maximum.accumulate(stop[first[w] : ends[w]])
                     new = np.concatenate(([True], a[1:] > b[:-1]))
                     cuts.append((a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]))
                 else:
                     cuts.append(None)
             rows.append(make(batch, data, offsets, cuts))
+        trim()
         return pa.concat_tables(rows)
 
     return run
@@ -369,35 +506,33 @@ def _kept(data: np.ndarray, cut: tuple[np.ndarray, np.ndarray] | None) -> bytes:
     return b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, int]:
-    """Blocks of windows to remove, blocks of the texts, and the number of parts."""
+def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """Blocks of windows to remove, and the number of parts."""
     spark = docs.sparkSession
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (24 << 20))
-    narrow = docs.select("doc_id", "text")
-    found = narrow.mapInArrow(_contexts(length, parts), SCHEMA).groupBy("part").applyInArrow(_compare_contexts(parts), SCHEMA)
-    found = checkpoint(found)
-    texts = narrow.mapInArrow(_pack_texts(parts, ("doc_id", "text")), SCHEMA)
-    compared = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_fetch(length, parts), SCHEMA)
-    sorted_ = checkpoint(compared.groupBy("part").applyInArrow(_sort_contexts(length, parts), SCHEMA))
-    return found.unionByName(sorted_), docs, parts
+    narrow = docs.select("doc_id", "sub", "text")
+    found = narrow.mapInArrow(_contexts(length, parts), _BLOCKS).groupBy("part").applyInArrow(_merge_equal(parts, HOT), _BLOCKS)
+    found = checkpoint(found.groupBy("part").applyInArrow(_compare(length, parts, SORT_BYTES), _BLOCKS)).select("part", "block")
+    texts = narrow.mapInArrow(_pack_texts(parts, ("doc_id", "sub", "text")), SCHEMA)
+    compared = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_fetch(length, parts), _BLOCKS)
+    sorted_ = checkpoint(compared.groupBy("part").applyInArrow(_sort_contexts(length, parts), _BLOCKS)).select("part", "block")
+    return found.unionByName(sorted_), parts
 
 
 def _keyed(frame: DataFrame) -> DataFrame:
-    """``frame`` with ``doc_id`` made a key that orders texts: as it is where no id has several texts.
+    """``frame`` (doc_id, text, others) with ``sub``, which orders the texts of an id: 0 where it has one, or else from their hash.
 
-    Otherwise the texts of an id are numbered by their hash; rows alike in both are one document.
+    A null id becomes the least one, and its texts stand before those of that id.
     """
-    texts = frame.select("doc_id", F.xxhash64("text").alias("_t"))
-    most = texts.groupBy("doc_id").agg(F.min("_t").alias("a"), F.max("_t").alias("b")).where("a <> b")
-    if not most.take(1):
-        return frame
-    places = texts.distinct().withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("_t")) - 1)
-    low, high, wide = places.agg(F.min("doc_id"), F.max("doc_id"), F.max("_r") + 1).first()
-    if max(-low, high) >= (1 << 62) // wide:
-        raise ValueError("ids of several texts are too large to be numbered")
-    numbered = frame.withColumn("_t", F.xxhash64("text")).join(places, ["doc_id", "_t"])
-    return numbered.withColumn("doc_id", F.col("doc_id") * wide + F.col("_r")).drop("_t", "_r")
+    null = F.col("doc_id").isNull()
+    frame = frame.withColumns({"doc_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "hash": F.shiftrightunsigned(F.xxhash64("text"), 1) + F.when(null, F.lit(-(1 << 63))).otherwise(F.lit(0))})
+    several = frame.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("several"))
+    several = checkpoint(several)
+    if not several.take(1):
+        return frame.withColumn("sub", F.lit(0).cast("long")).drop("hash")
+    # A row for each such id, so a hot id meets one row.
+    return frame.join(several, "doc_id", "left").withColumn("sub", F.when(F.col("several"), F.col("hash")).otherwise(0)).drop("hash", "several")
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -406,13 +541,13 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     Earlier is in a smaller doc_id, or before in the same document; strings are judged on the
     input and don't cross documents. Returns a row per row of ``docs`` (doc_id, text, any others):
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes), kept_sha256 and
-    spans (starts and stops). A null text is empty; an empty table gives an empty result. doc_id is
-    the key: a null one counts as less than the others, rows alike in id and text are one document and
+    spans (starts and stops). A null text is empty; an empty table gives an empty result; texts may be of any
+    length. doc_id is the key: a null one counts as less than the others, rows alike in id and text are one document and
     returned each, and different texts of one id are documents in an order of their own.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = _keyed(docs)
-    spans, docs, parts = _spans(docs, length)
+    spans, parts = _spans(docs, length)
 
     def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, cuts: list) -> pa.Table:
         kept = [_kept(data[offsets[k] : offsets[k + 1]], cut) for k, cut in enumerate(cuts)]
@@ -420,7 +555,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
         edges = [[] if c is None else np.stack(c, axis=1).tolist() for c in cuts]
         return pa.table(
             {
-                "doc_id": batch.column("_id"),
+                "doc_id": batch.column("id"),
                 "n_bytes": pa.array(size, pa.int64()),
                 "n_removed": pa.array(size - np.array([len(x) for x in kept], dtype=np.int64), pa.int64()),
                 "n_spans": pa.array([len(x) for x in edges], pa.int64()),
@@ -430,7 +565,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
             }
         )
 
-    texts = docs.mapInArrow(_pack_texts(parts, ("_id", "doc_id", "text")), SCHEMA)
+    texts = docs.mapInArrow(_pack_texts(parts, ("id", "doc_id", "sub", "text")), SCHEMA)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<array<long>>"
     return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_merge(length, make), schema)
 
@@ -453,9 +588,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     rows and columns stay; a text that is a repeat throughout becomes empty, and a null stays null.
     """
     columns = docs.columns
-    row = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     row = _keyed(row)
-    spans, row, parts = _spans(row, length)
+    spans, parts = _spans(row, length)
 
     def make(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, cuts: list) -> pa.Table:
         texts = []
@@ -469,6 +604,6 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             out["n_chars"] = pa.array(changed, out["n_chars"].type)
         return pa.table(out)
 
-    packed = row.mapInArrow(_pack_texts(parts, ("row", "doc_id", "text")), SCHEMA)
+    packed = row.mapInArrow(_pack_texts(parts, ("row", "doc_id", "sub", "text")), SCHEMA)
     schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
     return packed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_merge(length, make), schema)

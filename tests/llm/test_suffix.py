@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import random
 
@@ -53,6 +54,42 @@ def test_equals_brute_force(spark):
         assert sorted(map(tuple, found.collect())) == brute(rows, length)
 
 
+@pytest.mark.parametrize(("hot", "most"), [(1, 1 << 20), (1 << 20, 500), (3, 2000)])
+def test_hot_hashes_are_split_by_windows(spark, monkeypatch, hot, most):
+    """One line in every text, between others of its own."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SORT_BYTES", most)
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    line = " ".join(word() for _ in range(20))
+    rows = [(d, " ".join([*(word() for _ in range(rnd.randint(0, 30))), line, *(word() for _ in range(rnd.randint(0, 30)))])) for d in range(120)] + corpus(4)[:0]
+    rows += [(500 + d, line[rnd.randint(0, 30) :] + word()) for d in range(40)] + [(900, None), (901, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = suffix.repeated_bytes(docs, 100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, found.collect())) == brute(rows, 100)
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    rnd = random.Random(6)
+    a, b = ("".join(rnd.choices("abcdefgh", k=150)) for _ in range(2))
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(None, a), (least, a), (least, b), (-5, b), (most, a + "x"), (most, "x" + b), (most, a + "x")]
+    found = suffix.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in found), key=str) == sorted([(None, 150, 0), (least, 150, 150), (least, 150, 0), (-5, 150, 150), (most, 151, 150), (most, 151, 150), (most, 151, 150)], key=str)
+
+
+def test_equal_contexts_are_told_by_fingerprints_without_structure():
+    from tessera.llm._text import prefix_marks, span_marks
+
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((word + word.translate(str.maketrans("ab", "ba")) + word).encode(), np.uint8)
+    n = len(word)
+    a, b, c = span_marks(prefix_marks(data), np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+    assert a != b and a == c
+
+
 def test_empty_table(spark):
     assert suffix.repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
