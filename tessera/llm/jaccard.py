@@ -12,8 +12,8 @@ than ``H`` will meet any partner by them; the rest is its *spare*. An index entr
 and those of too many empty segments, are partitioned once more to the finest, a token a segment, and each gives its
 budget to the ``H + 1`` tokens that the fewest of these sets have. So no set is dropped, and none is compared with all others.
 
-Sets with one content are one class. A class is first verified against one other that shares an entry, then
-entries are looked at that span several components, by their first classes; what still spans several is joined across
+Sets with one content are one class. The classes of an entry are first compared with one of them, that which
+shares most entries with others; entries that then still span several components are joined across
 components (all but the largest of an entry against all, salted), under a bound from parity sketches. An
 exact lower bound of the difference, from bitmaps as long as the set, precedes verification of the texts themselves.
 """
@@ -336,6 +336,8 @@ class _Join:
 
     def verify(self, close: DataFrame) -> None:
         """Adds those of the pairs that link, by their whole texts, and unites their components."""
+        if not close.take(1):
+            return
         texts = self.texts(close.select(F.col("a").alias("cls")).union(close.select("b")).distinct())
         pairs = close.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
         pairs = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
@@ -355,18 +357,15 @@ class _Join:
     def open(self, kept: DataFrame) -> DataFrame:
         """The rows of entries that still span several components, with these."""
         placed = self.place(kept)
+        placed = checkpoint(placed.select("entry", "cls", "band", "component"))
         split = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("entry")
         return checkpoint(placed.join(split, "entry"))
 
-    def settle(self, kept: DataFrame) -> DataFrame:
-        """Compares classes with the first of each entry: at first one for each class, then the other pairs not yet united. Returns what is open."""
-        first = kept.groupBy("entry").agg(F.min("cls").alias("a"))
-        pairs = kept.join(first, "entry").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-        close = self.close(pairs)
-        self.verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        left = self.place(self.place(close, "a").withColumnRenamed("component", "other"), "b").where("component <> other").select("a", "b")
-        self.verify(checkpoint(left))
-        return self.open(kept)
+    def settle(self, kept: DataFrame) -> None:
+        """Compares classes with one of each entry that they share, that with most company: the middle of a group of near copies has most."""
+        company = kept.groupBy("cls").agg(F.sum("classes").alias("company"))
+        middle = kept.join(company, "cls").groupBy("entry").agg(F.max_by("cls", F.struct("company", "cls")).alias("a"))
+        self.verify(self.close(kept.join(middle, "entry").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()))
 
     def across(self, rows: DataFrame) -> None:
         """Compares the classes of each entry that are not of its largest component with all of it in other components."""
@@ -392,14 +391,15 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     parts = parts_of((features.agg(F.sum("n")).first()[0] or 0) * 5 * (100 - percent) / (100 + percent))
     index = docs.select("text").mapInArrow(_index(width, percent, parts), SCHEMA)
     shared = checkpoint(index.groupBy("part").applyInArrow(_shared, _SHARED))
-    open_ = join.settle(shared.where("classes > 1").select("entry", "cls", "band", "loss", "spare"))
-
-    spans = open_.groupBy("entry").agg(F.countDistinct("component").alias("spans"))
-    open_ = checkpoint(open_.drop("component").join(spans, "entry"))
+    kept = shared.where("classes > 1")
+    join.settle(kept)
+    placed = join.place(kept.select("entry", "cls", "band", "loss", "spare"))
+    spans = placed.select("entry", "component").distinct().groupBy("entry").agg(F.count("*").alias("spans")).where("spans > 1")
+    open_ = checkpoint(placed.join(spans, "entry"))
     fails = shared.where("classes = 0").select("cls", "band")
     poor = open_.where(F.col("spans") > HOT).groupBy("cls", "band").agg(F.sum("loss").alias("loss"), F.min("spare").alias("spare")).where("loss > spare").select("cls", "band")
     members = checkpoint(fails.unionByName(poor).distinct())
-    rest = open_.where(F.col("spans") <= HOT).select("entry", "cls", "band")
+    rest = open_.where(F.col("spans") <= HOT).select("entry", "cls", "band", "component")
     if members.take(1):
         names = members.groupBy("cls").agg(F.collect_set("band").alias("bands"))
         parts = parts_of(members.join(classes, "cls").agg(F.sum("n")).first()[0] or 0)
@@ -411,10 +411,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         by = W.partitionBy("cls", "band")
         ranked = fine.withColumns({"rank": F.row_number().over(by.orderBy("classes", "entry")), "all": F.count("*").over(by)})
         rare = ranked.join(classes.select("cls", "n"), "cls").where(F.col("rank") <= most + 1 - (F.col("n") - F.col("all"))).select("entry", "cls", "band")
-        rest = rest.unionByName(join.settle(checkpoint(rare)).select("entry", "cls", "band"))
-    rest = join.open(rest)
-    if rest.take(1):
-        join.across(rest)
+        rest = rest.unionByName(join.open(rare))
+    join.across(rest)
     return join.place(features.drop("bitmap"))
 
 
