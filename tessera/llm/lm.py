@@ -5,9 +5,9 @@ Counts of all training words come first, exact and distributed. Words seen ``LEA
 their own; one class of all other words and the end are outputs too, and other words share hashed context symbols,
 a quarter as many. A context of two words predicts a vector, the sum of a matrix times the vector of each word. Outputs
 are dealt to classes by rank, as many as a class has members: an output's probability is that of its class times that within the class, and
-either comes from scores that are the vector's products with vectors of classes or outputs, plus a bias. Every
-task trains a replica on all its training tokens, contrasting each with noise samples of classes and of the members of its class;
-the rows a replica has touched are averaged by the tokens that touched them. Scores are normalised for each batch of contexts
+either comes from scores that are the vector's products with vectors of classes or outputs, plus a bias. Texts are dealt
+by hash to shards of bounded size, and a replica is trained on all tokens of each, contrasting them with noise samples of classes and of the
+members of their class; the rows a replica has touched are averaged by the tokens that touched them, so the model doesn't depend on the table's partitions. Scores are normalised for each batch of contexts
 that occur, over the classes and over the members of the target's class. A word of the class
 of others has the class's probability times its share by smoothed counts.
 
@@ -21,13 +21,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._blobs import ARROW, SCHEMA, Packer, encode, gather
+from tessera.llm._blobs import ARROW, SCHEMA, Packer, decode, encode, gather, trim
 from tessera.llm._graph import checkpoint
-from tessera.llm._text import chunks, mix, word_hashes
+from tessera.llm._text import CHUNK_BYTES, chunks, mix, utf8, word_hashes
 
 #: Least number of words whose counts are shipped, and of outputs; symbols before the hashed ones at least; vector length.
 HEAD = 1 << 16
@@ -38,6 +39,8 @@ DIM = 24
 NOISE = 64
 NEAR = 4
 BATCH = 8192
+#: Tokens whose probabilities are normalised at once.
+BLOCK = 1024
 RATE = 0.05
 RARE = 0.05
 _OTHER, _END = TARGETS, TARGETS + 1
@@ -180,12 +183,13 @@ class Trainer:
         self.p[k][rows] += RATE * g / np.sqrt(squares)
 
     def _move_rows(self, k: str, index: np.ndarray, values: Callable) -> None:
+        """``values`` gives the gradients of some places, a column each: sums run along columns."""
         order = np.argsort(index, kind="stable")
         index = index[order]
         first = _runs(index)
         rows = index[first]
         self.times[k][rows] += np.diff(np.append(first, len(index)))
-        self._move(k, rows, np.add.reduceat(values(order), first, axis=0))
+        self._move(k, rows, np.add.reduceat(values(order), first, axis=1).T)
 
     def learn(self, target: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
         p, n = self.p, len(target)
@@ -207,63 +211,121 @@ class Trainer:
         dq = (up[:, None] * c - down @ cn + up_near[:, None] * r - (down_near[:, None, :] @ rn)[:, 0])[:, :DIM]
         g = np.zeros_like(p["S"])
         first = _runs(kind)
-        g[kind[first]] = np.add.reduceat(up[:, None] * q, first, axis=0)
+        columns = np.ascontiguousarray(q.T)
+        g[kind[first]] = np.add.reduceat(up * columns, first, axis=1).T
         np.subtract.at(g, noise, down.T @ q)
         weight = np.concatenate((up_near, -down_near.ravel()))
         owner = np.concatenate((np.arange(n), np.repeat(np.arange(n), NEAR)))
-        back = np.concatenate((dq @ p["C1"].T, dq @ p["C2"].T))
+        back = np.concatenate((p["C1"] @ dq.T, p["C2"] @ dq.T), axis=1)
         self._move("S", slice(None), g)
-        self._move_rows("R", np.concatenate((target, near.ravel())), lambda o: weight[o, None] * q[owner[o]])
+        self._move_rows("R", np.concatenate((target, near.ravel())), lambda o: weight[o] * np.take(columns, owner[o], axis=1))
         self._move("C1", slice(None), e1.T @ dq)
         self._move("C2", slice(None), e2.T @ dq)
-        self._move_rows("E", np.concatenate((h1, h2)), lambda o: back[o])
+        self._move_rows("E", np.concatenate((h1, h2)), lambda o: np.take(back, o, axis=1))
         self.seen += n
 
 
 _ORDER = ("E", "C1", "C2", "S", "R")
-#: row, tokens that touched it, values
-_ROW = ("i8", "f8", *["f4"] * (DIM + 1))
+#: row, shard, tokens that touched it, values
+_ROW = ("i8", "i4", "f8", *["f4"] * (DIM + 1))
+#: Bytes of training text that one replica learns from, about.
+SHARD_BYTES = 16 << 20
 
 
-def _train(shipped, parts: int) -> Callable:
+def _deal_texts(shards: int) -> Callable:
+    """Texts by shards of their key, in compressed blocks; a row that comes very often in a batch goes to several."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shipped.value
-        parameters = initial(vocabulary)
-        trainer, packer = Trainer(parameters, vocabulary.unigram, TaskContext.get().partitionId()), Packer(parts)
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
-                target, h1, h2, *_ = sequences(*word_hashes(data, offsets), vocabulary)
-                for a in range(0, len(target), BATCH):
-                    trainer.learn(target[a : a + BATCH], h1[a : a + BATCH], h2[a : a + BATCH])
-        if trainer.seen:
-            at = 0
-            for k in _ORDER:
-                values = trainer.p[k]
-                times = trainer.times.get(k, np.full(len(values), trainer.seen))
-                rows = np.flatnonzero(times)
-                for some in np.array_split(rows, len(rows) // (1 << 16) + 1):
-                    table = np.pad(values[some], ((0, 0), (0, DIM + 1 - values.shape[1])))
-                    yield from packer.add(((some + at) % parts).astype(np.int32), some + at, times[some].astype(float), *table.T)
-                at += len(values)
-        yield from packer.flush()
+            keys = np.asarray(batch.column("key")).view(np.uint64)
+            order = np.argsort(keys, kind="stable")
+            first = _runs(keys[order])
+            again = np.empty(len(keys), np.uint64)
+            again[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+            part = _part(mix(keys + mix(again >> np.uint64(6))), shards)
+            data, offsets = utf8(batch.column("text"))
+            for p in np.unique(part):
+                rows = np.flatnonzero(part == p)
+                head = encode([keys[rows], np.diff(offsets)[rows]])
+                body = zstandard.compress(b"".join(data[offsets[r] : offsets[r + 1]].tobytes() for r in rows), 1)
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([len(head).to_bytes(8, "little") + head + body], pa.binary())], schema=ARROW)
+        trim()
+
+    return run
+
+
+def _shard_texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of a shard's texts in the order of their keys: bytes and offsets."""
+    keys, sizes, bodies = [], [], []
+    for block in table.column("block"):
+        raw = block.as_py()
+        n = int.from_bytes(raw[:8], "little")
+        k, z = decode(raw[8 : 8 + n], ("u8", "i8"))
+        keys.append(k)
+        sizes.append(z)
+        bodies.append(np.frombuffer(zstandard.decompress(raw[8 + n :]), np.uint8))
+    keys, sizes, data = np.concatenate(keys), np.concatenate(sizes), np.concatenate(bodies)
+    stops = np.cumsum(sizes)
+    order = np.lexsort((sizes, keys))
+    bounds = np.concatenate(([0], np.cumsum(sizes[order])))
+    a = 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + CHUNK_BYTES, side="right")) - 1)
+        some = order[a:b]
+        yield np.concatenate([data[stops[r] - sizes[r] : stops[r]] for r in some]), bounds[a : b + 1] - bounds[a]
+        a = b
+
+
+def _train(shipped, parts: int) -> Callable:
+    """The rows that a shard's replica has touched. It depends on the shard's texts alone, not on files or tasks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vocabulary = shipped.value
+        shard = table.column("part")[0].as_py()
+        trainer, packer = Trainer(initial(vocabulary), vocabulary.unigram, shard), Packer(parts)
+        out = []
+        for data, offsets in _shard_texts(table):
+            target, h1, h2, *_ = sequences(*word_hashes(data, offsets), vocabulary)
+            for a in range(0, len(target), BATCH):
+                trainer.learn(target[a : a + BATCH], h1[a : a + BATCH], h2[a : a + BATCH])
+        at = 0
+        for k in _ORDER:
+            values = trainer.p[k]
+            times = trainer.times.get(k, np.full(len(values), trainer.seen))
+            rows = np.flatnonzero(times)
+            for some in np.array_split(rows, len(rows) // (1 << 16) + 1):
+                padded = np.pad(values[some], ((0, 0), (0, DIM + 1 - values.shape[1])))
+                out += packer.add(((some + at) % parts).astype(np.int32), some + at, np.full(len(some), shard, np.int32), times[some].astype(float), *padded.T)
+            at += len(values)
+        out += packer.flush()
+        trim()
+        return pa.Table.from_batches(out, ARROW)
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
-    row, times, *columns = gather(table, _ROW)
-    rows, inverse = np.unique(row, return_inverse=True)
-    total = np.bincount(inverse, times)
-    mean = [(np.bincount(inverse, times * x) / total).astype(np.float32) for x in columns]
-    return pa.Table.from_batches([pa.record_batch([table.column("part")[:1].combine_chunks(), pa.array([encode([rows, total, *mean])], pa.binary())], schema=ARROW)])
+    row, shard, times, *columns = gather(table, _ROW)
+    order = np.lexsort((shard, row))
+    row, times = row[order], times[order]
+    first = _runs(row)
+    total = np.add.reduceat(times, first) if len(row) else times
+    mean = [(np.add.reduceat(times * x[order], first) / total).astype(np.float32) if len(row) else x for x in columns]
+    return pa.Table.from_batches([pa.record_batch([table.column("part")[:1].combine_chunks(), pa.array([encode([row[first], total, *mean])], pa.binary())], schema=ARROW)])
+
 
+def train(docs: DataFrame, vocabulary: Vocabulary, parts: int, volume: int) -> dict[str, np.ndarray]:
+    """Parameters averaged over the replicas of all shards, each row by the tokens that touched it; a row that none touched is as at first.
 
-def train(docs: DataFrame, vocabulary: Vocabulary, parts: int) -> dict[str, np.ndarray]:
-    """Parameters averaged over the replicas of all tasks, each row by the tokens that touched it; a row that none touched is as at first."""
+    ``docs`` has key and text. Shards follow from the keys and the ``volume`` of text, so the model doesn't depend on how the
+    table is partitioned (but where a row comes more than 64 times).
+    """
     out = initial(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    mean = docs.mapInArrow(_train(shipped, parts), SCHEMA).groupBy("part").applyInArrow(_average, SCHEMA).toArrow()  # the rows of one model
-    row, _, *columns = gather(mean, _ROW)
+    shards = volume // SHARD_BYTES + 1
+    found = docs.mapInArrow(_deal_texts(shards), SCHEMA).groupBy("part").applyInArrow(_train(shipped, parts), SCHEMA)
+    mean = found.groupBy("part").applyInArrow(_average, SCHEMA).toArrow()  # the rows of one model
+    row, _, *columns = gather(mean, ("i8", "f8", *["f4"] * (DIM + 1)))
     table, at = np.column_stack(columns), 0
     for k in _ORDER:
         some = (row >= at) & (row < at + len(out[k]))
@@ -273,10 +335,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, parts: int) -> dict[str, np.n
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials by row; changes ``s``."""
-    top = s.max(axis=1)
-    s -= top[:, None]
-    return np.log(np.exp(s, out=s).sum(axis=1)) + top
+    """Log of the sum of exponentials by row."""
+    with np.errstate(over="ignore", under="ignore", divide="ignore"):
+        out = np.log(np.exp(s).sum(axis=1))
+    far = ~np.isfinite(out)
+    if far.any():
+        top = s[far].max(axis=1)
+        out[far] = np.log(np.exp(s[far] - top[:, None]).sum(axis=1)) + top
+    return out
 
 
 class Model:
@@ -289,8 +355,8 @@ class Model:
         """Normalised log10 probabilities of outputs after their contexts."""
         p, width, out = self.p, _width(len(self.p["R"])), np.zeros(len(target))
         order = np.argsort(target, kind="stable")
-        for a in range(0, len(target), BATCH):
-            at = order[a : a + BATCH]
+        for a in range(0, len(target), BLOCK):
+            at = order[a : a + BLOCK]
             q = np.ones((len(at), DIM + 1), np.float32)
             q[:, :DIM] = p["E"][h1[at]] @ p["C1"] + p["E"][h2[at]] @ p["C2"]
             t = target[at]
@@ -349,6 +415,7 @@ def _score(shipped, parts: int) -> Callable:
                     yield from kind(words.add(_part(w[new], parts), w[new], keys[t[new]], np.diff(np.append(new, len(w))).astype(np.int32)), 1)
         yield from kind(docs.flush(), 0)
         yield from kind(words.flush(), 1)
+        trim()
 
     return run
 
@@ -392,19 +459,19 @@ def score(docs: DataFrame) -> DataFrame:
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens that occur in training), train_tokens,
     base_score (smoothed unigrams, log10) and score (the model's log10 probability of the text). A
     null text is empty and has the end alone; rows that repeat are scored, and learnt from, each. An
-    empty table gives an empty result; without training texts all words are unknown.
+    empty table gives an empty result; without training texts all words are unknown. Texts of any length are read whole.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), is_held_out().alias("held_out"))
-    training = docs.where("not held_out").select("text")
+    training = docs.where("not held_out").select("text", F.xxhash64("doc_id", "text").alias("key"))
     texts, volume = training.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (volume or 0) // (24 << 20))
     shown = head(volume or 0)
-    counts = checkpoint(training.mapInArrow(_count(parts), SCHEMA).groupBy("part").applyInArrow(_merge_counts(shown), f"{SCHEMA}, tokens long, words long, top array<struct<word: long, n: long>>"))
+    counts = checkpoint(training.select("text").mapInArrow(_count(parts), SCHEMA).groupBy("part").applyInArrow(_merge_counts(shown), f"{SCHEMA}, tokens long, words long, top array<struct<word: long, n: long>>"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     top = counts.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("n"), "word").limit(shown).toArrow()
     vocabulary = Vocabulary(np.asarray(top.column("word")).astype(np.int64).view(np.uint64), np.asarray(top.column("n")).astype(np.int64), tokens, distinct, texts)
-    model = Model(vocabulary, train(training, vocabulary, parts))
+    model = Model(vocabulary, train(training, vocabulary, parts, volume or 0))
     shipped = spark.sparkContext.broadcast(model)
     found = checkpoint(docs.mapInArrow(_score(shipped, parts), f"{SCHEMA}, kind int"))
     asked = found.where("kind = 1").select("part", "block")

@@ -91,3 +91,27 @@ def test_rare_words_share_hashed_contexts():
     h1 = lm.sequences(np.array([50, 51], dtype=np.uint64), np.array([0, 2]), vocabulary)[1]
     assert lm._NONE not in h1 and len(set(h1.tolist())) == 3
     assert lm.head(1 << 40) > lm.head(1 << 30) >= lm.HEAD
+
+
+def markov(n, seed=4):
+    """Texts in which a word mostly tells the next one."""
+    rnd = random.Random(seed)
+    after = {k: [rnd.randrange(300) for _ in range(3)] for k in range(300)}
+    rows = []
+    for d in range(n):
+        word, text = rnd.randrange(300), []
+        for _ in range(rnd.randint(100, 300)):
+            text.append(f"w{word}")
+            word = rnd.choice(after[word]) if rnd.random() < 0.95 else rnd.randrange(300)
+        rows.append((d, " ".join(text)))
+    return rows
+
+
+def test_the_model_beats_the_base_on_held_out_texts_whatever_the_partitions(spark):
+    frame = spark.createDataFrame(markov(1500), "doc_id long, text string")
+    found = {r.doc_id: r for r in lm.score(frame.repartition(1)).collect()}
+    held = [r for r in found.values() if r.held_out]
+    assert len(held) > 200 and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
+    for r in lm.score(frame.repartition(6)).collect():
+        assert abs(r.score - found[r.doc_id].score) < 1e-2 and r.base_score == found[r.doc_id].base_score
