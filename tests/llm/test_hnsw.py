@@ -57,6 +57,26 @@ def test_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, twice), key=str) == brute(rows, 0.98)
 
 
+def test_graphs_are_searched_across_shards(spark, monkeypatch):
+    """Several shards of some hundreds of vectors, whose links are mostly to other shards."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(900, 24))
+    rows = [(k, (centres[k // 2] + rng.normal(size=24) * 0.03).tolist(), "a") for k in range(1800)] + [(2000 + k, centres[k].tolist(), "b") for k in range(50)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(4)
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 250)
+    monkeypatch.setattr(hnsw, "FAN", 2)
+    found = {r.vec_id: r for r in hnsw.near_copies(frame, 0.98).collect()}
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x = hnsw.unit(x)
+    true = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    true[:1800, 1800:] = true[1800:, :1800] = False
+    assert len(found) == len(rows) and true.sum() > 1500
+    got = np.array([found[r[0]].n_links for r in rows])
+    assert (got <= true.sum(1)).all() and got.sum() >= 0.99 * true.sum()
+    audits = hnsw.audits(frame, 0.98).collect()
+    assert len(audits) == 9 and all(r.led_back >= 0.99 * r.probes and r.refound >= 0.99 * r.audited for r in audits)
+
+
 def test_empty_table(spark):
     assert hnsw.near_copies(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
@@ -65,7 +85,9 @@ def test_recall_of_the_graph():
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(300, 32)), 10, axis=0)
     x = hnsw.unit(x + rng.normal(size=x.shape) * 0.05)
-    graph = hnsw.Graph.load(hnsw.Graph.build(x.astype(np.float32)).dump())
+    x32 = x.astype(np.float32)
+    graph = hnsw.Graph.load(hnsw.Graph.build(x32).dump(), x32)
+    assert graph.led_back(0.98, 32)[1] >= 0.99 * graph.led_back(0.98, 32)[0]
     true = x @ x.T >= 0.98
     got = np.zeros_like(true)
     for q, c in graph.within(x.astype(np.float32), 0.98, 16):
