@@ -30,7 +30,7 @@ from tessera.llm._text import chunks, mix, prefix_hash, prefix_marks, span_hash,
 
 GRAM = 20
 #: Bytes of contexts that one suffix array holds; a hash with more is split by its windows.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 _DEPTH = 8
 
 
@@ -143,7 +143,7 @@ def _least_grams(data: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarra
 #: Contexts of one hash in a task beyond which all of its contexts are compared window by window.
 HOT = 64
 #: Contexts that a task holds before it deals them out.
-_HELD = 1 << 18
+_HELD = 1 << 17
 #: least hash, fingerprint, doc_id, sub, first window, windows, whether windows may repeat within it.
 _CONTEXT = ("u8", "u8", "i8", "i8", "i8", "i4", "u1")
 #: least hash, doc_id, sub, first window, windows, whether windows may repeat within it (1) or the hash is hot (2).
@@ -234,7 +234,7 @@ def _contexts(length: int, parts: int) -> Callable:
 
         for batch in batches:
             ids, subs = np.asarray(batch.column("doc_id")), np.asarray(batch.column("sub"))
-            for row, data, offsets in chunks(batch.column("text"), 1 << 19):
+            for row, data, offsets in chunks(batch.column("text"), 1 << 17):
                 if len(data) < length:
                     continue
                 prefix = prefix_hash(data, False)
@@ -510,7 +510,7 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     """Blocks of windows to remove, and the number of parts."""
     spark = docs.sparkSession
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (24 << 20))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (8 << 20))
     narrow = docs.select("doc_id", "sub", "text")
     found = narrow.mapInArrow(_contexts(length, parts), _BLOCKS).groupBy("part").applyInArrow(_merge_equal(parts, HOT), _BLOCKS)
     found = checkpoint(found.groupBy("part").applyInArrow(_compare(length, parts, SORT_BYTES), _BLOCKS)).select("part", "block")
