@@ -34,6 +34,20 @@ def axis_nnz(m: Matrix, axis: int, layer: str | None = None) -> DataFrame:
     return _reduce(m, axis, layer, nnz=F.count_if(F.col("value") != 0))
 
 
+def nnz(m: Matrix, layer: str | None = None) -> int:
+    """Cells of a layer that are not 0; of a dense one all cells count but those that its zeros leave at 0."""
+    x = m.layer(layer)
+    stored = x.values().agg(F.count_if(F.col("value") != 0), F.count("*")).first()
+    if not x.dense:
+        return stored[0]
+    if x.steps[-1].name != "scale":
+        return m.filled(layer).where("value <> 0").count()
+    zero = m.var.select("var_id").join(x.columns, "var_id").select("var_id", (x.at_zero() != 0).cast("int").alias("z"))
+    held = x.base.groupBy("var_id").agg(F.count("*").alias("k"))
+    rest = zero.join(held, "var_id", "left").agg(F.sum(F.col("z") * (F.lit(m.n_obs) - F.coalesce("k", F.lit(0))))).first()[0]
+    return stored[0] + (rest or 0)
+
+
 def axis_mean(m: Matrix, axis: int, layer: str | None = None) -> DataFrame:
     key, _, n = _axis(m, axis)
     return axis_sum(m, axis, layer).select(key, (F.col("total") / max(n, 1)).alias("mean"))
@@ -50,12 +64,16 @@ def axis_var(m: Matrix, axis: int, ddof: int = 0, layer: str | None = None) -> D
 
 
 def mean_var(m: Matrix, layer: str | None = None, expm1: bool = False, ddof: int = 1) -> DataFrame:
-    """var_id, mean, variance by variable in one pass over partial sums, not below zero."""
+    """var_id, mean, variance by variable in one pass.
+
+    Squares about the mean of the stored cells are merged part by part, as ``var_pop`` does, and then with
+    those of the implied zeros, so large values don't cancel.
+    """
     value = F.expm1("value") if expm1 else F.col("value")
     n = m.n_obs
-    sums = _reduce(m, 0, layer, s=F.sum(value), q=F.sum(value * value))
-    mean = F.col("s") / max(n, 1)
-    return sums.select("var_id", mean.alias("mean"), F.greatest(F.lit(0.0), (F.col("q") - n * mean * mean) / max(n - ddof, 1)).alias("variance"))
+    sums = _reduce(m, 0, layer, c=F.avg(value), v=F.var_pop(value), k=F.count("*"))
+    squares = F.col("k") * F.col("v") + F.col("c") * F.col("c") * F.col("k") * (n - F.col("k")) / max(n, 1)
+    return sums.select("var_id", (F.col("c") * F.col("k") / max(n, 1)).alias("mean"), F.greatest(F.lit(0.0), squares / max(n - ddof, 1)).alias("variance"))
 
 
 def qc_metrics(m: Matrix, layer: str | None = None) -> Matrix:

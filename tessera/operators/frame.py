@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from html import escape
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.layers import Layer
+from tessera.operators.order import numbered
 
 Selector = Column | Sequence[str] | Sequence[int] | slice | str | int | DataFrame | None
 
@@ -88,12 +91,11 @@ class Matrix:
             return axis.join(by.select(key), key, "left_semi")
         if isinstance(by, slice):
             if by.step not in (None, 1) or (by.start or 0) < 0 or (by.stop or 0) < 0:
-                place = F.row_number().over(W.orderBy(key)) - 1
-                numbered, n = axis.withColumn("_place", place), axis.count()
+                n = axis.count()
                 start, stop, step = by.indices(n)
                 if step < 0:
                     start, stop, step = stop + 1 + (start - stop - 1) % -step, start + 1, -step
-                return numbered.where((F.col("_place") >= start) & (F.col("_place") < stop) & ((F.col("_place") - start) % step == 0)).drop("_place")
+                return numbered(axis, key, most=n).where((F.col("_place") >= start) & (F.col("_place") < stop) & ((F.col("_place") - start) % step == 0)).drop("_place")
             found = axis.where(F.col(key) >= by.start) if by.start else axis
             return found.where(F.col(key) < by.stop) if by.stop is not None else found
         wanted = [by] if isinstance(by, str | int) else list(by)
@@ -191,28 +193,80 @@ class Matrix:
         swap = lambda f, a, b: f.withColumnRenamed(f"{a}_id", f"{b}_id").withColumnRenamed(f"{a}_name", f"{b}_name")
         return Matrix(swap(self.var, "var", "obs"), swap(self.obs, "obs", "var"), {k: x.transposed() for k, x in self.layers.items()}, dict(self.varm), dict(self.obsm), dict(self.varp), dict(self.obsp), self.uns)
 
-    def assign(self, obs: Selector, var: Selector, value: float) -> Matrix:
-        """Sets all cells of a rectangle of the main layer."""
+    def assign(self, obs: Selector, var: Selector, value) -> Matrix:
+        """Sets the cells of a rectangle of the main layer to a number, or to those of a relation or an array.
+
+        A relation (obs_id, var_id, value) has the rectangle's cells, those it lacks become 0; an array or nested lists
+        have a row for each selected obs_id and a column for each var_id, in order of the ids.
+        """
         rows = self.obs if obs is None else self._select(self.obs, "obs", obs)
         columns = self.var if var is None else self._select(self.var, "var", var)
         if self.X.steps:
             raise ValueError("only a stored layer can be assigned to")
-        inside = rows.select("obs_id").crossJoin(columns.select("var_id"))
-        rest = self.X.base.join(inside, ["obs_id", "var_id"], "left_anti")
-        new = rest if value == 0 else rest.unionByName(inside.withColumn("value", F.lit(float(value))))
-        return self.with_layer("X", Layer(new))
-
-    def cache(self, by: str = "var_id") -> Matrix:
-        """Keeps the base of the main layer clustered by an axis; ``unpersist`` its base to let go."""
-        kept = self.X.base.repartition(by).sortWithinPartitions(by).persist()
-        return self.with_layer("X", replace(self.X, base=kept))
+        kept = lambda frame, how: frame.join(rows.select("obs_id", F.lit(1).alias("_r")), "obs_id", how).join(columns.select("var_id", F.lit(1).alias("_c")), "var_id", how)
+        rest = kept(self.X.base, "left").where("_r IS NULL OR _c IS NULL").select("obs_id", "var_id", "value")
+        if isinstance(value, DataFrame):
+            new = kept(value, "inner").select("obs_id", "var_id", F.col("value").cast("double").alias("value")).where("value <> 0")
+        elif np.ndim(value) == 0:
+            if value == 0:
+                return self.with_layer("X", Layer(rest))
+            new = rows.select("obs_id").crossJoin(columns.select("var_id")).withColumn("value", F.lit(float(value)))
+        else:
+            table = np.asarray(value, float)
+            ids = [[r[0] for r in f.select(k).orderBy(k).limit(n + 1).collect()] for f, k, n in ((rows, "obs_id", table.shape[0]), (columns, "var_id", table.shape[-1]))]
+            if table.shape != (len(ids[0]), len(ids[1])):
+                raise ValueError(f"an array of shape {(len(ids[0]), len(ids[1]))} is needed, not {table.shape}")
+            i, j = np.nonzero(table)
+            cells = [(ids[0][a], ids[1][b], float(table[a, b])) for a, b in zip(i, j, strict=True)]
+            new = self.obs.sparkSession.createDataFrame(cells, "obs_id long, var_id long, value double")
+        return self.with_layer("X", Layer(rest.unionByName(new)))
+
+    def cache(self, by: str = "var_id", layer: str | None = None) -> Matrix:
+        """Keeps the base of a layer clustered by an axis, until ``clear_cache``."""
+        x = self.layer(layer)
+        return self.with_layer(layer or "X", replace(x, base=x.base.repartition(by).sortWithinPartitions(by).persist()))
 
-    def persisted(self) -> Matrix:
-        """Keeps the base of the main layer in memory and on disk, for operators that pass over it several times.
+    def persisted(self, layer: str | None = None) -> Matrix:
+        """Keeps the base of a layer in memory and on disk, for operators that pass over it several times, until ``clear_cache``.
 
         Equal bases share what is kept; lost blocks are computed again.
         """
-        return self.with_layer("X", replace(self.X, base=self.X.base.persist(StorageLevel.MEMORY_AND_DISK)))
+        x = self.layer(layer)
+        return self.with_layer(layer or "X", replace(x, base=x.base.persist(StorageLevel.MEMORY_AND_DISK)))
+
+    def clear_cache(self) -> None:
+        """Lets go of all that the matrix keeps: bases, statistics, and those of its raw."""
+        for x in self.layers.values():
+            for frame in (x.base, x.rows, x.columns):
+                if frame is not None:
+                    frame.unpersist()
+        for x in self.uns.values():
+            if hasattr(x, "unpersist"):
+                x.unpersist()
+        if self.raw is not None:
+            self.raw.clear_cache()
+
+    close = clear_cache
+
+    def __enter__(self) -> Matrix:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def sample_density(self, n: int = 1000) -> dict[str, float]:
+        """What a seeded sample of n rows says of the main layer: rows looked at, stored share of their cells, bytes of all stored cells."""
+        rows = self.sample_rows(n)
+        stored, looked = rows.X.base.count(), max(rows.n_obs, 1)
+        return {"rows": rows.n_obs, "density": stored / (looked * max(self.n_vars, 1)), "bytes": 24.0 * stored / looked * self.n_obs}
+
+    def _repr_html_(self) -> str:
+        """A card for notebooks: shape, columns, layers with their steps, and companions; nothing is computed but the shape."""
+        line = lambda k, v: f"<tr><th style='text-align:left'>{escape(k)}</th><td>{escape(v)}</td></tr>"
+        layers = [line(f"layer {k}", " > ".join(x["step"] for x in self.describe_chain(k))) for k in self.layers]
+        groups = [line(g, ", ".join(getattr(self, g))) for g in ("obsm", "varm", "obsp", "varp", "uns") if getattr(self, g)]
+        head = f"<b>Matrix</b> {self.n_obs} observations by {self.n_vars} variables"
+        return f"{head}<table>{line('obs', ', '.join(self.obs.columns))}{line('var', ', '.join(self.var.columns))}{''.join(layers + groups)}</table>"
 
     def unique_names(self, axis: str = "obs") -> Matrix:
         """The k-th repeat of a name gets the suffix -k. Raises ValueError if the result repeats a name."""
@@ -240,7 +294,7 @@ class Matrix:
     def describe_chain(self, layer: str | None = None) -> list[dict]:
         """The steps of a layer from its base on."""
         x = self.layer(layer)
-        return [{"step": "base", "columns": x.base.columns}, *({"step": name, "dense": x.dense and k == len(x.steps) - 1} for k, (name, _) in enumerate(x.steps))]
+        return [{"step": "base", "columns": x.base.columns}, *({"step": name, "dense": False} for name in x.history), *({"step": s.name, "dense": x.dense and k == len(x.steps) - 1} for k, s in enumerate(x.steps))]
 
     def __repr__(self) -> str:
         chain = " > ".join(s["step"] for s in self.describe_chain())

@@ -29,12 +29,9 @@ def pearson_hvg(m: Matrix, n_top: int = 2000, theta: float = 100.0, clip_at: flo
         chosen = F.col("highly_variable_rank") <= n_top
         return ranked.select("*", chosen.alias("highly_variable"), F.lit(1).alias("highly_variable_nbatches"), chosen.alias("highly_variable_intersection"))
     names = m.categories("obs", batch_key)
-    ranks = None
-    for b in names:
-        part = pearson_residual_variance(m.subset(F.col(batch_key) == b), theta, clip_at, layer)
-        place = F.row_number().over(W.orderBy(F.round("residual_variance", digits).desc(), "var_id")) - 1
-        one = part.select("var_id", place.alias("_r")).where(F.col("_r") < n_top)
-        ranks = one if ranks is None else ranks.unionByName(one)
+    part = pearson_residual_variance(m, theta, clip_at, layer, by=batch_key)
+    place = F.row_number().over(W.partitionBy(batch_key).orderBy(F.round("residual_variance", digits).desc(), "var_id")) - 1
+    ranks = part.select("var_id", place.alias("_r")).where(F.col("_r") < n_top)
     summed = ranks.groupBy("var_id").agg(F.count("*").alias("highly_variable_nbatches"), F.median("_r").alias("highly_variable_rank"))
     found = out.join(summed, "var_id", "left").na.fill(0, ["highly_variable_nbatches"])
     order = W.orderBy(F.col("highly_variable_nbatches").desc(), F.col("highly_variable_rank").asc_nulls_last(), "var_id")
@@ -46,6 +43,8 @@ def pearson_hvg(m: Matrix, n_top: int = 2000, theta: float = 100.0, clip_at: flo
 def dispersions(m: Matrix, flavor: str = "seurat", n_bins: int = 20, layer: str | None = None, digits: int = 9) -> DataFrame:
     """var_id, means, dispersions, dispersions_norm by bins of the mean; null where there is none.
 
+    Fixed values, which the method defines: 20 bins, percentiles 10 to 100 by 5, 1.4826 (deviations by the median absolute one), 1e-12.
+
     Bins of cell_ranger compare means and percentiles on ``digits`` digits, so that means equal but for rounding share a bin.
     """
     if flavor not in ("seurat", "cell_ranger"):
@@ -109,8 +108,8 @@ def loess(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
     return fitted
 
 
-def pegasus_hvf(m: Matrix, n_top: int = 2000, span: float = 0.02, layer: str | None = None) -> DataFrame:
-    """Features by distance and ratio to a local regression of variance on mean, over var.robust.
+def pegasus_hvf(m: Matrix, n_top: int = 2000, span: float = 0.02, layer: str | None = None, digits: int = 7) -> DataFrame:
+    """Features by distance and ratio to a local regression of variance on mean, over var.robust, both compared to ``digits`` decimals.
 
     Moments are distributed; the regression sees one point a robust variable, on the driver.
     """
@@ -131,7 +130,7 @@ def pegasus_hvf(m: Matrix, n_top: int = 2000, span: float = 0.02, layer: str | N
     else:
         fit = x
     delta, fold = y - fit, np.divide(y, fit, out=np.zeros_like(y), where=fit != 0)
-    falling = lambda v: np.argsort(np.argsort(-v, kind="stable"), kind="stable")
+    falling = lambda v: np.argsort(np.argsort(-np.round(v, digits), kind="stable"), kind="stable")
     place = np.argsort(np.argsort(falling(delta) + falling(fold), kind="stable"), kind="stable")
     rows = [(int(i), float(f), int(p), bool(p < n_top)) for i, f, p in zip(points["var_id"], fit, place, strict=True)]
     chosen = m.obs.sparkSession.createDataFrame(rows, "var_id long, hvf_loess double, hvf_rank int, highly_variable_features boolean")
@@ -139,6 +138,11 @@ def pegasus_hvf(m: Matrix, n_top: int = 2000, span: float = 0.02, layer: str | N
     return found.withColumn("highly_variable", F.col("highly_variable_features"))
 
 
+def scrublet_counts(m: Matrix, **options) -> DataFrame:
+    """The block of raw counts that doublet detection works on: obs_id, var_id, value of the rows and features of :func:`scrublet_prepare`."""
+    return scrublet_prepare(m, **options)[0].X.values()
+
+
 def scrublet_prepare(m: Matrix, min_cells: int = 3, min_genes: int = 3, n_top: int = 2000, flavor: str = "seurat") -> tuple[Matrix, DataFrame, int]:
     """The counts of passing rows and variable features, (var_id, selected) and the number of features selected.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ def _params(layer: Layer) -> DataFrame:
 
 def _before(layer: Layer) -> DataFrame:
     """Stored cells of a scaled layer before it was scaled."""
-    return Layer(layer.base, layer.rows, None, layer.steps[:-1]).values()
+    return replace(layer.before(), columns=None).values()
 
 
 def matmul(m: Matrix, weights: DataFrame, layer: str = "scaled") -> DataFrame:
@@ -44,14 +44,55 @@ def rmatmul(m: Matrix, weights: DataFrame, layer: str = "scaled") -> DataFrame:
     return every.join(product, ["k", "var_id"], "left").select("k", "var_id", ((F.coalesce("_p", F.lit(0.0)) - F.col("_y") * F.col("_mean")) / F.col("_std")).alias("value"))
 
 
+def tmatmul(m: Matrix, weights: DataFrame, layer: str = "scaled") -> DataFrame:
+    """scaled.T @ Y without clipping: (obs_id, k, w) to (var_id, k, value)."""
+    return rmatmul(m, weights, layer).select("var_id", "k", "value")
+
+
+#: Columns of a tile of a product, and rows that a task multiplies at once, about.
+TILE = 512
+GRAM_ROWS = 8192
+
+
+def _tile_product(table: pa.Table) -> pa.Table:
+    """Products of the columns of two tiles over some rows, where some row has both."""
+    i_tile, j_tile = table.column("i_tile")[0].as_py(), table.column("j_tile")[0].as_py()
+    row = np.unique(np.asarray(table.column("obs_id")), return_inverse=True)[1]
+    tile = np.asarray(table.column("tile"))
+    sides = []
+    for t in (i_tile, j_tile):
+        some = table.filter(pa.array(tile == t))
+        cells = some.column("cells").combine_chunks()
+        owner = np.repeat(row[tile == t], np.asarray(cells.value_lengths()))
+        flat = cells.flatten()
+        at, value = np.asarray(flat.field("var_id")) - t * TILE, np.asarray(flat.field("value"))
+        side = np.zeros((row.max(initial=-1) + 1, TILE))
+        side[owner, at] = value
+        sides.append(side)
+    product, both = sides[0].T @ sides[1], (sides[0] != 0).astype(np.float32).T @ (sides[1] != 0).astype(np.float32)
+    if i_tile == j_tile:
+        both = np.triu(both)
+    i, j = np.nonzero(both)
+    return pa.table({"i": pa.array(i + i_tile * TILE, pa.int64()), "j": pa.array(j + j_tile * TILE, pa.int64()), "value": product[i, j]})
+
+
 def gram(m: Matrix, layer: str | None = None) -> DataFrame:
-    """Sums of products of two columns of a sparse layer, i <= j, where not all products are zero."""
+    """Sums of products of two columns of a sparse layer, i <= j, where not all products are zero.
+
+    By blocks: the columns are cut into tiles, and a task multiplies two tiles over a share of the rows, so a long row costs its
+    tiles, not its pairs of cells.
+    """
     x = m.layer(layer)
     if x.dense:
         raise ValueError("use pca for dense layers")
-    a = x.values().select("obs_id", F.col("var_id").alias("i"), F.col("value").alias("x"))
-    b = x.values().select("obs_id", F.col("var_id").alias("j"), F.col("value").alias("y"))
-    return a.join(b, "obs_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    tile = F.floor(F.col("var_id") / TILE).cast("long")
+    tiles = [r[0] for r in m.var.select(tile.alias("t")).distinct().orderBy("t").collect()]
+    shares = max(1, m.n_obs // GRAM_ROWS)
+    rows = x.values().where("value <> 0").groupBy("obs_id", tile.alias("tile")).agg(F.collect_list(F.struct("var_id", "value")).alias("cells"))
+    pairs = rows.withColumn("_other", F.explode(F.array(*[F.lit(t).cast("long") for t in tiles])))
+    pairs = pairs.select(F.least("tile", "_other").alias("i_tile"), F.greatest("tile", "_other").alias("j_tile"), F.pmod(F.xxhash64("obs_id"), F.lit(shares)).alias("share"), "obs_id", "tile", "cells")
+    found = pairs.groupBy("i_tile", "j_tile", "share").applyInArrow(_tile_product, "i long, j long, value double")
+    return found.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 @dataclass(frozen=True)
@@ -73,12 +114,13 @@ def hvg_mask(m: Matrix, use: bool = True) -> DataFrame | None:
     return None
 
 
-#: Columns of a Gram matrix at most; a task holds their square as doubles.
+#: Columns up to which the whole Gram matrix is summed, a task holding its square as doubles; more go by subspace iteration.
 MAX_COLUMNS = 4096
-_ROWS = 512
+#: Doubles of a dense block of rows at most.
+_BLOCK = 1 << 21
 
 
-def _packed(m: Matrix, layer: Layer, n: int, zero: np.ndarray) -> DataFrame:
+def _packed(m: Matrix, layer: Layer) -> DataFrame:
     """A row for each observation with the places and values of its stored cells; rows without any stay."""
     cells = layer.values().join(m.var.select("var_id", "_place"), "var_id")
     rows = cells.groupBy("obs_id").agg(F.collect_list(F.struct("_place", "value")).alias("cells"))
@@ -86,9 +128,10 @@ def _packed(m: Matrix, layer: Layer, n: int, zero: np.ndarray) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], zero: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    step = max(1, min(512, _BLOCK // max(1, len(zero))))
     for whole in batches:
-        for a in range(0, len(whole), _ROWS):
-            batch = whole.slice(a, _ROWS)
+        for a in range(0, len(whole), step):
+            batch = whole.slice(a, step)
             block = np.tile(zero, (len(batch), 1))
             at, values = batch.column("at").fill_null([]), batch.column("values").fill_null([])
             owner = np.repeat(np.arange(len(batch)), np.asarray(at.value_lengths()))
@@ -96,54 +139,116 @@ def _blocks(batches: Iterator[pa.RecordBatch], zero: np.ndarray) -> Iterator[tup
             yield batch.column("obs_id"), block
 
 
-def pca(m: Matrix, layer: str = "scaled", n_comps: int = 50, n_oversamples: int = 10, use_highly_variable: bool = True) -> Pca:
-    """Exact principal components by a distributed Gram matrix of the selected variables.
+def _sum_blocks(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b.as_py()) for b in table.column("block"))
+    return pa.table({"tile": table.column("tile")[:1], "block": pa.array([total.tobytes()], pa.binary())})
+
+
+def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices that tasks emit in tiles of rows (tile, block), added up in two levels; the result is one matrix."""
+    first = parts.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("tile", "share").applyInArrow(_sum_blocks, "tile long, block binary")
+    found = first.groupBy("tile").applyInArrow(_sum_blocks, "tile long, block binary").toArrow()
+    out = np.zeros(shape)
+    for tile, block in zip(found.column("tile").to_pylist(), found.column("block"), strict=True):
+        rows = np.frombuffer(block.as_py()).reshape(-1, shape[1])
+        out[tile * TILE : tile * TILE + len(rows)] = rows
+    return out
+
+
+def _emit(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(total), TILE):
+        yield pa.record_batch([pa.array([k // TILE], pa.int64()), pa.array([np.ascontiguousarray(total[k : k + TILE]).tobytes()], pa.binary())], names=["tile", "block"])
+
+
+class _Rows:
+    """The rows of the selected variables as dense blocks, zeros and clipping included."""
+
+    def __init__(self, m: Matrix, layer: str, use_highly_variable: bool):
+        x = m.layer(layer) if layer in m.layers else m.X
+        chosen = hvg_mask(m, use_highly_variable)
+        if chosen is not None:
+            m, x = m.subset(None, chosen), x.kept(None, chosen)
+        if x.dense and x.steps[-1].name != "scale":
+            raise ValueError("only scaled or sparse layers")
+        self.ids = [r[0] for r in m.var.select("var_id").orderBy("var_id").collect()]
+        self.n, self.matrix = len(self.ids), m
+        places = m.obs.sparkSession.createDataFrame(list(zip(self.ids, range(self.n), strict=True)), "var_id long, _place long")
+        self.zero = np.zeros(self.n)
+        if x.dense:
+            for k, v in x.columns.join(places, "var_id").select("_place", x.at_zero()).collect():
+                self.zero[k] = v
+        self.rows = _packed(m.with_var(places), x)
+
+    def gram(self) -> np.ndarray:
+        zero, n = self.zero, self.n
 
-    Tasks build dense blocks of a few hundred rows, zeros and clipping included, and add their products; the
-    driver decomposes one matrix of n_vars by n_vars and rows are projected. Not re-centred after clipping.
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((n, n))
+            for _, block in _blocks(batches, zero):
+                total += block.T @ block
+            yield from _emit(total)
+
+        return _summed(self.rows.mapInArrow(products, "tile long, block binary"), (n, n))
+
+    def gram_times(self, basis: np.ndarray) -> tuple[np.ndarray, float]:
+        """A.T @ (A @ basis) and the sum of the squares of A, in one pass."""
+        zero, n = self.zero, self.n
+        shipped = self.matrix.obs.sparkSession.sparkContext.broadcast(basis)
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((n + 1, basis.shape[1]))
+            for _, block in _blocks(batches, zero):
+                total[:n] += block.T @ (block @ shipped.value)
+                total[n, 0] += np.einsum("ij,ij->", block, block)
+            yield from _emit(total)
+
+        found = _summed(self.rows.mapInArrow(products, "tile long, block binary"), (n + 1, basis.shape[1]))
+        return found[:n], float(found[n, 0])
+
+    def project(self, vectors: np.ndarray | None) -> DataFrame:
+        """obs_id and vec, the row in a basis, or as it is."""
+        zero = self.zero
+        shipped = None if vectors is None else self.matrix.obs.sparkSession.sparkContext.broadcast(vectors)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for obs, block in _blocks(batches, zero):
+                out = block if shipped is None else block @ shipped.value
+                yield pa.record_batch([obs, pa.array(list(out), pa.list_(pa.float64()))], names=["obs_id", "vec"])
+
+        return self.rows.mapInArrow(run, "obs_id long, vec array<double>")
+
+
+def materialise_for_pca(m: Matrix, layer: str = "scaled", use_highly_variable: bool = True) -> DataFrame:
+    """obs_id and vec: the dense rows that :func:`pca` works on, in the order of var_id; the main layer stands in for a missing one."""
+    return _Rows(m, layer, use_highly_variable).project(None)
+
+
+def pca(m: Matrix, layer: str = "scaled", n_comps: int = 50, n_oversamples: int = 10, use_highly_variable: bool = True, iterations: int = 6, seed: int = 0) -> Pca:
+    """Principal components of the selected variables.
+
+    Tasks build dense blocks of a few hundred rows, zeros and clipping included. Up to ``MAX_COLUMNS`` variables they add up the
+    Gram matrix, which the driver decomposes: exact. Beyond, ``iterations`` passes turn a random subspace of
+    n_comps + n_oversamples dimensions towards the leading one (A.T @ (A @ basis), orthonormalised), and the
+    components are the best within it; a task and the driver hold a matrix of variables by dimensions. Not re-centred after clipping.
     ``variance_ratio`` is over the n_comps + n_oversamples components kept, ``explained_variance_ratio`` over
     all. Signs make the largest loading of a component positive.
     """
-    x = m.layer(layer) if layer in m.layers else m.X
-    chosen = hvg_mask(m, use_highly_variable)
-    if chosen is not None:
-        m, x = m.subset(None, chosen), x.kept(None, chosen)
-    if x.rows is not None and x.dense and x.steps[-1][0] != "scale":
-        raise ValueError("only scaled or sparse layers")
-    ids = [r[0] for r in m.var.select("var_id").orderBy("var_id").limit(MAX_COLUMNS + 1).collect()]
-    n = len(ids)
-    if n > MAX_COLUMNS:
-        raise ValueError(f"select {MAX_COLUMNS} variables at most")
-    places = m.obs.sparkSession.createDataFrame(list(zip(ids, range(n), strict=True)), "var_id long, _place long")
-    zero = np.zeros(n)
-    if x.dense:
-        found = {r[0]: r[1] for r in x.columns.join(places, "var_id").select("_place", x.at_zero()).collect()}
-        zero = np.array([found[k] for k in range(n)])
-    rows = _packed(m.with_var(places), x, n, zero)
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n))
-        for _, block in _blocks(batches, zero):
-            total += block.T @ block
-        if total.any():
-            for k in range(n):
-                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([total[k].tolist()], pa.list_(pa.float64()))], names=["i", "row"])
-
-    parts = rows.mapInArrow(products, "i long, row array<double>")
-    summed = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()  # n by n
-    g = np.zeros((n, n))
-    if len(summed):
-        g[np.asarray(summed.column("i")), np.asarray(summed.column("j"))] = np.asarray(summed.column("v"))
-    values, vectors = np.linalg.eigh(g)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    rows = _Rows(m, layer, use_highly_variable)
+    n = rows.n
     kept = min(n_comps + n_oversamples, m.n_obs, n)
-    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(n)] < 0, -1, 1) if n else vectors
+    if n <= MAX_COLUMNS:
+        values, vectors = np.linalg.eigh(rows.gram())
+        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+        whole = values.sum()
+    else:
+        basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, kept)))[0]
+        for _ in range(iterations):
+            basis = np.linalg.qr(rows.gram_times(basis)[0])[0]
+        product, whole = rows.gram_times(basis)
+        inner = basis.T @ product
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, vectors = np.maximum(values[::-1], 0), basis @ turn[:, ::-1]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1) if n else vectors
     k = min(n_comps, kept)
-    shipped = m.obs.sparkSession.sparkContext.broadcast(vectors[:, :k])
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for obs, block in _blocks(batches, zero):
-            yield pa.record_batch([obs, pa.array((block @ shipped.value).tolist(), pa.list_(pa.float64()))], names=["obs_id", "vec"])
-
-    top, whole = values[:kept].sum(), values.sum()
-    return Pca(rows.mapInArrow(project, "obs_id long, vec array<double>"), vectors[:, :k].T, np.array(ids), values[:k] / (top or 1), values[:k] / (whole or 1))
+    top = values[:kept].sum()
+    return Pca(rows.project(np.ascontiguousarray(vectors[:, :k])), vectors[:, :k].T, np.array(rows.ids), values[:k] / (top or 1), values[:k] / (whole or 1))

@@ -10,11 +10,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import guard, stats
 from tessera.operators import hvg, linalg, transforms
 from tessera.operators.frame import Matrix
+from tessera.operators.layers import Layer
 from tessera.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,25 +217,14 @@ def var_vector(spark, d):
     return m.var_vector(m.obs.orderBy("obs_id").first()["obs_name"])
 
 
-@query("""SELECT obs_id, coalesce(max(value) FILTER (WHERE var_id = 1), 0.0) AS "P1", coalesce(max(value) FILTER (WHERE var_id = 2), 0.0) AS "P2", coalesce(max(value) FILTER (WHERE var_id = 3), 0.0) AS "P3"
-FROM obs LEFT JOIN x USING (obs_id) WHERE obs_id < 50 GROUP BY 1""")
-def to_df_window(spark, d):
-    return counts(spark, d)[:50, ["P1", "P2", "P3"]].to_df()
-
-
 @query("""SELECT obs_id, coalesce(max(value) FILTER (WHERE var_id = 1), 0.0) AS "P1", coalesce(max(value) FILTER (WHERE var_id = 2), 0.0) AS "P2", coalesce(max(value) FILTER (WHERE var_id = 3), 0.0) AS "P3"
 FROM obs LEFT JOIN x USING (obs_id) GROUP BY 1""")
-def to_df_window_whole(spark, d):
+def to_df_window(spark, d):
     return counts(spark, d)[:, ["P1", "P2", "P3"]].to_df()
 
 
-@query("SELECT pos, obs_id, var_id, value FROM (VALUES (CAST(0 AS BIGINT), 9), (1, 3), (2, 9), (3, 4)) AS a(pos, id) JOIN x ON obs_id = id WHERE var_id < 500")
-def row_indices_ordered(spark, d):
-    return counts(spark, d)[:, :500].row_indices([9, 3, 9, 4])
-
-
 @query("SELECT pos, obs_id, var_id, value FROM (VALUES (CAST(0 AS BIGINT), 9), (1, 3), (2, 9), (3, 4)) AS a(pos, id) JOIN x ON obs_id = id")
-def row_indices_ordered_whole(spark, d):
+def row_indices_ordered(spark, d):
     return counts(spark, d).row_indices([9, 3, 9, 4])
 
 
@@ -242,17 +233,8 @@ def row_range(spark, d):
     return counts(spark, d).rows(10, 20)
 
 
-@query("SELECT obs_id, count(*) AS n, sum(value) AS total FROM x WHERE obs_id < 60 GROUP BY 1")
-def chunked_blocks(spark, d):
-    out = None
-    for _, _, cells in counts(spark, d)[:60].chunked(25):
-        part = cells.groupBy("obs_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query("SELECT obs_id, count(*) AS n, sum(value) AS total FROM x GROUP BY 1")
-def chunked_blocks_whole(spark, d):
+def chunked_blocks(spark, d):
     out = None
     for _, _, cells in counts(spark, d).persisted().chunked(25):
         part = cells.groupBy("obs_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -272,23 +254,13 @@ def renamed_categories(spark, d):
     return counts(spark, d).rename_categories("obs", "batch", {"0": "zero", "1": "one"}).obs.select("obs_id", "batch")
 
 
-@query("SELECT var_id AS obs_id, obs_id AS var_id, value FROM x WHERE obs_id < 30")
-def transposed(spark, d):
-    return counts(spark, d)[:30].transposed().X.values()
-
-
 @query("SELECT var_id AS obs_id, obs_id AS var_id, value FROM x")
-def transposed_whole(spark, d):
+def transposed(spark, d):
     return counts(spark, d).transposed().X.values()
 
 
-@query("SELECT obs_id, var_id, value FROM x WHERE NOT (obs_id < 5 AND var_id < 10) AND obs_id < 10 UNION ALL SELECT obs_id, var_id, 2.5 FROM obs CROSS JOIN var WHERE obs_id < 5 AND var_id < 10")
-def assigned_rectangle(spark, d):
-    return counts(spark, d)[:10].assign(slice(0, 5), slice(0, 10), 2.5).X.values()
-
-
 @query("SELECT obs_id, var_id, value FROM x WHERE NOT (obs_id < 5 AND var_id < 10) UNION ALL SELECT obs_id, var_id, 2.5 FROM obs CROSS JOIN var WHERE obs_id < 5 AND var_id < 10")
-def assigned_rectangle_whole(spark, d):
+def assigned_rectangle(spark, d):
     return counts(spark, d).assign(slice(0, 5), slice(0, 10), 2.5).X.values()
 
 
@@ -312,13 +284,8 @@ def norm_exclude_high(spark, d):
     return _rounded(transforms.norm_factors(baskets(spark, d).persisted(), exclude_highly_expressed=True, max_fraction=0.3), "factor")
 
 
-@query(f", {_NORM} SELECT obs_id, total, round(factor, 6) + 0.0 AS factor FROM f WHERE total = 0 OR obs_id % 10 = 0", base=_M2)
-def norm_zero_rows(spark, d):
-    return _rounded(transforms.norm_factors(baskets(spark, d).persisted()).where("total = 0 OR obs_id % 10 = 0"), "factor")
-
-
 @query(f", {_NORM} SELECT obs_id, total, round(factor, 6) + 0.0 AS factor FROM f", base=_M2)
-def norm_zero_rows_whole(spark, d):
+def norm_zero_rows(spark, d):
     return _rounded(transforms.norm_factors(baskets(spark, d).persisted()), "factor")
 
 
@@ -359,15 +326,8 @@ def scale_sumsq(spark, d):
     return transforms.scaled_sums(transforms.scale(normalised(spark, d))).select("var_id", r("q", 5).alias("q"))
 
 
-@query(", y AS (SELECT * FROM x), " + _MOMENTS + ", " + _SCALE + " SELECT obs.obs_id, p.var_id, round(least(0.5, (coalesce(y.value, 0.0) - mean) / std), 6) + 0.0 AS value FROM obs CROSS JOIN p LEFT JOIN y ON y.obs_id = obs.obs_id AND y.var_id = p.var_id WHERE p.var_id <= 20")
+@query(", y AS (SELECT * FROM x), " + _MOMENTS + ", " + _SCALE + " SELECT obs.obs_id, p.var_id, round(least(0.5, (coalesce(y.value, 0.0) - mean) / std), 6) + 0.0 AS value FROM obs CROSS JOIN p LEFT JOIN y ON y.obs_id = obs.obs_id AND y.var_id = p.var_id")
 def centered_upper_clip(spark, d):
-    m = counts(spark, d).persisted()
-    params = stats.mean_var(m).select("var_id", "mean", F.sqrt("variance").alias("std"))
-    return _rounded(m.with_layer("c", transforms.centered(m.X, params, clip_high=0.5)).subset(None, F.col("var_id") <= 20).filled("c"), "value")
-
-
-@query()
-def centered_upper_clip_whole(spark, d):
     m = counts(spark, d).persisted()
     params = stats.mean_var(m).select("var_id", "mean", F.sqrt("variance").alias("std"))
     return _rounded(m.with_layer("c", transforms.centered(m.X, params, clip_high=0.5)).filled("c"), "value")
@@ -401,30 +361,29 @@ def hvg_seurat_cutoff(spark, d):
 
 @query(f""", {_NORM}, {_MOMENTS},
 a AS (SELECT var_id, CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS means, variance / CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS disp FROM mv),
-e AS (SELECT DISTINCT unnest(quantile_cont(means, [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0])) AS edge FROM a),
-b AS (SELECT var_id, means, disp, (SELECT count(*) FROM e WHERE means > edge + 1e-12) AS bin FROM a),
+e AS (SELECT DISTINCT round(unnest(quantile_cont(means, [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0])), 9) AS edge FROM a),
+b AS (SELECT var_id, means, disp, (SELECT count(*) FROM e WHERE round(means, 9) > edge) AS bin FROM a),
 c AS (SELECT *, median(disp) OVER (PARTITION BY bin) AS m FROM b),
 s AS (SELECT *, 1.4826 * median(abs(disp - m)) OVER (PARTITION BY bin) AS s FROM c)
-SELECT var_id, round(means, 6) + 0.0 AS means, round((disp - m) / nullif(s, 0), 4) + 0.0 AS dispersions_norm FROM s
-WHERE NOT EXISTS (SELECT 1 FROM e WHERE abs(means - edge) < 1e-9)""")
+SELECT var_id, round(means, 6) + 0.0 AS means, round((disp - m) / nullif(s, 0), 4) + 0.0 AS dispersions_norm FROM s""")
 def hvg_cell_ranger(spark, d):
-    m = normalised(spark, d)
-    found = hvg.dispersions(m, "cell_ranger")
-    edges = found.agg(F.percentile("means", F.array(*[F.lit(p / 100) for p in range(10, 101, 5)])).alias("e"))
-    near = found.crossJoin(edges).where(~F.exists("e", lambda x: F.abs(F.col("means") - x) < 1e-9))
-    return near.select("var_id", r("means").alias("means"), r("dispersions_norm", 4).alias("dispersions_norm"))
+    found = hvg.dispersions(normalised(spark, d), "cell_ranger")
+    return found.select("var_id", r("means").alias("means"), r("dispersions_norm", 4).alias("dispersions_norm"))
 
 
-@query(f""", {_NORM}, {_MOMENTS},
+_CELL_RANGER = f""", {_NORM}, {_MOMENTS},
 a AS (SELECT var_id, CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS means, variance / CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS disp FROM mv),
 e AS (SELECT DISTINCT round(unnest(quantile_cont(means, [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0])), 9) AS edge FROM a),
 b AS (SELECT var_id, means, disp, (SELECT count(*) FROM e WHERE round(means, 9) > edge) AS bin FROM a),
 c AS (SELECT *, median(disp) OVER (PARTITION BY bin) AS m FROM b),
-s AS (SELECT *, 1.4826 * median(abs(disp - m)) OVER (PARTITION BY bin) AS s FROM c)
-SELECT var_id, round(means, 6) + 0.0 AS means, round((disp - m) / nullif(s, 0), 4) + 0.0 AS dispersions_norm FROM s""")
-def hvg_cell_ranger_whole(spark, d):
-    found = hvg.dispersions(normalised(spark, d), "cell_ranger")
-    return found.select("var_id", r("means").alias("means"), r("dispersions_norm", 4).alias("dispersions_norm"))
+s AS (SELECT *, 1.4826 * median(abs(disp - m)) OVER (PARTITION BY bin) AS s FROM c)"""
+
+
+@query(_CELL_RANGER + """, rk AS (SELECT var_id, row_number() OVER (ORDER BY round((disp - m) / nullif(s, 0), 6) DESC NULLS LAST, var_id) AS p FROM s)
+SELECT var_id, CAST(p AS DOUBLE) AS rank FROM rk WHERE p <= 200""")
+def hvg_cell_ranger_top(spark, d):
+    found = hvg.dispersion_hvg(normalised(spark, d), "cell_ranger", n_top=200, digits=6)
+    return found.where("highly_variable").select("var_id", F.col("highly_variable_rank").alias("rank"))
 
 
 def _pearson_sql(cells: str, rows: str) -> str:
@@ -474,7 +433,15 @@ def hvg_pearson_batch(spark, d):
     return found.select("var_id", "highly_variable_nbatches", F.col("highly_variable_rank").cast("double").alias("highly_variable_rank"), "highly_variable", "highly_variable_intersection")
 
 
-@query()
+@query(f""", {_NORM}, {_MOMENTS}, pt AS (SELECT var_id, mean AS x, variance AS y FROM mv JOIN cs USING (var_id), n WHERE k / n_obs * 100 >= 20.0),
+near AS (SELECT p.var_id, p.y AS y0, q.x - p.x AS u, q.y, row_number() OVER (PARTITION BY p.var_id ORDER BY abs(q.x - p.x)) AS r, CAST(ceil(0.02 * count(*) OVER (PARTITION BY p.var_id)) AS BIGINT) AS k FROM pt p CROSS JOIN pt q),
+far AS (SELECT *, max(abs(u)) OVER (PARTITION BY var_id) AS far FROM near WHERE r <= k),
+w AS (SELECT var_id, y0, y, u / far AS u, pow(1 - pow(least(abs(u) / far, 1.0), 3), 3) AS w FROM far),
+q AS (SELECT var_id, any_value(y0) AS y0, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM w GROUP BY 1),
+fit AS (SELECT var_id, y0, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) AS fit FROM q),
+ranks AS (SELECT var_id, row_number() OVER (ORDER BY round(y0 - fit, 7) DESC, var_id) + row_number() OVER (ORDER BY round(CASE WHEN fit = 0 THEN 0.0 ELSE y0 / fit END, 7) DESC, var_id) AS s FROM fit),
+final AS (SELECT var_id, row_number() OVER (ORDER BY s, var_id) - 1 AS p FROM ranks)
+SELECT var_id, CAST(coalesce(p, -1) AS INTEGER) AS hvf_rank, coalesce(p < 200, false) AS highly_variable_features FROM cs LEFT JOIN final USING (var_id) WHERE k > 0""")
 def hvf_pegasus(spark, d):
     return hvg.pegasus_hvf(stats.robust_genes(normalised(spark, d), 20.0), n_top=200).select("var_id", "hvf_rank", "highly_variable_features")
 
@@ -485,6 +452,12 @@ def scrublet_mask(spark, d):
     return hvg.scrublet_prepare(counts(spark, d).persisted(), min_cells=27, n_top=200)[1]
 
 
+@query(_SEURAT + """, top AS (SELECT var_id, row_number() OVER (ORDER BY round(dn, 9) DESC NULLS LAST, var_id) <= 200 AS hv FROM h)
+SELECT obs_id, var_id, value FROM x WHERE var_id IN (SELECT var_id FROM top JOIN cs USING (var_id) WHERE hv AND k >= 27) AND obs_id IN (SELECT obs_id FROM rs WHERE k >= 3)""")
+def scrublet_block(spark, d):
+    return hvg.scrublet_counts(counts(spark, d).persisted(), min_cells=27, n_top=200)
+
+
 # Regression and products
 
 @query("SELECT var_id, round(total, 4) + 0.0 AS x0, round(coalesce(sum(value * acctbal), 0.0), 2) + 0.0 AS x1 FROM cs LEFT JOIN x USING (var_id) LEFT JOIN obs USING (obs_id) GROUP BY var_id, total")
@@ -532,13 +505,8 @@ def gram(spark, d):
     return linalg.gram(baskets(spark, d).persisted())
 
 
-@query("SELECT a.var_id AS i, b.var_id AS j, round(sum(a.value * b.value), 5) + 0.0 AS value FROM x a JOIN x b USING (obs_id) WHERE a.var_id <= b.var_id AND b.var_id < 12 GROUP BY 1, 2", base=_M4)
-def gram_vectors(spark, d):
-    return _rounded(linalg.gram(vectors(spark, d)[:, :12]), "value", digits=5)
-
-
 @query("SELECT a.var_id AS i, b.var_id AS j, round(sum(a.value * b.value), 5) + 0.0 AS value FROM x a JOIN x b USING (obs_id) WHERE a.var_id <= b.var_id GROUP BY 1, 2", base=_M4)
-def gram_vectors_whole(spark, d):
+def gram_vectors(spark, d):
     return _rounded(linalg.gram(vectors(spark, d)), "value", digits=5)
 
 
@@ -558,6 +526,39 @@ def pca_variance(spark, d):
     return spark.createDataFrame(rows, "component int, variance_ratio double, explained_variance_ratio double")
 
 
+_Z = f"""{_M4}, obs AS (SELECT DISTINCT obs_id FROM e), var AS (SELECT DISTINCT var_id FROM e), y AS (SELECT obs_id, var_id, value FROM x), {_MOMENTS}, {_SCALE},
+z AS (SELECT obs.obs_id, p.var_id, greatest(-10, least(10, (coalesce(y.value, 0.0) - mean) / std)) AS z FROM obs CROSS JOIN p LEFT JOIN y ON y.obs_id = obs.obs_id AND y.var_id = p.var_id)"""
+
+
+def _whole_rotation(spark: SparkSession, d: str) -> linalg.Pca:
+    return linalg.pca(transforms.scale(vectors(spark, d).persisted()), n_comps=4096)
+
+
+@query("SELECT obs_id, round(sum(z * z), 4) + 0.0 AS energy FROM z GROUP BY 1", base=_Z)
+def pca_row_energy(spark, d):
+    """All components turn a row and keep its length."""
+    return _whole_rotation(spark, d).embedding.select("obs_id", r(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v), 4).alias("energy"))
+
+
+@query(", k AS (SELECT CAST(unnest(range((SELECT count(*) FROM var))) AS INTEGER) AS component) SELECT component, true AS uncorrelated, true AS falling, true AS eigenvector FROM k", base=_Z)
+def pca_components_hold(spark, d):
+    """Whether each component is uncorrelated with the others, has no more variance than the one before, and is turned by the Gram matrix into a multiple of itself."""
+    found = _whole_rotation(spark, d)
+    n = len(found.var_ids)
+    scores = found.embedding.select("obs_id", F.posexplode("vec").alias("k", "v"))
+    rows = scores.select("obs_id", F.col("k").cast("long").alias("var_id"), F.col("v").alias("value"))
+    products = linalg.gram(Matrix(found.embedding.select("obs_id"), spark.range(n).select(F.col("id").alias("var_id")), {"X": Layer(rows)}))
+    top = float(products.agg(F.max("value")).first()[0] or 1.0)
+    apart = products.where("i <> j").select(F.col("i").alias("k"), F.abs("value").alias("c")).unionByName(products.where("i <> j").select(F.col("j").alias("k"), F.abs("value").alias("c")))
+    worst = apart.groupBy("k").agg((F.max("c") < 1e-6 * top).alias("uncorrelated"))
+    own = products.where("i = j").select(F.col("i").alias("k"), F.col("value").alias("own"))
+    ratio = spark.createDataFrame([(k, float(v)) for k, v in enumerate(found.explained_variance_ratio)], "k long, ratio double")
+    whole = own.agg(F.sum("own")).first()[0] or 1.0
+    before = F.lag("own").over(W.orderBy("k"))  # a row for each component
+    held = own.join(ratio, "k").select("k", F.coalesce(F.col("own") <= before + 1e-6 * top, F.lit(True)).alias("falling"), (F.abs(F.col("own") / whole - F.col("ratio")) < 1e-6).alias("eigenvector"))
+    return held.join(worst, "k", "left").select(F.col("k").cast("int").alias("component"), F.coalesce("uncorrelated", F.lit(True)).alias("uncorrelated"), "falling", "eigenvector")
+
+
 # Sources, sinks and the rest
 
 def _halves(spark: SparkSession, d: str) -> list[Matrix]:
@@ -580,44 +581,21 @@ def concat_outer(spark, d):
     return store.concat(_halves(spark, d), join="outer").X.values()
 
 
-@query("SELECT obs_id, var_id, value FROM x WHERE obs_id < 25 AND var_id % 50 = 3")
-def raw_after_hvg(spark, d):
-    m = counts(spark, d).with_raw()[:25, F.col("size") > 40]
-    return m.raw[:, F.col("var_id") % 50 == 3].X.values()
-
-
 @query("SELECT obs_id, var_id, value FROM x")
-def raw_after_hvg_whole(spark, d):
+def raw_after_hvg(spark, d):
     return counts(spark, d).with_raw()[:, F.col("size") > 40].raw.X.values()
 
 
-@query(f", {_NORM} SELECT obs_id, var_id, round(value, 6) + 0.0 AS value FROM y WHERE obs_id < 30")
-def layer_roundtrip(spark, d):
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/matrix-{uuid.uuid4().hex}"
-    store.write_store(normalised(spark, d)[:30], path)
-    return _rounded(store.read_store(spark, path).X.values(), "value")
-
-
 @query(f", {_NORM} SELECT obs_id, var_id, round(value, 6) + 0.0 AS value FROM y")
-def layer_roundtrip_whole(spark, d):
+def layer_roundtrip(spark, d):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder}/matrix-{uuid.uuid4().hex}"
     store.write_store(normalised(spark, d), path)
     return _rounded(store.read_store(spark, path).X.values(), "value")
 
 
-@query("SELECT obs_id, total AS doubled FROM (SELECT obs_id, 2 * sum(coalesce(value, 0.0)) AS total FROM obs LEFT JOIN x ON x.obs_id = obs.obs_id AND x.var_id < 10 WHERE obs.obs_id < 20 GROUP BY obs.obs_id)".replace("SELECT obs_id, 2", "SELECT obs.obs_id, 2"))
-def guard_copy_back(spark, d):
-    @guard.in_memory(obs=["*"])
-    def double(values, obs, var):
-        obs["doubled"] = 2 * values.sum(axis=1).to_numpy()
-
-    return double(counts(spark, d)[:20, :10]).obs.select("obs_id", "doubled")
-
-
 @query("SELECT obs.obs_id, 2 * sum(coalesce(value, 0.0)) AS doubled FROM obs LEFT JOIN x ON x.obs_id = obs.obs_id GROUP BY obs.obs_id")
-def guard_copy_back_whole(spark, d):
+def guard_copy_back(spark, d):
     @guard.in_memory(obs=["*"])
     def double(values, obs, var):
         obs["doubled"] = 2 * values.sum(axis=1).to_numpy()

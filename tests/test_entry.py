@@ -8,7 +8,7 @@ from tessera.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "supplier part orders lineitem embeddings".split()
-SOME = ["qc_obs", "axis_var_var_ddof0", "gene_group_pct", "subset_mask", "to_df_window", "norm_zero_rows", "scale_sumsq", "centered_upper_clip", "hvg_seurat_cutoff", "hvg_pearson", "regress_betas", "matmul", "gram", "concat_outer", "layer_roundtrip", "guard_copy_back"]
+SOME = ["hvg_cell_ranger", "hvg_cell_ranger_top", "scrublet_block", "pca_row_energy", "pca_components_hold", "hvg_pearson_batch", "transposed", "chunked_blocks", "raw_after_hvg", "gram_vectors", "row_indices_ordered", "assigned_rectangle", "qc_obs", "axis_var_var_ddof0", "gene_group_pct", "subset_mask", "to_df_window", "norm_zero_rows", "scale_sumsq", "centered_upper_clip", "hvg_seurat_cutoff", "hvg_pearson", "regress_betas", "matmul", "gram", "concat_outer", "layer_roundtrip", "guard_copy_back"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -31,15 +31,6 @@ def test_query_equals_sql(spark, name):
     assert plain(map(tuple, found.select(columns).collect())) == plain(want)
 
 
-WHOLE = ["hvg_cell_ranger", "norm_zero_rows", "layer_roundtrip", "transposed", "chunked_blocks", "raw_after_hvg", "gram_vectors", "guard_copy_back", "to_df_window", "row_indices_ordered", "assigned_rectangle"]
-
-
-@needs_data
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_query_equals_sql(spark, name):
-    test_query_equals_sql(spark, f"{name}_whole")
-
-
 @needs_data
 def test_whole_centered_clip_by_brute_force(spark):
     import numpy as np
@@ -51,14 +42,14 @@ def test_whole_centered_clip_by_brute_force(spark):
         dense[obs.index(r.obs_id), var.index(r.var_id)] = r.value
     std = dense.std(axis=0, ddof=1)
     want = np.minimum(0.5, (dense - dense.mean(axis=0)) / np.where(std == 0, 1, std))
-    found = catalogue.queries()["centered_upper_clip_whole"](spark, DATA).collect()
+    found = catalogue.queries()["centered_upper_clip"](spark, DATA).collect()
     assert len(found) == want.size
     assert all(abs(r.value - want[obs.index(r.obs_id), var.index(r.var_id)]) < 2e-6 for r in found)
 
 
 @needs_data
 def test_cell_ranger_returns_every_variable(spark):
-    found = catalogue.queries()["hvg_cell_ranger_whole"](spark, DATA)
+    found = catalogue.queries()["hvg_cell_ranger"](spark, DATA)
     assert found.count() == catalogue.counts(spark, DATA).var.count()
 
 

@@ -154,6 +154,155 @@ def test_pca(m, x):
     assert linalg.pca(marked, n_comps=3).components.shape == (3, 9)
 
 
+def test_pca_of_many_columns_by_subspace_iteration(m, x, monkeypatch):
+    s = transforms.scale(m, -2, 2)
+    exact = linalg.pca(s, n_comps=4)
+    monkeypatch.setattr(linalg, "MAX_COLUMNS", 10)
+    found = linalg.pca(s, n_comps=4, n_oversamples=10, iterations=12)
+    assert (np.abs(np.sum(found.components * exact.components, 1)) > 0.999).all()
+    assert np.allclose(found.explained_variance_ratio, exact.explained_variance_ratio, rtol=1e-3)
+    a, b = (np.array([r.vec for r in sorted(f.embedding.collect(), key=lambda r: r.obs_id)]) for f in (exact, found))
+    assert np.allclose(a, b, atol=0.05 * np.abs(a).max())
+    z = np.array([r.vec for r in sorted(linalg.materialise_for_pca(s).collect(), key=lambda r: r.obs_id)])
+    sd = x.std(0, ddof=1)
+    assert np.allclose(z, np.clip((x - x.mean(0)) / np.where(sd == 0, 1, sd), -2, 2))
+
+
+def test_gram_by_tiles(m, x, monkeypatch):
+    monkeypatch.setattr(linalg, "GRAM_ROWS", 9)
+    found = {(r.i, r.j): r.value for r in linalg.gram(m).collect()}
+    want = x.T @ x
+    assert found == {(i, j): pytest.approx(want[i, j]) for i in range(25) for j in range(i, 25) if ((x[:, i] != 0) & (x[:, j] != 0)).any()}
+
+
+def test_large_values_do_not_cancel(spark):
+    x = np.array([[1e8 + 1, 0], [1e8 + 2, 3], [1e8 + 3, 0], [1e8 + 4, 1e9]])
+    found = stats.mean_var(matrix(spark, np.pad(x, ((0, 0), (0, 8)))))
+    assert np.allclose(array(found, "var_id", "variance")[:2], x.var(0, ddof=1), rtol=1e-9) and np.allclose(array(found, "var_id", "mean")[:2], x.mean(0))
+
+
+def test_statistics_are_noted_and_rejected_when_stale(m, x):
+    n = transforms.normalize_total(m)
+    noted = n.uns[transforms.PRECOMPUTED]
+    assert noted.fit(n, "counts") and not noted.fit(n) and noted.total == x.sum()
+    assert np.allclose(array(noted.rows, "obs_id", "_row"), x.sum(1)) and np.allclose(array(noted.columns, "var_id", "_column"), x.sum(0))
+    want = array(transforms.pearson_residual_variance(m, precomputed=None), "var_id", "residual_variance")
+    for given in ("auto", noted):
+        assert np.allclose(array(transforms.pearson_residual_variance(n, layer="counts", precomputed=given), "var_id", "residual_variance"), want)
+    part = n[:30]
+    with pytest.raises(ValueError, match="Stale"):
+        transforms.pearson_residual_variance(part, layer="counts", precomputed=noted)
+    fresh = transforms.pearson_residual_variance(m[:30], precomputed=None)
+    assert np.allclose(array(transforms.pearson_residual_variance(part, layer="counts"), "var_id", "residual_variance"), array(fresh, "var_id", "residual_variance"))
+    n.close()
+
+
+def test_residual_variance_by_batch(m, x):
+    found = transforms.pearson_residual_variance(m, by="batch")
+    for b, rows in (("A", x[::2]), ("B", x[1::2])):
+        one = found.where(F.col("batch") == b)
+        part = transforms.pearson_residual_variance(m.subset(F.col("batch") == b))
+        for column in ("residual_variance", "mean", "variance"):
+            assert np.allclose(array(one, "var_id", column), array(part, "var_id", column), atol=1e-12)
+        assert np.allclose(array(one, "var_id", "variance"), rows.var(0))
+
+
+def test_dense_layers_are_stored_by_their_step(m, x, tmp_path, spark):
+    made = {
+        "pearson": transforms.pearson_residuals(m),
+        "scaled": transforms.scale(transforms.log1p(transforms.normalize_total(m)), -1.5, 1.5),
+        "regressed": transforms.regress(m, ["depth"]),
+    }
+    for k, one in made.items():
+        store.write_store(one, str(tmp_path / k), compression="zstd")
+        back = store.read_store(spark, str(tmp_path / k))
+        name = "X" if k == "pearson" else k
+        assert back.layer(name).dense and np.allclose(full(back.filled(name), x.shape), full(one.filled(name), x.shape))
+        assert set(back.layers) == set(one.layers)
+    assert back.uns == {} and store.read_store(spark, str(tmp_path / "scaled")).X.logged
+    own = m.with_layer("own", m.X.then("own", lambda v: v + 1, dense=True))
+    with pytest.raises(ValueError, match="own"):
+        store.write_store(own, str(tmp_path / "own"))
+
+
+def test_assignment_of_arrays_and_relations(m, x, spark):
+    block = np.arange(6.0).reshape(2, 3)
+    want = x.copy()
+    want[4:6, 2:5] = block
+    assert np.allclose(full(m.assign(slice(4, 6), slice(2, 5), block).filled(), x.shape), want)
+    cells = spark.createDataFrame([(4, 2, 9.0), (5, 3, 0.0), (50, 3, 1.0)], "obs_id long, var_id long, value double")
+    want[4:6, 2:5] = [[9, 0, 0], [0, 0, 0]]
+    assert np.allclose(full(m.assign(slice(4, 6), slice(2, 5), cells).filled(), x.shape), want)
+    with pytest.raises(ValueError, match="shape"):
+        m.assign(slice(4, 6), slice(2, 5), block.T)
+
+
+def test_transposed_layers_and_products(m, x, spark):
+    s = transforms.scale(m, -1.5, 1.5)
+    assert np.allclose(full(s.transposed().filled("scaled"), x.T.shape), full(s.filled("scaled"), x.shape).T)
+    assert s.layers["scaled"].has_clip and not m.X.has_clip
+    sd = x.std(0, ddof=1)
+    z = (x - x.mean(0)) / np.where(sd == 0, 1, sd)
+    y = np.random.default_rng(3).normal(size=(x.shape[0], 2))
+    right = spark.createDataFrame([(i, k, float(y[i, k])) for i in range(x.shape[0]) for k in range(2)], "obs_id long, k int, w double")
+    got = linalg.tmatmul(transforms.scale(m), right)
+    for k in range(2):
+        assert np.allclose(array(got.where(F.col("k") == k), "var_id"), (z.T @ y)[:, k])
+    assert stats.nnz(m) == (x != 0).sum() and stats.nnz(s, "scaled") == (np.abs(full(s.filled("scaled"), x.shape)) > 0).sum()
+
+
+def test_caches_and_description(m, x):
+    with m.persisted().cache(layer="X") as kept:
+        assert kept.X.base.is_cached and kept.X.values().count() == (x != 0).sum()
+    assert not kept.X.base.is_cached
+    assert "25 variables" in m._repr_html_() and m.sample_density(10)["rows"] == 10 and m.sample_density(100)["density"] == pytest.approx((x != 0).mean())
+
+
+def test_numbers_along_an_order(spark, monkeypatch):
+    from tessera.operators import order
+
+    rows = [(k * 7919 % 1000, str(k % 13)) for k in range(1000)] + [(None, "x")]
+    for key in ("a", "b"):
+        found = order.numbered(spark.createDataFrame(rows, "a long, b string").repartition(5), key).collect()
+        found.sort(key=lambda r: r._place)
+        assert [r._place for r in found] == list(range(1001))
+        keys = [r[key] for r in found]
+        assert keys == sorted(keys, key=lambda v: (v is not None, v if v is not None else 0))
+
+
+def test_matrix_market_kinds(spark, tmp_path):
+    def read(text):
+        (tmp_path / "k.mtx").write_text(text)
+        found = store.read_mtx(spark, str(tmp_path / "k.mtx"))
+        out = np.zeros(found.shape)
+        for r in found.X.values().collect():
+            out[r.obs_id, r.var_id] = r.value
+        return out.tolist()
+
+    assert read("%%MatrixMarket matrix array real general\n2 3\n1\n2\n3\n0\n5\n6\n") == [[1, 3, 5], [2, 0, 6]]
+    assert read("%%MatrixMarket matrix array real symmetric\n3 3\n1\n2\n3\n4\n5\n6\n") == [[1, 2, 3], [2, 4, 5], [3, 5, 6]]
+    assert read("%%MatrixMarket matrix array real skew-symmetric\n3 3\n1\n2\n3\n") == [[0, -1, -2], [1, 0, -3], [2, 3, 0]]
+    assert read("%%MatrixMarket matrix coordinate real skew-symmetric\n2 2 1\n2 1 4\n") == [[0, -4], [4, 0]]
+    assert read("%%MatrixMarket matrix coordinate pattern symmetric\n2 2 2\n2 1\n1 1\n") == [[1, 1], [1, 0]]
+    with pytest.raises(ValueError):
+        read("%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 2 3\n")
+
+
+def test_guard_companions(m, x):
+    @guard.in_memory(uns=["u"], obsm=["*"], varp=["p"], layer="twice")
+    def run(values, obs, var):
+        table = values.to_numpy()
+        return {"uns": {"u": 3, "left": 4}, "obsm": {"e": table[:, :2]}, "varp": {"p": table.T @ table}, "varm": {"left": 1}}
+
+    done = run(m.with_layer("twice", m.X.then("twice", lambda v: 2 * v)))
+    assert done.uns["u"] == 3 and "left" not in done.uns and not done.varm
+    assert np.allclose([r.vec for r in sorted(done.obsm["e"].collect(), key=lambda r: r.id)], 2 * x[:, :2])
+    got = np.zeros((25, 25))
+    for r in done.varp["p"].collect():
+        got[r.a, r.b] = r.w
+    assert np.allclose(got, 4 * x.T @ x)
+
+
 def test_store_concat_raw(m, x, tmp_path, spark):
     n = transforms.log1p(transforms.normalize_total(m.with_raw()))
     store.write_store(n, str(tmp_path / "s"))
