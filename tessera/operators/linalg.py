@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,21 +98,27 @@ def gram(m: Matrix, layer: str | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Pca:
+    """The result of :func:`pca`; ``close`` lets go of the rows that the embedding is projected from."""
+
     embedding: DataFrame
     components: np.ndarray
     var_ids: np.ndarray
     variance_ratio: np.ndarray
     explained_variance_ratio: np.ndarray
+    close: Callable[[], None] = lambda: None
 
 
 def hvg_mask(m: Matrix, use: bool = True) -> DataFrame | None:
     """The variables marked variable, or None if there is no mark or it marks none or all."""
-    for key in ("highly_variable_features", "highly_variable"):
-        if use and key in m.var.columns:
-            chosen = m.var.where(F.coalesce(F.col(key), F.lit(False)))
-            n = chosen.count()
-            return chosen if 0 < n < m.n_vars else None
-    return None
+    key = _mark(m) if use else None
+    if key is None:
+        return None
+    chosen = m.var.where(F.coalesce(F.col(key), F.lit(False)))
+    return chosen if 0 < chosen.count() < m.n_vars else None
+
+
+def _mark(m: Matrix) -> str | None:
+    return next((k for k in ("highly_variable_features", "highly_variable") if k in m.var.columns), None)
 
 
 #: Columns up to which the whole Gram matrix is summed, a task holding its square as doubles; more go by subspace iteration.
@@ -165,19 +172,30 @@ class _Rows:
 
     def __init__(self, m: Matrix, layer: str, use_highly_variable: bool):
         x = m.layer(layer) if layer in m.layers else m.X
-        chosen = hvg_mask(m, use_highly_variable)
-        if chosen is not None:
-            m, x = m.subset(None, chosen), x.kept(None, chosen)
         if x.dense and x.steps[-1].name != "scale":
             raise ValueError("only scaled or sparse layers")
-        self.ids = [r[0] for r in m.var.select("var_id").orderBy("var_id").collect()]
-        self.n, self.matrix = len(self.ids), m
-        places = m.obs.sparkSession.createDataFrame(list(zip(self.ids, range(self.n), strict=True)), "var_id long, _place long")
-        self.zero = np.zeros(self.n)
-        if x.dense:
-            for k, v in x.columns.join(places, "var_id").select("_place", x.at_zero()).collect():
-                self.zero[k] = v
-        self.rows = _packed(m.with_var(places), x)
+        spark = m.obs.sparkSession
+        # What has a row for each variable is worked out once, here; passes over the cells join it as it is.
+        key = _mark(m) if use_highly_variable else None
+        marks = m.var.select("var_id", (F.coalesce(F.col(key), F.lit(False)) if key else F.lit(True)).alias("marked")).orderBy("var_id").collect()
+        chosen = [r.var_id for r in marks if r.marked]
+        self.ids = chosen or [r.var_id for r in marks]
+        self.n = len(self.ids)
+        places = spark.createDataFrame(list(zip(self.ids, range(self.n), strict=True)), "var_id long, _place long")
+        if self.n < len(marks):
+            m, x = m.subset(None, places), x.kept(None, places)
+        self.matrix, self.zero = m, np.zeros(self.n)
+        if x.columns is not None:
+            held = x.columns.join(F.broadcast(places.select("var_id")), "var_id", "left_semi")
+            columns = spark.createDataFrame(held.collect(), held.schema)
+            x = replace(x, columns=columns)
+            if x.dense:
+                for k, v in columns.join(places, "var_id").select("_place", x.at_zero()).collect():
+                    self.zero[k] = v
+        self.rows = _packed(m.with_var(places), x).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        self.rows.unpersist()
 
     def gram(self) -> np.ndarray:
         zero, n = self.zero, self.n
@@ -235,7 +253,7 @@ def pca(m: Matrix, layer: str = "scaled", n_comps: int = 50, n_oversamples: int
     """
     rows = _Rows(m, layer, use_highly_variable)
     n = rows.n
-    kept = min(n_comps + n_oversamples, m.n_obs, n)
+    kept = min(n_comps + n_oversamples, rows.rows.count(), n)
     if n <= MAX_COLUMNS:
         values, vectors = np.linalg.eigh(rows.gram())
         values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
@@ -251,4 +269,4 @@ def pca(m: Matrix, layer: str = "scaled", n_comps: int = 50, n_oversamples: int
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1) if n else vectors
     k = min(n_comps, kept)
     top = values[:kept].sum()
-    return Pca(rows.project(np.ascontiguousarray(vectors[:, :k])), vectors[:, :k].T, np.array(rows.ids), values[:k] / (top or 1), values[:k] / (whole or 1))
+    return Pca(rows.project(np.ascontiguousarray(vectors[:, :k])), vectors[:, :k].T, np.array(rows.ids), values[:k] / (top or 1), values[:k] / (whole or 1), rows.close)
