@@ -6,7 +6,6 @@ position. Results that are not whole numbers are rounded to six decimals on both
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -588,8 +587,7 @@ def raw_after_hvg(spark, d):
 
 @query(f", {_NORM} SELECT obs_id, var_id, round(value, 6) + 0.0 AS value FROM y")
 def layer_roundtrip(spark, d):
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/matrix-{uuid.uuid4().hex}"
+    path = store.scratch(spark, "matrix")
     store.write_store(normalised(spark, d), path)
     return _rounded(store.read_store(spark, path).X.values(), "value")
 
