@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
 SCHEMA = "part int, block binary"
 ARROW = pa.schema([("part", pa.int32()), ("block", pa.binary())])
@@ -33,14 +34,25 @@ def decode(block: bytes, dtypes: Sequence[str]) -> list[np.ndarray]:
     return out
 
 
+#: Parts that a task deals to at once. Of more it deals to this many groups of parts, which :func:`spread` deals on.
+WIDE = 2048
+#: Records that a packer holds at most.
+_MOST_HELD = 1 << 20
+
+
 class Packer:
-    """Holds records up to ``limit`` rows, by default some hundreds a part, then deals them out as blocks by part."""
+    """Holds records up to ``limit`` rows, by default some hundreds a part, then deals them out as blocks by part.
+
+    With more than ``WIDE`` parts blocks are of groups of parts, the part of each record their first column, and
+    must go through :func:`spread`; unless this is the ``last`` deal.
+    """
 
-    def __init__(self, parts: int, limit: int = 0):
-        self.parts, self.limit, self.held, self.rows = parts, limit or max(1 << 18, parts << 9), [], 0
+    def __init__(self, parts: int, limit: int = 0, last: bool = False):
+        self.fan = 1 if last else -(-parts // WIDE)
+        self.parts, self.limit, self.held, self.rows = -(-parts // self.fan), limit or min(max(1 << 18, parts << 9), _MOST_HELD), [], 0
 
     def add(self, part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((part, *columns))
+        self.held.append((part // self.fan, part.astype(np.int32), *columns) if self.fan > 1 else (part, *columns))
         self.rows += len(part)
         if self.rows >= self.limit:
             yield from self.flush()
@@ -49,14 +61,46 @@ class Packer:
         if self.rows:
             part, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
             order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
+            part = part[order]
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            bounds = np.append(first, len(part))
             columns = [c[order] for c in columns]
-            used = np.flatnonzero(np.diff(bounds))
-            for some in np.array_split(used, max(1, len(used) // 64)):
-                yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([encode([c[bounds[p] : bounds[p + 1]] for c in columns]) for p in some], pa.binary())], schema=ARROW)
+            for some in np.array_split(np.arange(len(first)), max(1, len(first) // 64)):
+                blocks = [encode([c[bounds[k] : bounds[k + 1]] for c in columns]) for k in some]
+                yield pa.record_batch([pa.array(part[first[some]].astype(np.int32)), pa.array(blocks, pa.binary())], schema=ARROW)
         self.held, self.rows = [], 0
 
 
+def spread(frame: DataFrame, parts: int, dtypes: Sequence[str] | dict[int, Sequence[str]]) -> DataFrame:
+    """Blocks (part, block) of ``parts`` parts, as packers made them; ``dtypes`` by kind where rows have one (part, kind, block).
+
+    Beyond ``WIDE`` parts each group's blocks come to one task, which deals them to the parts of the group, as a stream.
+    """
+    if parts <= WIDE:
+        return frame
+    return frame.repartition("part").mapInArrow(_deal_on(parts, dtypes), frame.schema)
+
+
+def _deal_on(parts: int, dtypes: Sequence[str] | dict[int, Sequence[str]]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_kind = isinstance(dtypes, dict)
+        packers = {k: Packer(parts, last=True) for k in (dtypes if by_kind else (0,))}
+
+        def named(found: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+            for x in found:
+                yield pa.record_batch([x.column("part"), pa.array(np.full(len(x), kind, np.int32)), x.column("block")], names=["part", "kind", "block"]) if by_kind else x
+
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist() if by_kind else [0] * len(batch)
+            for kind, block in zip(kinds, batch.column("block"), strict=True):
+                yield from named(packers[kind].add(*decode(block.as_py(), ("i4", *(dtypes[kind] if by_kind else dtypes)))), kind)
+        for kind, packer in packers.items():
+            yield from named(packer.flush(), kind)
+        trim()
+
+    return run
+
+
 def gather(table: pa.Table, dtypes: Sequence[str], column: str = "block") -> list[np.ndarray]:
     """All records of a part, column by column."""
     parts = [decode(b.as_py(), dtypes) for b in table.column(column) if b.is_valid]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._blobs import SCHEMA, Packer, gather, trim
+from tessera.llm._blobs import SCHEMA, Packer, gather, spread, trim
 from tessera.llm._graph import checkpoint, components, unused
 from tessera.llm._text import distinct_sorted, mix, shingle_sets
 
@@ -390,7 +390,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     parts_of = lambda records: max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(records) // 1_500_000)
     parts = parts_of((features.agg(F.sum("n")).first()[0] or 0) * 5 * (100 - percent) / (100 + percent))
     index = docs.select("text").mapInArrow(_index(width, percent, parts), SCHEMA)
-    shared = checkpoint(index.groupBy("part").applyInArrow(_shared, _SHARED))
+    shared = checkpoint(spread(index, parts, _ENTRY).groupBy("part").applyInArrow(_shared, _SHARED))
     kept = shared.where("classes > 1")
     join.settle(kept)
     placed = join.place(kept.select("entry", "cls", "band", "loss", "spare"))
@@ -404,7 +404,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         names = members.groupBy("cls").agg(F.collect_set("band").alias("bands"))
         parts = parts_of(members.join(classes, "cls").agg(F.sum("n")).first()[0] or 0)
         fine = join.texts(names).select("text", "bands").mapInArrow(_finest(width, percent, parts), SCHEMA)
-        fine = checkpoint(fine.groupBy("part").applyInArrow(_shared, _SHARED)).select("entry", "cls", "band", "classes")
+        fine = checkpoint(spread(fine, parts, _ENTRY).groupBy("part").applyInArrow(_shared, _SHARED)).select("entry", "cls", "band", "classes")
         # A token that no other member has takes a place among the rarest, too.
         high = F.element_at(F.array(*[F.lit(b.high - 1).cast("long") for b in bands(percent)]), F.col("band") + 1)
         most = F.floor((F.col("n") + F.least(high, F.floor(100 * F.col("n") / percent))) * (100 - percent) / (100 + percent))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._blobs import ARROW, SCHEMA, Packer, decode, encode, gather, trim
+from tessera.llm._blobs import ARROW, SCHEMA, Packer, decode, encode, gather, spread, trim
 from tessera.llm._graph import checkpoint
 from tessera.llm._text import CHUNK_BYTES, chunks, mix, utf8, word_hashes
 
@@ -282,7 +282,7 @@ def _train(shipped, parts: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         vocabulary = shipped.value
         shard = table.column("part")[0].as_py()
-        trainer, packer = Trainer(initial(vocabulary), vocabulary.unigram, shard), Packer(parts)
+        trainer, packer = Trainer(initial(vocabulary), vocabulary.unigram, shard), Packer(parts, last=True)
         out = []
         for data, offsets in _shard_texts(table):
             target, h1, h2, *_ = sequences(*word_hashes(data, offsets), vocabulary)
@@ -314,7 +314,7 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([pa.record_batch([table.column("part")[:1].combine_chunks(), pa.array([encode([row[first], total, *mean])], pa.binary())], schema=ARROW)])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, parts: int, volume: int) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocabulary: Vocabulary, volume: int) -> dict[str, np.ndarray]:
     """Parameters averaged over the replicas of all shards, each row by the tokens that touched it; a row that none touched is as at first.
 
     ``docs`` has key and text. Shards follow from the keys and the ``volume`` of text, so the model doesn't depend on how the
@@ -322,7 +322,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, parts: int, volume: int) -> d
     """
     out = initial(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    shards = volume // SHARD_BYTES + 1
+    shards, parts = volume // SHARD_BYTES + 1, sum(map(len, out.values())) // (1 << 16) + 8
     found = docs.mapInArrow(_deal_texts(shards), SCHEMA).groupBy("part").applyInArrow(_train(shipped, parts), SCHEMA)
     mean = found.groupBy("part").applyInArrow(_average, SCHEMA).toArrow()  # the rows of one model
     row, _, *columns = gather(mean, ("i8", "f8", *["f4"] * (DIM + 1)))
@@ -467,15 +467,17 @@ def score(docs: DataFrame) -> DataFrame:
     texts, volume = training.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (volume or 0) // (24 << 20))
     shown = head(volume or 0)
-    counts = checkpoint(training.select("text").mapInArrow(_count(parts), SCHEMA).groupBy("part").applyInArrow(_merge_counts(shown), f"{SCHEMA}, tokens long, words long, top array<struct<word: long, n: long>>"))
+    counts = checkpoint(spread(training.select("text").mapInArrow(_count(parts), SCHEMA), parts, ("u8", "i8")).groupBy("part").applyInArrow(_merge_counts(shown), f"{SCHEMA}, tokens long, words long, top array<struct<word: long, n: long>>"))
     tokens, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     top = counts.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("n"), "word").limit(shown).toArrow()
     vocabulary = Vocabulary(np.asarray(top.column("word")).astype(np.int64).view(np.uint64), np.asarray(top.column("n")).astype(np.int64), tokens, distinct, texts)
-    model = Model(vocabulary, train(training, vocabulary, parts, volume or 0))
+    model = Model(vocabulary, train(training, vocabulary, volume or 0))
     shipped = spark.sparkContext.broadcast(model)
-    found = checkpoint(docs.mapInArrow(_score(shipped, parts), f"{SCHEMA}, kind int"))
+    found = docs.mapInArrow(_score(shipped, parts), f"{SCHEMA}, kind int").select("part", "kind", "block")
+    found = checkpoint(spread(found, parts, {0: _DOC, 1: _WORD}))
     asked = found.where("kind = 1").select("part", "block")
     v = vocabulary
     sums = asked.groupBy("part").cogroup(counts.select("part", "block").groupBy("part")).applyInArrow(_look_up(v.tokens, v.distinct, v.other_tokens, v.other_words, parts), SCHEMA)
+    sums = spread(sums, parts, _SUM)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return found.where("kind = 0").select("part", "block").groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_finish(v.tokens), schema)

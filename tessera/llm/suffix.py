@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._blobs import SCHEMA, Packer, decode, encode, gather, trim
+from tessera.llm._blobs import SCHEMA, Packer, decode, encode, gather, spread, trim
 from tessera.llm._graph import checkpoint
 from tessera.llm._text import chunks, mix, prefix_hash, prefix_marks, span_hash, span_marks, utf8
 
@@ -180,20 +180,24 @@ def _kind(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBat
         yield pa.record_batch([x.column("part"), pa.array(np.full(len(x), kind, np.int32)), x.column("block")], names=["part", "kind", "block"])
 
 
-def _deal(part: np.ndarray, parts: int, kind: int, *columns: np.ndarray) -> list[pa.RecordBatch]:
-    packer = Packer(parts, 1 << 62)
+def _deal(part: np.ndarray, parts: int, kind: int, *columns: np.ndarray, last: bool = False) -> list[pa.RecordBatch]:
+    packer = Packer(parts, 1 << 62, last)
     return [*_kind(packer.add(part, *columns), kind), *_kind(packer.flush(), kind)]
 
 
-def _spans_of(parts: int, kind: int, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, count: np.ndarray, least: np.ndarray | None = None) -> list[pa.RecordBatch]:
+def _spans_of(parts: int, kind: int, doc: np.ndarray, sub: np.ndarray, begin: np.ndarray, count: np.ndarray, least: np.ndarray | None = None, last: bool = False) -> list[pa.RecordBatch]:
     n = len(doc)
-    return _deal(_doc_part(doc, sub, parts), parts, 0, doc, sub, np.full(n, kind, np.uint8), np.zeros(n, np.uint64) if least is None else least, begin, count)
+    return _deal(_doc_part(doc, sub, parts), parts, 0, doc, sub, np.full(n, kind, np.uint8), np.zeros(n, np.uint64) if least is None else least, begin, count, last=last)
 
 
-def _table(batches: list[pa.RecordBatch], passed: pa.Table) -> pa.Table:
-    """The batches, and the spans that came with a part and stay in it."""
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
-    return pa.concat_tables([pa.Table.from_batches(batches, schema), passed.select(["part", "kind", "block"]).cast(schema)])
+def _table(batches: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(batches, pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())]))
+
+
+def _on(passed: pa.Table, parts: int, last: bool = False) -> list[pa.RecordBatch]:
+    """The spans that came with a part, which stay in it."""
+    columns = gather(passed, _SPAN)
+    return _deal(_doc_part(columns[0], columns[1], parts), parts, 0, *columns, last=last) if len(passed) else []
 
 
 def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -287,7 +291,7 @@ def _merge_equal(parts: int, most: int) -> Callable:
         keep = ~hot
         keep[lead] = True
         out += _deal(_hash_part(least[keep], parts), parts, 1, *(x[keep] for x in (least, doc, sub, begin, count, again)))
-        return _table(out, passed)
+        return _table(out + _on(passed, parts))
 
     return run
 
@@ -310,7 +314,7 @@ def _compare(length: int, parts: int, most_bytes: int) -> Callable:
         by_window, several = hot & (again < 2), ~hot & ((sizes[group] > 1) | (again > 0))
         out = _spans_of(parts, _BY_WINDOW, doc[by_window], sub[by_window], begin[by_window], count[by_window])
         out += _spans_of(parts, _COMPARE, doc[several], sub[several], begin[several], count[several], least[several])
-        return _table(out, passed)
+        return _table(out + _on(passed, parts))
 
     return run
 
@@ -390,13 +394,13 @@ def _fetch(length: int, parts: int) -> Callable:
             body = np.concatenate(bodies)
             one = np.ones(len(mark), np.int32)
             keep, rest = _first_of_equal(mark, mark, doc, sub, at, one)
-            out += _spans_of(parts, _REMOVE, doc[rest], sub[rest], at[rest], one[rest])
+            out += _spans_of(parts, _REMOVE, doc[rest], sub[rest], at[rest], one[rest], last=True)
             part = _hash_part(mark[keep], parts)
             for p in np.unique(part):
                 some = keep[part == p]
                 out.append(_text_block(p, [x[some] for x in (mark, doc, sub, at, one)], list(body[some])))
         trim()
-        return _table(out, spans.slice(0, 0).append_column("kind", pa.array([], pa.int32())))
+        return _table(out)
 
     return run
 
@@ -427,7 +431,7 @@ def _sort_contexts(length: int, parts: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         passed, mine = _split(table)
         if not len(mine):
-            return passed.select(["part", "kind", "block"])
+            return _table(_on(passed, parts, last=True))
         heads, bodies = [], []
         for block in mine.column("block"):
             raw = block.as_py()
@@ -463,7 +467,8 @@ def _sort_contexts(length: int, parts: int) -> Callable:
         doc, sub, at = doc[which][order], sub[which][order], at[order]
         first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (at[1:] != at[:-1] + 1))))[: len(doc)]
         trim()
-        return _table(_spans_of(parts, _REMOVE, doc[first], sub[first], at[first], np.diff(np.append(first, len(doc))).astype(np.int32)), passed)
+        out = _spans_of(parts, _REMOVE, doc[first], sub[first], at[first], np.diff(np.append(first, len(doc))).astype(np.int32), last=True)
+        return _table(out + _on(passed, parts, last=True))
 
     return run
 
@@ -512,8 +517,10 @@ def _spans(docs: DataFrame, length: int) -> tuple[DataFrame, int]:
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), volume // (8 << 20))
     narrow = docs.select("doc_id", "sub", "text")
-    found = narrow.mapInArrow(_contexts(length, parts), _BLOCKS).groupBy("part").applyInArrow(_merge_equal(parts, HOT), _BLOCKS)
-    found = checkpoint(found.groupBy("part").applyInArrow(_compare(length, parts, SORT_BYTES), _BLOCKS)).select("part", "block")
+    found = spread(narrow.mapInArrow(_contexts(length, parts), _BLOCKS), parts, {0: _SPAN, 1: _CONTEXT})
+    found = spread(found.groupBy("part").applyInArrow(_merge_equal(parts, HOT), _BLOCKS), parts, {0: _SPAN, 1: _DISTINCT})
+    found = spread(found.groupBy("part").applyInArrow(_compare(length, parts, SORT_BYTES), _BLOCKS), parts, {0: _SPAN})
+    found = checkpoint(found).select("part", "block")
     texts = narrow.mapInArrow(_pack_texts(parts, ("doc_id", "sub", "text")), SCHEMA)
     compared = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_fetch(length, parts), _BLOCKS)
     sorted_ = checkpoint(compared.groupBy("part").applyInArrow(_sort_contexts(length, parts), _BLOCKS)).select("part", "block")
