@@ -15,7 +15,7 @@ budget to the ``H + 1`` tokens that the fewest of these sets have. So no set is
 Sets with one content are one class. The classes of an entry are first compared with one of them, that which
 shares most entries with others; entries that then still span several components are joined across
 components (all but the largest of an entry against all, salted), under a bound from parity sketches. An
-exact lower bound of the difference, from bitmaps as long as the set, precedes verification of the texts themselves.
+exact lower bound of the difference, from bitmaps sized with the set, precedes verification of the texts themselves.
 """
 
 from __future__ import annotations
@@ -151,8 +151,8 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Bits, as many as tokens or up to twice that, that each token toggles: two bitmaps differ in no more bits than the sets in tokens."""
-    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    """Four to eight bits a token, which each token toggles: two bitmaps differ in no more bits than the sets in tokens, and in few less."""
+    bits = max(64, 4 << (len(tokens) - 1).bit_length())
     flags = (np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(flags, bitorder="little").tobytes()
 
@@ -301,7 +301,7 @@ def _sketch(percent: int) -> Callable:
             out = []
             for number, raw in zip(batch.column("band").to_pylist(), batch.column("bitmap"), strict=True):
                 smallest = max(1, table[number].low * percent // 100)
-                bits = min(SKETCH_BITS, max(64, 1 << (smallest - 1).bit_length()))
+                bits = min(SKETCH_BITS, max(64, 4 << (smallest - 1).bit_length()))
                 out.append(fold(np.frombuffer(raw.as_py(), np.uint64), bits // 64).view(np.int64))
             yield pa.record_batch([batch.column("cls"), batch.column("band"), batch.column("n"), pa.array(out, pa.list_(pa.int64()))], names=["cls", "band", "n", "sketch"])
 
@@ -368,7 +368,12 @@ class _Join:
         self.verify(self.close(kept.join(middle, "entry").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()))
 
     def across(self, rows: DataFrame) -> None:
-        """Compares the classes of each entry that are not of its largest component with all of it in other components."""
+        """Compares the classes of each entry that are not of its largest component with all of it in other components.
+
+        Of entries that the same classes have (those of one passage) one is enough; 128 bits of hash name a set of classes.
+        """
+        held = rows.groupBy("entry").agg(F.bit_xor(F.xxhash64("cls")).alias("s0"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s1"), F.count("*").alias("c"))
+        rows = checkpoint(rows.join(held.groupBy("s0", "s1", "c").agg(F.min("entry").alias("entry")).select("entry"), "entry"))
         size = rows.groupBy("entry", "component").agg(F.count("*").alias("c"))
         whole = size.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.ceil(F.sum("c") / SALT_ROWS).alias("salts"))
         sketches = checkpoint(rows.select("cls", "band").distinct().join(self.classes.select("cls", "n", "bitmap"), "cls").mapInArrow(_sketch(self.percent), "cls long, band int, n long, sketch array<long>"))

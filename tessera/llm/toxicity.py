@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._blobs import trim
+from tessera.llm._blobs import decode, encode, trim
 from tessera.llm._graph import checkpoint, unused
 from tessera.llm._text import IS_SPACE, chunks, distinct_sorted, mix, prefix_hash, span_hash, word_spans
 
@@ -77,28 +77,28 @@ class Ftrl:
 
 
 def _extract(bits: int) -> Callable:
-    """Slots in place of the texts; there are ``2 ** bits`` at most, however long a text is."""
+    """Slots in place of the texts, as a compressed block; there are ``2 ** bits`` at most, however long a text is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([s.tolist() for s in features(batch.column("text"), bits)], pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column("rank"), batch.column("label"), found], names=["rank", "label", "slots"])
+            found = [encode([np.diff(s, prepend=np.int32(0)).astype(np.int32)]) for s in features(batch.column("text"), bits)]
+            yield pa.record_batch([batch.column("rank"), batch.column("label"), pa.array(found, pa.binary())], names=["rank", "label", "slots"])
         trim()
 
     return run
 
 
-def _train(bits: int, options: dict) -> Callable:
-    """Learns the rows as they come, in order, and holds none."""
+def _learn(shipped, options: dict) -> Callable:
+    """One epoch: learns the rows as they come, in order, and holds none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(bits, **options)
+        z, n = shipped.value
+        model = Ftrl((len(z) - 1).bit_length() - 1, **options)
+        model.z[:], model.n[:] = z, n
         for batch in batches:
-            for at, label in zip(batch.column("slots"), batch.column("label").to_pylist(), strict=True):
-                model.learn(np.asarray(at.values), label)
-        w = model.weights(slice(None))
-        used = np.flatnonzero(w)
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(w[used])], names=["slot", "weight"])
+            for block, label in zip(batch.column("slots"), batch.column("label").to_pylist(), strict=True):
+                model.learn(np.cumsum(decode(block.as_py(), ("i4",))[0]), label)
+        yield pa.record_batch([pa.array([model.z.tobytes()], pa.binary()), pa.array([model.n.tobytes()], pa.binary())], names=["z", "n"])
         trim()
 
     return run
@@ -110,22 +110,24 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int
     Learns from the rows of ``labels`` (doc_id, toxic) that are not held out, at most
     ``max_labelled`` of them, those of the smallest hash of doc_id. Null ids and null labels are left out, an id with labels
     of both kinds counts as toxic, and of rows of ``docs`` that repeat an id each is learnt from. The texts' slots are
-    found in parallel; the model passes over them ``epochs`` times in the order of that hash, as a stream.
+    found in parallel and put in the order of that hash once; the model passes over them ``epochs`` times, as a stream.
     """
     marks = labels.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     # At most ``max_labelled`` rows of three numbers, so they can be shipped to the texts.
     chosen = marks.withColumn("rank", F.xxhash64("doc_id", F.lit(17))).orderBy("rank", "doc_id").limit(max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = checkpoint(rows.select("rank", "label", "text").mapInArrow(_extract(bits), "rank long, label int, slots array<int>"))
+    found = checkpoint(rows.select("rank", "label", "text").mapInArrow(_extract(bits), "rank long, label int, slots binary"))
     if found.agg(F.countDistinct("label")).first()[0] < 2:
         return None
-    passes = found.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    ordered = passes.repartition(1).sortWithinPartitions("epoch", "rank", F.hash("slots"))  # at most epochs * max_labelled rows
-    weights = np.zeros((1 << bits) + 1)
-    table = ordered.select("label", "slots").mapInArrow(_train(bits, options), "slot long, weight double").toArrow()  # 2 ** bits + 1 rows at most
-    weights[np.asarray(table.column("slot"), dtype=np.int64)] = np.asarray(table.column("weight"))
-    return weights
+    ordered = checkpoint(found.repartition(1).sortWithinPartitions("rank", "slots"))  # at most max_labelled rows and those that repeat their ids
+    model = Ftrl(bits, **options)
+    for _ in range(epochs):
+        shipped = docs.sparkSession.sparkContext.broadcast((model.z, model.n))
+        state = ordered.select("label", "slots").mapInArrow(_learn(shipped, options), "z binary, n binary").first()  # 2 ** bits + 1 numbers each
+        model.z, model.n = np.frombuffer(state.z).copy(), np.frombuffer(state.n).copy()
+        shipped.unpersist()
+    return model.weights(slice(None))
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, name: str = "score") -> DataFrame:
