@@ -18,6 +18,7 @@ _BASE = 0x5851F42D4C957F2D
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+# The multipliers and shifts of the published splitmix64 finaliser.
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection whose every output bit depends on every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -80,6 +80,18 @@ c AS (SELECT b.none, b.src, max(bucket) FILTER (WHERE upto - words / 2 <= target
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN bucket <= coalesce(cut, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN e USING (none, src) JOIN c USING (none, src)"""
 
+#: All windows of 100 bytes, as hexadecimal digits; those that also start earlier are joined to spans and cut out.
+_OP3 = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(len(h) // 2 - 99)) AS p, unnest(list_transform(range(len(h) // 2 - 99), lambda i: md5_number(substr(h, 2 * i + 1, 200)))) AS s FROM b WHERE len(h) >= 200),
+f AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN p <= prior + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prior FROM f)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, run),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE substr(h, 1, 2 * a[1]) || array_to_string(list_transform(range(1, len(a) + 1), lambda i: substr(h, 2 * z[i] + 1, 2 * (coalesce(a[i + 1], len(h) // 2) - z[i]))), '') END)) AS kept_sha256
+FROM b LEFT JOIN l USING (doc_id)"""
+
 _OP4 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
@@ -107,4 +119,4 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, compone
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB over whole tables, where it can express a query and is quick enough."""
-    return {"op1_mixing": _OP1, "op4_warc": _OP4, "op5_jaccard_join": _OP5, "op7_embedding_near_copies": _OP7}
+    return {"op1_mixing": _OP1, "op3_suffix_dedup": _OP3, "op4_warc": _OP4, "op5_jaccard_join": _OP5, "op7_embedding_near_copies": _OP7}

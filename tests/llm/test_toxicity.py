@@ -42,3 +42,36 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.classify(docs, none).collect()] == [0.5]
     assert toxicity.classify(docs.limit(0), none).collect() == []
+
+
+def test_the_classifier_equals_brute_force(spark):
+    """FTRL-proximal with dictionaries, feature by feature, over the same rows in the same order."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows, labels, _ = corpus(120, 3)
+    weights = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int"), epochs=2)
+    learnt = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 5]
+    ranks = {r.doc_id: r.k for r in spark.createDataFrame(learnt, "doc_id long, toxic int").selectExpr("doc_id", "xxhash64(doc_id, 17) AS k").collect()}
+    texts, bias = dict(rows), 1 << toxicity.BITS
+    z, n = {}, {}
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= 2.5 else (math.copysign(2.5, v) - v) / ((1 + math.sqrt(n.get(k, 0.0))) / 2 + 1)
+
+    for _ in range(2):
+        for d, y in sorted(learnt, key=lambda x: ranks[x[0]]):
+            at = [*next(toxicity.features(pa.array([texts[d]]), toxicity.BITS)).tolist(), bias]
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
+            for k in at:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / 2 * w[k]
+                n[k] = old + g * g
+    want = np.zeros(bias + 1)
+    for k in z:
+        want[k] = weight(k)
+    assert np.allclose(weights, want) and np.count_nonzero(want) > 10
