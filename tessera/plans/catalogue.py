@@ -558,6 +558,37 @@ def pca_components_hold(spark, d):
     return held.join(worst, "k", "left").select(F.col("k").cast("int").alias("component"), F.coalesce("uncorrelated", F.lit(True)).alias("uncorrelated"), "falling", "eigenvector")
 
 
+@query(f", {_NORM}, {_MOMENTS}, {_SCALE}, {_WEIGHTS.format('obs')}, z AS (SELECT obs.obs_id, p.var_id, (coalesce(y.value, 0.0) - mean) / std AS z FROM obs CROSS JOIN p LEFT JOIN y ON y.obs_id = obs.obs_id AND y.var_id = p.var_id) SELECT var_id, k, round(sum(z * w), 4) + 0.0 AS value FROM z JOIN w USING (obs_id) GROUP BY 1, 2")
+def tmatmul(spark, d):
+    m = transforms.scale(normalised(spark, d))
+    return _rounded(linalg.tmatmul(m, _weights(m.obs, "obs_id")), "value", digits=4)
+
+
+@query(" SELECT obs_id, var_id, round(z, 6) + 0.0 AS value FROM z", base=_Z)
+def pca_block(spark, d):
+    """The dense rows that the components are found from."""
+    rows = linalg.materialise_for_pca(transforms.scale(vectors(spark, d).persisted()))
+    return rows.select("obs_id", F.posexplode("vec").alias("var_id", "value")).select("obs_id", F.col("var_id").cast("long").alias("var_id"), r("value").alias("value"))
+
+
+@query("SELECT count(*) AS stored, (SELECT CAST(n_obs * n_vars AS BIGINT) FROM n) AS cells FROM x")
+def nnz_total(spark, d):
+    m = counts(spark, d).persisted()
+    return spark.createDataFrame([(stats.nnz(m), m.n_obs * m.n_vars)], "stored long, cells long")
+
+
+@query(f", {_pearson_sql('x', 'rs')} SELECT var_id, round(var_pop(z), 6) + 0.0 AS residual_variance FROM z GROUP BY 1")
+def pearson_resid_var_noted(spark, d):
+    """By the statistics that normalisation noted."""
+    return _rounded(transforms.pearson_residual_variance(normalised(spark, d), layer="counts").select("var_id", "residual_variance"), "residual_variance")
+
+
+@query(""", bt AS (SELECT batch, CAST(count(*) AS DOUBLE) AS rows FROM obs GROUP BY 1), bx AS (SELECT batch, var_id, sum(value) AS total FROM x JOIN obs USING (obs_id) GROUP BY 1, 2)
+SELECT batch, var_id, round(coalesce(total, 0.0) / rows, 6) + 0.0 AS mean FROM bt CROSS JOIN var LEFT JOIN bx USING (batch, var_id)""")
+def batch_means(spark, d):
+    return _rounded(transforms.pearson_residual_variance(counts(spark, d).persisted(), by="batch").select("batch", "var_id", "mean"), "mean")
+
+
 # Sources, sinks and the rest
 
 def _halves(spark: SparkSession, d: str) -> list[Matrix]:
@@ -599,3 +630,37 @@ def guard_copy_back(spark, d):
         obs["doubled"] = 2 * values.sum(axis=1).to_numpy()
 
     return double(counts(spark, d)).obs.select("obs_id", "doubled")
+
+
+@query(f", {_NORM}, {_MOMENTS}, {_SCALE} SELECT obs.obs_id, round(greatest(-10, least(10, (coalesce(y.value, 0.0) - mean) / std)), 6) + 0.0 AS value FROM obs CROSS JOIN p LEFT JOIN y ON y.obs_id = obs.obs_id AND y.var_id = p.var_id WHERE p.var_id = 23")
+def dense_layer_roundtrip(spark, d):
+    """A scaled layer written by its step and read again."""
+    path = store.scratch(spark, "matrix")
+    store.write_store(transforms.scale(normalised(spark, d)), path)
+    return _rounded(store.read_store(spark, path).obs_vector("P23", "scaled"), "value")
+
+
+@query(_CONCAT.format("var_id >= 60 AND var_id < 120"))
+def dataset_of_stores(spark, d):
+    paths = [store.scratch(spark, "matrix") for _ in range(2)]
+    for m, path in zip(_halves(spark, d), paths, strict=True):
+        store.write_store(m, path)
+    return store.dataset(spark, paths).X.values()
+
+
+@query("SELECT obs_id, var_id, value FROM x WHERE NOT (obs_id < 5 AND var_id < 10) UNION ALL SELECT obs_id, var_id, CAST(obs_id + var_id AS DOUBLE) FROM obs CROSS JOIN var WHERE obs_id < 5 AND var_id < 10 AND (obs_id + var_id) % 2 = 1")
+def assigned_relation(spark, d):
+    """Cells of a rectangle set to those of a relation; the cells that it lacks become 0."""
+    m = counts(spark, d)
+    cells = m.obs.select("obs_id").crossJoin(m.var.where("var_id < 20").select("var_id")).where("(obs_id + var_id) % 2 = 1").withColumn("value", (F.col("obs_id") + F.col("var_id")).cast("double"))
+    return m.assign(slice(0, 5), slice(0, 10), cells).X.values()
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0 AS total FROM embeddings WHERE label IS NOT NULL AND CAST(label AS VARCHAR) = (SELECT min(CAST(label AS VARCHAR)) FROM embeddings)", base="unused AS (SELECT 1)")
+def axis_arrays_follow(spark, d):
+    """Arrays by observation follow a selection of rows."""
+    m = vectors(spark, d)
+    m = Matrix(m.obs, m.var, m.layers, obsm={"e": _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))})
+    first = m.categories("obs", "batch")[0]
+    kept = m[F.col("batch") == first].obsm["e"]
+    return kept.select("id", r(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)).alias("total"))
