@@ -2,7 +2,7 @@
 
 An item of m characters (lower case, runs of white space as one blank) may differ by
 ``k = m * percent // 100`` edits from a passage of a document. Of its k + 1 pieces one is then
-unharmed; an automaton over all pieces finds every such place in one pass over a text. Where
+unharmed; rolling hashes of a text, one for each length of a piece, find every such place. Where
 it stands, the window's 6-grams bound the distance from below, and what passes is decided
 by the bit-parallel edit distance of the whole item against the window.
 """
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm._blobs import trim
 from tessera.llm._graph import unused
+from tessera.llm._text import mix, powers
 
-#: Characters of benchmark items that one pass looks for; more are looked for in several passes.
-BLOCK_CHARS = 2_000_000
+#: Characters of benchmark items that one pass looks for, a few bytes each in a task; more are looked for in several passes.
+BLOCK_CHARS = 20_000_000
 #: At a budget of a tenth each edit may destroy so many grams, and four tenths of them remain.
 GRAM = 6
 SCHEMA = "doc_id long, item_id long, start long, stop long, distance long"
@@ -87,23 +88,56 @@ def _codes(text: str) -> np.ndarray:
     return out >> np.uint32(16)
 
 
+def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums over a text's characters, and the factors that make spans comparable, modulo 2**64."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    up, down = powers(len(x) + 1)
+    prefix = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(mix(x.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+    return prefix, down
+
+
+def _spans(prefix: np.ndarray, down: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all spans of ``size`` characters."""
+    n = len(prefix) - size
+    x = (prefix[size:] - prefix[:n]) * down[:n]
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Pieces:
+    """All pieces of one length: sorted hashes with item and offset, behind a bitmap that most places of a text fail."""
+
+    def __init__(self, hashes: np.ndarray, items: np.ndarray, offsets: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.items, self.offsets = hashes[order], items[order], offsets[order]
+        bits = min(27, max(16, int(len(hashes)).bit_length() + 4))
+        self.shift = np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, dtype=bool)
+        self.some[hashes >> self.shift] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, where it would start) of every hit."""
+        at = np.flatnonzero(self.some[hashes >> self.shift])
+        low, high = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
+        count = high - low
+        which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return self.items[which], np.repeat(at, count) - self.offsets[which]
+
+
 class Finder:
-    """Finds passages within the budget of any item of a block."""
+    """Finds passages within the budget of any item of a block. A piece takes 16 bytes and some bits of a bitmap."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int):
-        import ahocorasick
-
         self.items = [(i, t, len(t) * percent // 100) for i, t in items if t]
-        self.automaton = ahocorasick.Automaton()
-        at: dict[str, list[tuple[int, int]]] = {}
+        found: dict[int, list[tuple]] = {}
         for k, (_, text, budget) in enumerate(self.items):
-            for offset, piece in pieces(text, budget):
-                at.setdefault(piece, []).append((k, offset))
-        for piece, where in at.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if at:
-            self.automaton.make_automaton()
-        self.empty = not at
+            prefix, down = _hashes(text)
+            edges = np.array([a for a, _ in pieces(text, budget)] + [len(text)])
+            sizes = np.diff(edges)
+            for size in np.unique(sizes[sizes > 0]):
+                some = edges[:-1][sizes == size]
+                found.setdefault(int(size), []).append((_spans(prefix, down, size)[some], np.full(len(some), k, np.int32), some.astype(np.int32)))
+        self.pieces = {size: _Pieces(*(np.concatenate(c) for c in zip(*x, strict=True))) for size, x in sorted(found.items())}
         #: Distinct grams of the items looked at, no more than they have characters, and one mask that all use in turn.
         self.grams: dict[int, tuple[np.ndarray, int]] = {}
         self.mask = np.zeros(1 << 16, dtype=bool)
@@ -127,32 +161,37 @@ class Finder:
 
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, start, stop, distance) of the best passage for each item, in the text as it was."""
-        if self.empty:
-            return
         plain = normalise(text)
-        starts: dict[int, list[int]] = {}
-        for end, (size, where) in self.automaton.iter(plain):
-            for k, offset in where:
-                starts.setdefault(k, []).append(end + 1 - size - offset)
-        if not starts:
+        if not plain or not self.pieces:
+            return
+        prefix, down = _hashes(plain)
+        hits = [p.find(_spans(prefix, down, size)) for size, p in self.pieces.items() if size < len(prefix)]
+        item, start = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, int), np.zeros(0, int))
+        if not len(item):
             return
-        codes = _codes(plain)
-        for k, found in starts.items():
-            item_id, item, budget = self.items[k]
-            found.sort()
-            best, low, high = None, found[0], found[0]
-            for s in [*found[1:], None]:
-                if s is not None and s <= high + 2 * budget + 1:
-                    high = s
-                    continue
-                a, b = max(0, low - budget), min(len(plain), high + len(item) + budget)
-                if self._may(k, codes, a, b) and (hit := nearest(item, plain[a:b], budget if best is None else best[0] - 1)):
-                    distance, stop = hit
-                    head = nearest(item[::-1], plain[a : a + stop][::-1], distance, anchored=True)
-                    best = distance, a + stop - head[1], a + stop
-                low = high = s
-            if best:
-                yield item_id, place(text, best[1]), place(text, best[2] - 1) + 1, best[0]
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        budgets = np.array([x[2] for x in self.items])[item] if len(item) > 64 else np.array([self.items[k][2] for k in item])
+        new = np.concatenate(([True], (item[1:] != item[:-1]) | (start[1:] > start[:-1] + 2 * budgets[1:] + 1)))
+        first = np.flatnonzero(new)
+        codes, best, last = _codes(plain), None, -1
+        for a, b in zip(first, np.append(first[1:], len(item)) - 1, strict=True):
+            k, low, high = int(item[a]), int(start[a]), int(start[b])
+            if k != last:
+                if best:
+                    yield self._told(text, last, best)
+                best, last = None, k
+            _, wanted, budget = self.items[k]
+            low, high = max(0, low - budget), min(len(plain), high + len(wanted) + budget)
+            if self._may(k, codes, low, high) and (hit := nearest(wanted, plain[low:high], budget if best is None else best[0] - 1)):
+                distance, stop = hit
+                head = nearest(wanted[::-1], plain[low : low + stop][::-1], distance, anchored=True)
+                best = distance, low + stop - head[1], low + stop
+        if best:
+            yield self._told(text, last, best)
+
+    def _told(self, text: str, k: int, best: tuple[int, int, int]) -> tuple[int, int, int, int]:
+        return self.items[k][0], place(text, best[1]), place(text, best[2] - 1) + 1, best[0]
 
 
 def _scan(items: list[tuple[int, str]], percent: int) -> Callable:
