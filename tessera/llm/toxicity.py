@@ -9,6 +9,7 @@ number of slots bounds, so it is shipped to every task; scoring is a few numpy p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,17 +89,17 @@ def _extract(bits: int) -> Callable:
     return run
 
 
-def _learn(shipped, options: dict) -> Callable:
-    """One epoch: learns the rows as they come, in order, and holds none."""
+def _train(bits: int, options: dict) -> Callable:
+    """Learns the rows as they come, in order, and holds none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = shipped.value
-        model = Ftrl((len(z) - 1).bit_length() - 1, **options)
-        model.z[:], model.n[:] = z, n
+        model = Ftrl(bits, **options)
         for batch in batches:
             for block, label in zip(batch.column("slots"), batch.column("label").to_pylist(), strict=True):
                 model.learn(np.cumsum(decode(block.as_py(), ("i4",))[0]), label)
-        yield pa.record_batch([pa.array([model.z.tobytes()], pa.binary()), pa.array([model.n.tobytes()], pa.binary())], names=["z", "n"])
+        w = model.weights(slice(None))
+        used = np.flatnonzero(w)
+        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(w[used])], names=["slot", "weight"])
         trim()
 
     return run
@@ -121,13 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int
     if found.agg(F.countDistinct("label")).first()[0] < 2:
         return None
     ordered = checkpoint(found.repartition(1).sortWithinPartitions("rank", "slots"))  # at most max_labelled rows and those that repeat their ids
-    model = Ftrl(bits, **options)
-    for _ in range(epochs):
-        shipped = docs.sparkSession.sparkContext.broadcast((model.z, model.n))
-        state = ordered.select("label", "slots").mapInArrow(_learn(shipped, options), "z binary, n binary").first()  # 2 ** bits + 1 numbers each
-        model.z, model.n = np.frombuffer(state.z).copy(), np.frombuffer(state.n).copy()
-        shipped.unpersist()
-    return model.weights(slice(None))
+    # One partition, so its copies are epochs, whatever order a task reads them in.
+    passes = reduce(DataFrame.unionByName, [ordered] * epochs).coalesce(1)
+    table = passes.select("label", "slots").mapInArrow(_train(bits, options), "slot long, weight double").toArrow()  # weights that aren't 0, 2 ** bits + 1 at most
+    weights = np.zeros((1 << bits) + 1)
+    weights[np.asarray(table.column("slot"), dtype=np.int64)] = np.asarray(table.column("weight"))
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, name: str = "score") -> DataFrame:
