@@ -4,7 +4,7 @@ Counts of all training words come first, exact and distributed. Words seen ``LEA
 ``head`` most frequent ones (which grows with the square root of the training bytes), are outputs and contexts of
 their own; one class of all other words and the end are outputs too, and other words share hashed context symbols,
 a quarter as many. A context of two words predicts a vector, the sum of a matrix times the vector of each word. Outputs
-are dealt to classes by rank, as many as a class has members: an output's probability is that of its class times that within the class, and
+are dealt to classes by rank, small ones of frequent words and large ones of rare words: an output's probability is that of its class times that within the class, and
 either comes from scores that are the vector's products with vectors of classes or outputs, plus a bias. Texts are dealt
 by hash to shards of bounded size, and a replica is trained on all tokens of each, contrasting them with noise samples of classes and of the
 members of their class; the rows a replica has touched are averaged by the tokens that touched them, so the model doesn't depend on the table's partitions. Scores are normalised for each batch of contexts
@@ -37,11 +37,13 @@ CONTEXTS = 256
 LEAST = 3
 DIM = 24
 NOISE = 64
-NEAR = 4
+#: Members of a class drawn as noise for so many tokens of it, which share them.
+NEAR = 8
+GROUP = 32
 BATCH = 8192
 #: Tokens whose probabilities are normalised at once.
-BLOCK = 1024
-RATE = 0.05
+BLOCK = 512
+RATE = 0.1
 RARE = 0.05
 _OTHER, _END = TARGETS, TARGETS + 1
 _NONE, _START = CONTEXTS - 2, CONTEXTS - 1
@@ -116,20 +118,27 @@ class Vocabulary:
         return np.where(known, self.rank[at], _BEYOND), np.where(known, self.counts[at], -1)
 
 
-def _width(outputs: int) -> int:
-    """Members of a class of outputs."""
-    return max(1, math.isqrt(outputs - 1) + 1)
+def class_starts(unigram: np.ndarray) -> np.ndarray:
+    """Where classes of outputs begin, and the end. A class about the output r has 1 / sqrt(p(r)) members or so.
+
+    That makes the classes and the members of a target's class, which a probability is normalised over, fewest on
+    average; as many of either, and in all two thirds of what classes of one size take where words follow Zipf's law.
+    """
+    number = np.floor(np.cumsum(np.sqrt(unigram)) - 1e-9).astype(np.int64)
+    return np.append(_runs(number), len(unigram))
 
 
-def _classes(unigram: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(unigram, np.arange(0, len(unigram), _width(len(unigram))))
+def _classes(unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The starts of the classes, the class of each output, and the probability of each class."""
+    starts = class_starts(unigram)
+    return starts, np.repeat(np.arange(len(starts) - 1), np.diff(starts)), np.add.reduceat(unigram, starts[:-1])
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Vectors of contexts, classes and outputs (the last of the latter two is the bias)."""
     rng = np.random.default_rng(7)
-    mass = _classes(vocabulary.unigram)
-    within = vocabulary.unigram / np.repeat(mass, _width(len(vocabulary.unigram)))[: len(vocabulary.unigram)]
+    _, kind, mass = _classes(vocabulary.unigram)
+    within = vocabulary.unigram / mass[kind]
     first, rest = rng.normal(0, 0.3, (CONTEXTS, DIM)), rng.normal(0, RARE, (vocabulary.contexts + 2 + vocabulary.hashed - CONTEXTS, DIM))
     out = {
         "E": np.concatenate((first, rest)),
@@ -163,68 +172,92 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Adagrad on the noise-contrastive losses of classes and of the members of a class."""
+    """Adagrad on the noise-contrastive losses of classes and of the members of a class; vectors have one rate each."""
 
     def __init__(self, parameters: dict[str, np.ndarray], unigram: np.ndarray, seed: int):
         self.p = {k: v.copy() for k, v in parameters.items()}
-        self.squares = {k: np.full(v.shape, 1.0, np.float32) for k, v in parameters.items()}
+        self.squares = {k: np.full(len(v) if k in ("E", "R") else v.shape, 1.0, np.float32) for k, v in parameters.items()}
         self.times = {k: np.zeros(len(parameters[k]), np.int64) for k in ("E", "R")}
-        mass, self.width = _classes(unigram), _width(len(unigram))
+        self.starts, self.kind, mass = _classes(unigram)
         self.cumulative, self.bounds = np.cumsum(mass), np.concatenate(([0.0], np.cumsum(unigram)))
-        starts = np.append(np.arange(0, len(unigram), self.width), len(unigram))
-        self.starts = starts
         self.log_noise = np.log(NOISE * mass).astype(np.float32)
-        self.log_near = np.log(NEAR * unigram / np.repeat(mass, np.diff(starts))).astype(np.float32)
+        self.log_near = np.log(NEAR * unigram / mass[self.kind]).astype(np.float32)
         self.rng, self.seen = np.random.default_rng(seed), 0
 
-    def _move(self, k: str, rows: np.ndarray | slice, g: np.ndarray) -> None:
-        squares = self.squares[k][rows] + g * g
-        self.squares[k][rows] = squares
-        self.p[k][rows] += RATE * g / np.sqrt(squares)
+    def _move(self, k: str, g: np.ndarray) -> None:
+        self.squares[k] += g * g
+        self.p[k] += RATE * g / np.sqrt(self.squares[k])
 
-    def _move_rows(self, k: str, index: np.ndarray, values: Callable) -> None:
-        """``values`` gives the gradients of some places, a column each: sums run along columns."""
+    def _move_rows(self, k: str, index: np.ndarray, values: np.ndarray) -> None:
+        """``values`` has a column for each place; sums run along columns."""
         order = np.argsort(index, kind="stable")
         index = index[order]
         first = _runs(index)
         rows = index[first]
         self.times[k][rows] += np.diff(np.append(first, len(index)))
-        self._move(k, rows, np.add.reduceat(values(order), first, axis=1).T)
+        g = np.ascontiguousarray(np.add.reduceat(np.take(values, order, axis=1), first, axis=1).T)
+        squares = self.squares[k][rows] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.squares[k][rows] = squares
+        self.p[k][rows] += (RATE / np.sqrt(squares))[:, None] * g
+
+    def _groups(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of tokens by groups of one class, the number of tokens where a group has no more, and the classes."""
+        n, first = len(kind), _runs(kind)
+        sizes = np.diff(np.append(first, n))
+        groups = -(-sizes // GROUP)
+        run = np.repeat(np.arange(len(first)), groups)
+        start = first[run] + (np.arange(len(run)) - np.repeat(np.cumsum(groups) - groups, groups)) * GROUP
+        at = start[:, None] + np.arange(GROUP)
+        return np.where(at < (first + sizes)[run][:, None], at, n), kind[first][run]
 
     def learn(self, target: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
         p, n = self.p, len(target)
         order = np.argsort(target, kind="stable")
         target, h1, h2 = target[order], h1[order], h2[order]
         e1, e2 = p["E"][h1], p["E"][h2]
-        q = np.ones((n, DIM + 1), np.float32)
-        q[:, :DIM] = e1 @ p["C1"] + e2 @ p["C2"]
-        kind = target // self.width
+        q = np.zeros((n + 1, DIM + 1), np.float32)  # the last row stands for no token
+        q[:n, :DIM] = e1 @ p["C1"] + e2 @ p["C2"]
+        q[:n, DIM] = 1
+        kind = self.kind[target]
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(self.cumulative) - 1)
-        low, high = self.starts[kind], self.starts[kind + 1]
-        at = self.bounds[low][:, None] + self.rng.random((n, NEAR)) * (self.bounds[high] - self.bounds[low])[:, None]
-        near = np.clip(np.searchsorted(self.bounds, at.ravel(), side="right").reshape(n, NEAR) - 1, low[:, None], high[:, None] - 1)
+        at, kinds = self._groups(kind)
+        low, high = self.starts[kinds], self.starts[kinds + 1]
+        mass = self.bounds[low][:, None] + self.rng.random((len(kinds), NEAR)) * (self.bounds[high] - self.bounds[low])[:, None]
+        near = np.clip(np.searchsorted(self.bounds, mass.ravel(), side="right").reshape(mass.shape) - 1, low[:, None], high[:, None] - 1)
         c, cn, r, rn = p["S"][kind], p["S"][noise], p["R"][target], p["R"][near]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, c) - self.log_noise[kind], -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(q @ cn.T - self.log_noise[noise], -30, 30)))
-        up_near = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, r) - self.log_near[target], -30, 30)))
-        down_near = 1 / (1 + np.exp(-np.clip((rn @ q[:, :, None])[:, :, 0] - self.log_near[near], -30, 30)))
-        dq = (up[:, None] * c - down @ cn + up_near[:, None] * r - (down_near[:, None, :] @ rn)[:, 0])[:, :DIM]
+        own, several = q[:n], q[at]
+        up = _chance(self.log_noise[kind] - np.einsum("ij,ij->i", own, c))
+        down = _chance(own @ cn.T - self.log_noise[noise])
+        up_near = _chance(self.log_near[target] - np.einsum("ij,ij->i", own, r))
+        down_near = _chance(several @ rn.transpose(0, 2, 1) - self.log_near[near][:, None, :])
+        dq = up[:, None] * c - down @ cn + up_near[:, None] * r
+        pulled = np.empty((n + 1, DIM + 1), np.float32)
+        pulled[at] = down_near @ rn
+        dq = (dq - pulled[:n])[:, :DIM]
+        columns = np.ascontiguousarray(own.T)
         g = np.zeros_like(p["S"])
         first = _runs(kind)
-        columns = np.ascontiguousarray(q.T)
         g[kind[first]] = np.add.reduceat(up * columns, first, axis=1).T
-        np.subtract.at(g, noise, down.T @ q)
-        weight = np.concatenate((up_near, -down_near.ravel()))
-        owner = np.concatenate((np.arange(n), np.repeat(np.arange(n), NEAR)))
+        np.subtract.at(g, noise, down.T @ own)
+        pushed = (down_near.transpose(0, 2, 1) @ several).reshape(-1, DIM + 1)
         back = np.concatenate((p["C1"] @ dq.T, p["C2"] @ dq.T), axis=1)
-        self._move("S", slice(None), g)
-        self._move_rows("R", np.concatenate((target, near.ravel())), lambda o: weight[o] * np.take(columns, owner[o], axis=1))
-        self._move("C1", slice(None), e1.T @ dq)
-        self._move("C2", slice(None), e2.T @ dq)
-        self._move_rows("E", np.concatenate((h1, h2)), lambda o: np.take(back, o, axis=1))
+        self._move("S", g)
+        self._move_rows("R", np.concatenate((target, near.ravel())), np.concatenate((up_near * columns, -pushed.T), axis=1))
+        self._move("C1", e1.T @ dq)
+        self._move("C2", e2.T @ dq)
+        self._move_rows("E", np.concatenate((h1, h2)), back)
         self.seen += n
 
 
+def _chance(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 _ORDER = ("E", "C1", "C2", "S", "R")
 #: row, shard, tokens that touched it, values
 _ROW = ("i8", "i4", "f8", *["f4"] * (DIM + 1))
@@ -334,14 +367,18 @@ def train(docs: DataFrame, vocabulary: Vocabulary, volume: int) -> dict[str, np.
     return out
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials by row."""
-    with np.errstate(over="ignore", under="ignore", divide="ignore"):
-        out = np.log(np.exp(s).sum(axis=1))
+def _log_sum(q: np.ndarray, table: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Log of the sums of the exponentials of products of each row of ``q`` with those of ``table``, worked out in ``room``."""
+    s = room[: len(q) * len(table)].reshape(len(q), len(table))
+    np.matmul(q, table.T, out=s)
+    with np.errstate(over="ignore", under="ignore", divide="ignore", invalid="ignore"):
+        np.exp(s, out=s)
+        out = np.log(s @ np.ones(len(table), s.dtype))
     far = ~np.isfinite(out)
     if far.any():
-        top = s[far].max(axis=1)
-        out[far] = np.log(np.exp(s[far] - top[:, None]).sum(axis=1)) + top
+        s = q[far] @ table.T
+        top = s.max(axis=1)
+        out[far] = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
     return out
 
 
@@ -350,21 +387,23 @@ class Model:
 
     def __init__(self, vocabulary: Vocabulary, p: dict[str, np.ndarray]):
         self.vocabulary, self.p = vocabulary, p
+        self.starts, self.kind, _ = _classes(vocabulary.unigram)
 
     def log10(self, target: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of outputs after their contexts."""
-        p, width, out = self.p, _width(len(self.p["R"])), np.zeros(len(target))
+        p, starts, out = self.p, self.starts, np.zeros(len(target))
         order = np.argsort(target, kind="stable")
+        room = np.empty(BLOCK * max(len(p["S"]), int(np.diff(starts).max())), np.float32)
         for a in range(0, len(target), BLOCK):
             at = order[a : a + BLOCK]
             q = np.ones((len(at), DIM + 1), np.float32)
             q[:, :DIM] = p["E"][h1[at]] @ p["C1"] + p["E"][h2[at]] @ p["C2"]
             t = target[at]
-            kind = t // width
-            found = np.einsum("ij,ij->i", q, p["S"][kind] + p["R"][t]) - _log_sum(q @ p["S"].T)
+            kind = self.kind[t]
+            found = np.einsum("ij,ij->i", q, p["S"][kind] + p["R"][t]) - _log_sum(q, p["S"], room)
             first = _runs(kind)
             for b, e in zip(first, np.append(first[1:], len(kind)), strict=True):
-                found[b:e] -= _log_sum(q[b:e] @ p["R"][kind[b] * width : (kind[b] + 1) * width].T)
+                found[b:e] -= _log_sum(q[b:e], p["R"][starts[kind[b]] : starts[kind[b] + 1]], room)
             out[at] = found
         return out / np.log(10)
 
