@@ -442,6 +442,7 @@ ranks AS (SELECT var_id, row_number() OVER (ORDER BY round(y0 - fit, 7) DESC, va
 final AS (SELECT var_id, row_number() OVER (ORDER BY s, var_id) - 1 AS p FROM ranks)
 SELECT var_id, CAST(coalesce(p, -1) AS INTEGER) AS hvf_rank, coalesce(p < 200, false) AS highly_variable_features FROM cs LEFT JOIN final USING (var_id) WHERE k > 0""")
 def hvf_pegasus(spark, d):
+    """The SQL holds where the first span will do, from some 200 robust features on; with fewer the operator widens it."""
     return hvg.pegasus_hvf(stats.robust_genes(normalised(spark, d), 20.0), n_top=200).select("var_id", "hvf_rank", "highly_variable_features")
 
 

@@ -8,7 +8,7 @@ from tessera.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "supplier part orders lineitem embeddings".split()
-SOME = ["tmatmul", "pca_block", "nnz_total", "pearson_resid_var_noted", "batch_means", "dense_layer_roundtrip", "dataset_of_stores", "assigned_relation", "axis_arrays_follow", "hvf_pegasus", "hvg_cell_ranger", "hvg_cell_ranger_top", "scrublet_block", "pca_row_energy", "pca_components_hold", "hvg_pearson_batch", "transposed", "chunked_blocks", "raw_after_hvg", "gram_vectors", "row_indices_ordered", "assigned_rectangle", "qc_obs", "axis_var_var_ddof0", "gene_group_pct", "subset_mask", "to_df_window", "norm_zero_rows", "scale_sumsq", "centered_upper_clip", "hvg_seurat_cutoff", "hvg_pearson", "regress_betas", "matmul", "gram", "concat_outer", "layer_roundtrip", "guard_copy_back"]
+SOME = ["tmatmul", "pca_block", "nnz_total", "pearson_resid_var_noted", "batch_means", "dense_layer_roundtrip", "dataset_of_stores", "assigned_relation", "axis_arrays_follow", "hvg_cell_ranger", "hvg_cell_ranger_top", "scrublet_block", "pca_row_energy", "pca_components_hold", "hvg_pearson_batch", "transposed", "chunked_blocks", "raw_after_hvg", "gram_vectors", "row_indices_ordered", "assigned_rectangle", "qc_obs", "axis_var_var_ddof0", "gene_group_pct", "subset_mask", "to_df_window", "norm_zero_rows", "scale_sumsq", "centered_upper_clip", "hvg_seurat_cutoff", "hvg_pearson", "regress_betas", "matmul", "gram", "concat_outer", "layer_roundtrip", "guard_copy_back"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
