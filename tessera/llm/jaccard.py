@@ -37,7 +37,7 @@ from tessera.llm._text import distinct_sorted, mix, shingle_sets
 
 #: An entry that spans more components than this is hot.
 HOT = 16
-#: Bytes of (id, id, id) rows up to which a list of texts to fetch is broadcast; a longer one is joined by shuffle.
+#: Bytes of rows of three numbers (and a class's bands) up to which a list of texts to fetch is broadcast; a longer one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 #: Share of a set's size that the allocation sets aside for hot entries.
 SPARED = 0.02
@@ -326,7 +326,7 @@ class _Join:
         """Texts of the classes named, one each; further columns of ``names`` stay."""
         more = [F.first(c).alias(c) for c in names.columns if c != "cls"]
         wanted = checkpoint(names.join(self.classes.select("cls", "at.id", "at.same"), "cls"))
-        few = wanted.count() * 24 <= BROADCAST_BYTES and not more
+        few = wanted.count() * (64 if more else 24) <= BROADCAST_BYTES  # three numbers a row, and a few bands
         return self.docs.select("id", "same", "text").join(F.broadcast(wanted) if few else wanted, ["id", "same"]).groupBy("cls").agg(F.min("text").alias("text"), *more)
 
     def close(self, pairs: DataFrame) -> DataFrame:
