@@ -350,7 +350,7 @@ def _keys(doc: np.ndarray, sub: np.ndarray) -> np.ndarray:
 def _fetch(length: int, parts: int) -> Callable:
     """The texts of the contexts to compare, by part of their hash, and those of single windows by part of their fingerprint.
 
-    Of equal windows that the part has the first alone goes, the others are to be removed.
+    Of equal windows that the part holds at a time the first alone goes, the others are to be removed.
     """
 
     def run(key: tuple, texts: pa.Table, spans: pa.Table) -> pa.Table:
@@ -364,7 +364,23 @@ def _fetch(length: int, parts: int) -> Callable:
         done = np.zeros(len(wanted), dtype=bool)
         found: list[tuple[int, np.ndarray]] = []
         windows: list[tuple[np.ndarray, ...]] = []
-        bodies: list[np.ndarray] = []
+        out: list[pa.RecordBatch] = []
+
+        def deal_windows() -> None:
+            if not windows:
+                return
+            mark, doc, sub, at, body = (np.concatenate(c) for c in zip(*windows, strict=True))
+            windows.clear()
+            one = np.ones(len(mark), np.int32)
+            keep, rest = _first_of_equal(mark, mark, doc, sub, at, one)
+            out.extend(_spans_of(parts, _REMOVE, doc[rest], sub[rest], at[rest], one[rest], last=True))
+            part = _hash_part(mark[keep], parts)
+            order = np.argsort(part, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                k = keep[some]
+                out.append(_text_block(int(part[some[0]]), [x[k] for x in (mark, doc, sub, at, one)], list(body[k])))
+
+        held = 0
         for batch in _texts(texts):
             data, offsets = utf8(batch.column("text"))
             own = _keys(np.asarray(batch.column("doc_id")), np.asarray(batch.column("sub")))
@@ -381,24 +397,17 @@ def _fetch(length: int, parts: int) -> Callable:
                     marks = marks or prefix_marks(text)
                     at = np.arange(begin[k], begin[k] + count[k])
                     n = len(at)
-                    windows.append((span_marks(marks, at, at + length), np.full(n, doc[k]), np.full(n, sub[k]), at))
-                    bodies.append(np.lib.stride_tricks.sliding_window_view(text, length)[at])
-        out = []
+                    windows.append((span_marks(marks, at, at + length), np.full(n, doc[k]), np.full(n, sub[k]), at, np.lib.stride_tricks.sliding_window_view(text, length)[at]))
+                    held += n
+                    if held >= _HELD:
+                        deal_windows()
+                        held = 0
+        deal_windows()
         ks = np.array([k for k, _ in found], dtype=np.int64)
         part = _hash_part(least[ks], parts)
         for p in np.unique(part):
             some = np.flatnonzero(part == p)
             out.append(_text_block(p, [x[ks[some]] for x in (least, doc, sub, begin, count)], [found[j][1] for j in some]))
-        if windows:
-            mark, doc, sub, at = (np.concatenate(c) for c in zip(*windows, strict=True))
-            body = np.concatenate(bodies)
-            one = np.ones(len(mark), np.int32)
-            keep, rest = _first_of_equal(mark, mark, doc, sub, at, one)
-            out += _spans_of(parts, _REMOVE, doc[rest], sub[rest], at[rest], one[rest], last=True)
-            part = _hash_part(mark[keep], parts)
-            for p in np.unique(part):
-                some = keep[part == p]
-                out.append(_text_block(p, [x[some] for x in (mark, doc, sub, at, one)], list(body[some])))
         trim()
         return _table(out)
 
