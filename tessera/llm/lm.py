@@ -97,8 +97,7 @@ class Vocabulary:
     """The most frequent words by falling count, and the counts that smoothing needs."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, ends: int):
-        order = np.argsort(words)
-        self.words, self.counts, self.rank = words[order], counts[order], order
+        self.words, self.counts, self.slots = words, counts, _slots(words)
         self.tokens, self.distinct, self.ends = tokens + ends, distinct + (ends > 0), ends
         likely = int(np.count_nonzero(counts >= LEAST))
         self.outputs, self.contexts = max(TARGETS, likely), max(_NONE, likely)
@@ -111,11 +110,35 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (_BEYOND if beyond) and count (-1 if beyond) of each word."""
+        rank, count = np.full(len(hashes), _BEYOND), np.full(len(hashes), -1)
         if not len(self.words):
-            return np.full(len(hashes), _BEYOND), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        known = self.words[at] == hashes
-        return np.where(known, self.rank[at], _BEYOND), np.where(known, self.counts[at], -1)
+            return rank, count
+        mask = np.uint64(len(self.slots) - 1)
+        left, asked = np.arange(len(hashes)), hashes
+        place = asked & mask
+        while len(left):
+            found = self.slots[place]
+            same = (found >= 0) & (self.words[found] == asked)
+            rank[left[same]] = found[same]
+            count[left[same]] = self.counts[found[same]]
+            on = (found >= 0) & ~same
+            left, asked, place = left[on], asked[on], (place[on] + np.uint64(1)) & mask
+        return rank, count
+
+
+def _slots(words: np.ndarray) -> np.ndarray:
+    """A table, at most half full, of the places of different hashes: each in the first free slot from that of its low bits on."""
+    out = np.full(1 << (2 * len(words)).bit_length(), -1, np.int32)
+    mask = np.uint64(len(out) - 1)
+    left, place = np.arange(len(words)), words & mask
+    while len(left):
+        free = np.flatnonzero(out[place] < 0)
+        taken, first = np.unique(place[free], return_index=True)
+        out[taken] = left[free[first]]
+        on = np.ones(len(left), bool)
+        on[free[first]] = False
+        left, place = left[on], (place[on] + np.uint64(1)) & mask
+    return out
 
 
 def class_starts(unigram: np.ndarray) -> np.ndarray:
@@ -190,7 +213,7 @@ class Trainer:
 
     def _move_rows(self, k: str, index: np.ndarray, values: np.ndarray) -> None:
         """``values`` has a column for each place; sums run along columns."""
-        order = np.argsort(index, kind="stable")
+        order = np.argsort(index)
         index = index[order]
         first = _runs(index)
         rows = index[first]
@@ -212,7 +235,7 @@ class Trainer:
 
     def learn(self, target: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
         p, n = self.p, len(target)
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target)
         target, h1, h2 = target[order], h1[order], h2[order]
         e1, e2 = p["E"][h1], p["E"][h2]
         q = np.zeros((n + 1, DIM + 1), np.float32)  # the last row stands for no token
@@ -392,7 +415,7 @@ class Model:
     def log10(self, target: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of outputs after their contexts."""
         p, starts, out = self.p, self.starts, np.zeros(len(target))
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target)
         room = np.empty(BLOCK * max(len(p["S"]), int(np.diff(starts).max())), np.float32)
         for a in range(0, len(target), BLOCK):
             at = order[a : a + BLOCK]
