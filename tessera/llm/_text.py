@@ -156,14 +156,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(starts):
         return np.zeros(0, np.uint64), first
     sizes = stops - starts
-    inner = np.flatnonzero(~IS_SPACE[data])  # words end to end
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    place = np.arange(len(inner)) - np.repeat(edges[:-1], sizes)
-    codes = _PLACED[((place & 63) << 8) + data[inner]]
+    body = data[~IS_SPACE[data]]  # words end to end
+    edges = np.cumsum(sizes) - sizes
+    place = np.arange(len(body), dtype=np.int32)
+    place -= np.repeat(edges.astype(np.int32), sizes)
+    at = place & 63
+    at <<= 8
+    at += body
+    codes = np.take(_PLACED, at)
     if sizes.max() > 64:
         far = np.flatnonzero(place > 63)
         codes[far] *= mix((place[far] >> 6).astype(np.uint64) * _GOLDEN) | np.uint64(1)
-    return mix(np.add.reduceat(codes, edges[:-1]) + mix(sizes.astype(np.uint64))), first
+    return mix(np.add.reduceat(codes, edges) + mix(sizes.astype(np.uint64))), first
 
 
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)

@@ -249,10 +249,10 @@ class Trainer:
         near = np.clip(np.searchsorted(self.bounds, mass.ravel(), side="right").reshape(mass.shape) - 1, low[:, None], high[:, None] - 1)
         c, cn, r, rn = p["S"][kind], p["S"][noise], p["R"][target], p["R"][near]
         own, several = q[:n], q[at]
-        up = _chance(self.log_noise[kind] - np.einsum("ij,ij->i", own, c))
-        down = _chance(own @ cn.T - self.log_noise[noise])
-        up_near = _chance(self.log_near[target] - np.einsum("ij,ij->i", own, r))
-        down_near = _chance(several @ rn.transpose(0, 2, 1) - self.log_near[near][:, None, :])
+        up = _chance(np.einsum("ij,ij->i", own, c) - self.log_noise[kind])
+        down = _chance(self.log_noise[noise] - own @ cn.T)
+        up_near = _chance(np.einsum("ij,ij->i", own, r) - self.log_near[target])
+        down_near = _chance(self.log_near[near][:, None, :] - several @ rn.transpose(0, 2, 1))
         dq = up[:, None] * c - down @ cn + up_near[:, None] * r
         pulled = np.empty((n + 1, DIM + 1), np.float32)
         pulled[at] = down_near @ rn
@@ -273,10 +273,9 @@ class Trainer:
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+    """The logistic function of ``-x``, in place."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
