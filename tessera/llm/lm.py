@@ -337,7 +337,7 @@ def _train(shipped, parts: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         vocabulary = shipped.value
         shard = table.column("part")[0].as_py()
-        trainer, packer = Trainer(initial(vocabulary), vocabulary.unigram, shard), Packer(parts, last=True)
+        trainer, packer = Trainer(initial(vocabulary), vocabulary.unigram, shard), Packer(parts, 1 << 16, last=True)
         out = []
         for data, offsets in _shard_texts(table):
             target, h1, h2, *_ = sequences(*word_hashes(data, offsets), vocabulary)
