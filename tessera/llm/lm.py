@@ -7,7 +7,8 @@ a quarter as many. A context of two words predicts a vector, the sum of a matrix
 are dealt to classes by rank, small ones of frequent words and large ones of rare words: an output's probability is that of its class times that within the class, and
 either comes from scores that are the vector's products with vectors of classes or outputs, plus a bias. Texts are dealt
 by hash to shards of bounded size, and a replica is trained on all tokens of each, contrasting them with noise samples of classes and of the
-members of their class; the rows a replica has touched are averaged by the tokens that touched them, so the model doesn't depend on the table's partitions. Scores are normalised for each batch of contexts
+members of their class; the rows a replica has touched are averaged by the tokens that touched them, so the model doesn't depend on the table's partitions.
+A task trains the replicas of a group of shards in turn and averages them before it sends their rows, so all groups' rows are about as many bytes as the training text at most. Scores are normalised for each batch of contexts
 that occur, over the classes and over the members of the target's class. A word of the class
 of others has the class's probability times its share by smoothed counts.
 
@@ -16,8 +17,9 @@ Counts of words beyond the head are looked up by shuffling compressed blocks of
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -281,8 +283,11 @@ def _chance(x: np.ndarray) -> np.ndarray:
 
 
 _ORDER = ("E", "C1", "C2", "S", "R")
-#: row, shard, tokens that touched it, values
+#: row, group of shards, tokens that touched it, values
 _ROW = ("i8", "i4", "f8", *["f4"] * (DIM + 1))
+_ROW_BYTES = sum(np.dtype(x).itemsize for x in _ROW)
+#: Bytes of rows that one task averages, about.
+PART_BYTES = 32 << 20
 #: Bytes of training text that one replica learns from, about.
 SHARD_BYTES = 16 << 20
 
@@ -309,10 +314,10 @@ def _deal_texts(shards: int) -> Callable:
     return run
 
 
-def _shard_texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _shard_texts(blocks: Iterable[pa.BinaryScalar]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of a shard's texts in the order of their keys: bytes and offsets."""
     keys, sizes, bodies = [], [], []
-    for block in table.column("block"):
+    for block in blocks:
         raw = block.as_py()
         n = int.from_bytes(raw[:8], "little")
         k, z = decode(raw[8 : 8 + n], ("u8", "i8"))
@@ -331,37 +336,72 @@ def _shard_texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a = b
 
 
-def _train(shipped, parts: int) -> Callable:
-    """The rows that a shard's replica has touched. It depends on the shard's texts alone, not on files or tasks."""
+class Mean:
+    """Rows of several replicas averaged by the tokens that touched them, and those tokens."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def __init__(self, first: Trainer):
+        self.p, self.times = first.p, self._times(first)
+
+    @staticmethod
+    def _times(trainer: Trainer) -> dict[str, np.ndarray]:
+        return {k: trainer.times.get(k, np.full(len(v), trainer.seen)) for k, v in trainer.p.items()}
+
+    def add(self, trainer: Trainer) -> None:
+        for k, times in self._times(trainer).items():
+            self.times[k] += times
+            for some in _lots(np.flatnonzero(times)):
+                share = (times[some] / self.times[k][some]).astype(np.float32)
+                self.p[k][some] += (trainer.p[k][some] - self.p[k][some]) * share[:, None]
+
+
+def _lots(rows: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(rows, len(rows) // (1 << 16) + 1)
+
+
+def groups_of(shards: int, rows: int, volume: int) -> int:
+    """In how many groups shards are trained: as many as send no more bytes than ``volume``, if each sends all ``rows``."""
+    return max(1, min(shards, volume // (rows * _ROW_BYTES)))
+
+
+def _train(shipped, shards: int, groups: int, step: int) -> Callable:
+    """The rows that the replicas of a group have touched, averaged. They depend on the texts of its shards alone, not on files or tasks.
+
+    Blocks come in the order of their shards; ``step`` rows make a part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shipped.value
-        shard = table.column("part")[0].as_py()
-        trainer, packer = Trainer(initial(vocabulary), vocabulary.unigram, shard), Packer(parts, 1 << 16, last=True)
-        out = []
-        for data, offsets in _shard_texts(table):
-            target, h1, h2, *_ = sequences(*word_hashes(data, offsets), vocabulary)
-            for a in range(0, len(target), BATCH):
-                trainer.learn(target[a : a + BATCH], h1[a : a + BATCH], h2[a : a + BATCH])
-        at = 0
-        for k in _ORDER:
-            values = trainer.p[k]
-            times = trainer.times.get(k, np.full(len(values), trainer.seen))
-            rows = np.flatnonzero(times)
-            for some in np.array_split(rows, len(rows) // (1 << 16) + 1):
-                padded = np.pad(values[some], ((0, 0), (0, DIM + 1 - values.shape[1])))
-                out += packer.add(((some + at) % parts).astype(np.int32), some + at, np.full(len(some), shard, np.int32), times[some].astype(float), *padded.T)
-            at += len(values)
-        out += packer.flush()
+        blocks = ((part.as_py(), block) for batch in batches for part, block in zip(batch.column("part"), batch.column("block"), strict=True))
+        for group, several in itertools.groupby(blocks, lambda x: x[0] * groups // shards):
+            mean = None
+            for shard, own in itertools.groupby(several, lambda x: x[0]):
+                trainer = Trainer(initial(vocabulary), vocabulary.unigram, shard)
+                for data, offsets in _shard_texts(block for _, block in own):
+                    target, h1, h2, *_ = sequences(*word_hashes(data, offsets), vocabulary)
+                    for a in range(0, len(target), BATCH):
+                        trainer.learn(target[a : a + BATCH], h1[a : a + BATCH], h2[a : a + BATCH])
+                if mean is None:
+                    mean = Mean(trainer)
+                else:
+                    mean.add(trainer)
+                del trainer
+                trim()
+            packer, at = Packer(-(-sum(map(len, mean.p.values())) // step), 1 << 16, last=True), 0
+            for k in _ORDER:
+                values, times = mean.p[k], mean.times[k]
+                for some in _lots(np.flatnonzero(times)):
+                    padded = np.pad(values[some], ((0, 0), (0, DIM + 1 - values.shape[1])))
+                    yield from packer.add(((some + at) // step).astype(np.int32), some + at, np.full(len(some), group, np.int32), times[some].astype(float), *padded.T)
+                at += len(values)
+            yield from packer.flush()
         trim()
-        return pa.Table.from_batches(out, ARROW)
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
-    row, shard, times, *columns = gather(table, _ROW)
-    order = np.lexsort((shard, row))
+    row, group, times, *columns = gather(table, _ROW)
+    order = np.lexsort((group, row))
     row, times = row[order], times[order]
     first = _runs(row)
     total = np.add.reduceat(times, first) if len(row) else times
@@ -372,13 +412,16 @@ def _average(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, vocabulary: Vocabulary, volume: int) -> dict[str, np.ndarray]:
     """Parameters averaged over the replicas of all shards, each row by the tokens that touched it; a row that none touched is as at first.
 
-    ``docs`` has key and text. Shards follow from the keys and the ``volume`` of text, so the model doesn't depend on how the
+    ``docs`` has key and text. Shards and their groups follow from the keys and the ``volume`` of text, so the model doesn't depend on how the
     table is partitioned (but where a row comes more than 64 times).
     """
     out = initial(vocabulary)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    shards, parts = volume // SHARD_BYTES + 1, sum(map(len, out.values())) // (1 << 16) + 8
-    found = docs.mapInArrow(_deal_texts(shards), SCHEMA).groupBy("part").applyInArrow(_train(shipped, parts), SCHEMA)
+    shards, rows = volume // SHARD_BYTES + 1, sum(map(len, out.values()))
+    groups = groups_of(shards, rows, volume)
+    step = max(1, min(-(-rows // 8), PART_BYTES // (_ROW_BYTES * groups)))
+    dealt = docs.mapInArrow(_deal_texts(shards), SCHEMA).repartitionById(groups, F.expr(f"int(part * {groups}L div {shards}L)"))
+    found = dealt.sortWithinPartitions("part").mapInArrow(_train(shipped, shards, groups, step), SCHEMA)
     mean = found.groupBy("part").applyInArrow(_average, SCHEMA).toArrow()  # the rows of one model
     row, _, *columns = gather(mean, ("i8", "f8", *["f4"] * (DIM + 1)))
     table, at = np.column_stack(columns), 0

@@ -115,3 +115,44 @@ def test_the_model_beats_the_base_on_held_out_texts_whatever_the_partitions(spar
     assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
     for r in lm.score(frame.repartition(6)).collect():
         assert abs(r.score - found[r.doc_id].score) < 1e-2 and r.base_score == found[r.doc_id].base_score
+
+
+def test_replicas_of_a_group_are_averaged_before_their_rows_are_sent(spark, monkeypatch, tmp_path):
+    average = lm._average
+
+    def noted(table):
+        part = table.column("part")[0].as_py()
+        (tmp_path / f"{part}").write_text(str(sum(len(lm.decode(b.as_py(), lm._ROW)[0]) for b in table.column("block"))))
+        return average(table)
+
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 16)
+    monkeypatch.setattr(lm, "_average", noted)
+    texts = [t for _, t in markov(8000)]
+    volume = sum(map(len, texts))
+    count = collections.Counter(w for t in texts for w in t.split())
+    hashes = {w: int(word_hashes(*utf8(pa.array([w])))[0][0]) for w in count}
+    common = sorted(count, key=lambda w: (-count[w], w))
+    vocabulary = lm.Vocabulary(np.array([hashes[w] for w in common], np.uint64), np.array([count[w] for w in common]), sum(count.values()), len(count), len(texts))
+    keys = np.arange(len(texts), dtype=np.int64) * 0x1E3779B97F4A7C15
+    frame = spark.createDataFrame([(t, int(k)) for t, k in zip(texts, keys, strict=True)], "text string, key long").repartition(3)
+    found = lm.train(frame, vocabulary, volume)
+    records = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    assert records * 4 * (lm.DIM + 1) <= volume
+
+    shards = volume // lm.SHARD_BYTES + 1
+    assert shards > 10
+    first = lm.initial(vocabulary)
+    total, times = {k: np.zeros(v.shape) for k, v in first.items()}, {k: np.zeros(len(v)) for k, v in first.items()}
+    for block in lm._deal_texts(shards)([pa.record_batch({"text": pa.array(texts), "key": pa.array(keys)})]):
+        trainer = lm.Trainer(first, vocabulary.unigram, block.column("part")[0].as_py())
+        for data, offsets in lm._shard_texts(block.column("block")):
+            target, h1, h2, *_ = lm.sequences(*word_hashes(data, offsets), vocabulary)
+            for a in range(0, len(target), lm.BATCH):
+                trainer.learn(target[a : a + lm.BATCH], h1[a : a + lm.BATCH], h2[a : a + lm.BATCH])
+        for k, v in trainer.p.items():
+            n = trainer.times.get(k, np.full(len(v), trainer.seen))
+            total[k] += n[:, None] * v
+            times[k] += n
+    for k, v in first.items():
+        want = np.where(times[k][:, None] > 0, total[k] / np.maximum(times[k], 1)[:, None], v)
+        assert np.abs(found[k] - want).max() < 1e-4
