@@ -40,10 +40,15 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
+def _kept(n: int) -> int:
+    """Entries of a table that is kept for n or more: up to a chunk the next power of two and one, so that it seldom grows."""
+    return (1 << max(n - 2, (1 << 17) - 1).bit_length()) + 1 if n <= CHUNK_BYTES + 1 else n
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse; kept between calls."""
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = _kept(n)
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(size, np.uint64(b))
             p[0] = 1
@@ -71,13 +76,14 @@ _mark_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _marks_of(n: int) -> list[np.ndarray]:
     """The first n powers of both bases, and of their inverses, modulo the primes; kept between calls."""
     if len(_mark_powers[0]) < n or len(_mark_powers) < 4:
+        size = _kept(n)
         bases = [*_BASES, *(np.uint64(pow(int(b), -1, int(p))) for b, p in zip(_BASES, _PRIMES, strict=True))]
         out = []
         for b, p in zip(bases, _PRIMES * 2, strict=True):
             table = np.ones(1, np.uint64)
-            while len(table) < max(n, CHUNK_BYTES + 1):
+            while len(table) < size:
                 step = np.uint64(pow(int(b), len(table), int(p)))
-                table = np.concatenate((table, table * step % p))
+                table = np.concatenate((table, table[: size - len(table)] * step % p))
             out.append(table)
         _mark_powers[:] = out
     return [x[:n] for x in _mark_powers]

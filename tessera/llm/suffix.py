@@ -31,6 +31,8 @@ from tessera.llm._text import chunks, mix, prefix_hash, prefix_marks, span_hash,
 GRAM = 20
 #: Bytes of contexts that one suffix array holds; a hash with more is split by its windows.
 SORT_BYTES = 1 << 20
+#: Bytes of several hashes' contexts that are sorted together; larger pieces take more memory and, beyond the caches, more time a byte.
+_PIECE = 1 << 18
 _DEPTH = 8
 
 
@@ -450,6 +452,7 @@ def _sort_contexts(length: int, parts: int) -> Callable:
         least, doc, sub, begin, count = (np.concatenate(x) for x in zip(*heads, strict=True))
         sizes = count.astype(np.int64) + length - 1
         text, at = np.concatenate(bodies), np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        del heads, bodies
         place = _place(doc, sub)
         order = np.lexsort((begin, place, least))
         least, place, begin, sizes, at = (x[order] for x in (least, place, begin, sizes, at))
@@ -457,8 +460,8 @@ def _sort_contexts(length: int, parts: int) -> Callable:
         a, total = 0, np.cumsum(sizes)
         new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1], [True])))
         while a < len(least):
-            # Whole hashes up to SORT_BYTES, which no hash exceeds by much.
-            limit = (total[a - 1] if a else 0) + SORT_BYTES
+            # Whole hashes up to _PIECE, or one, which has not much over SORT_BYTES.
+            limit = (total[a - 1] if a else 0) + _PIECE
             b = new[max(np.searchsorted(new, a, side="right"), np.searchsorted(new, np.searchsorted(total, limit, side="right"), side="right") - 1)]
             s = sizes[a:b]
             starts = np.concatenate(([0], np.cumsum(s)))

@@ -111,3 +111,39 @@ def test_remove_repeats_cuts_whole_characters(spark):
     found = sorted(map(tuple, suffix.remove_repeats(frame, 100).collect()))
     assert found == [rows[0], (2, "qz", "b", 2), rows[2], rows[3]]
     assert suffix.remove_repeats(frame.limit(0), 100).collect() == []
+
+
+def test_a_task_holds_little_beside_its_texts(monkeypatch):
+    """The pipeline went over an executor's memory by tables of powers for texts of 1 MB and more, and by sorting 1 MB at once."""
+    import tracemalloc
+
+    from tessera.llm import _text
+
+    monkeypatch.setattr(_text, "_powers", [np.ones(1, np.uint64)] * 2)
+    monkeypatch.setattr(_text, "_mark_powers", [np.ones(1, np.uint64)] * 2)
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 101, 1 << 17).astype(np.uint8)
+    prefix, marks = _text.prefix_hash(data, False), _text.prefix_marks(data)
+    a, b = np.array([0]), np.array([len(data)])
+    whole = _text.span_hash(prefix, a, b), _text.span_marks(marks, a, b)
+    assert sum(x.nbytes for x in [*_text._powers, *_text._mark_powers]) < 8 << 20
+    data = np.concatenate((data, data, data))  # tables grow, and hashes stay
+    prefix, marks = _text.prefix_hash(data, False), _text.prefix_marks(data)
+    a, b = (x[0] + np.array([0, 1 << 17, 2 << 17]) for x in (a, b))
+    assert set(_text.span_hash(prefix, a, b)) == set(whole[0]) and set(_text.span_marks(marks, a, b)) == set(whole[1])
+
+    # 20,000 contexts of 80 windows, two by two of one hash: every second has the last 130 bytes of the one before, from its fifth byte on.
+    n, size = 20_000, 179
+    text = rng.integers(97, 123, (n, size)).astype(np.uint8)
+    text[1::2, 5:135] = text[::2, -130:]
+    text[1::2, 4] = 65
+    head = [np.repeat(np.arange(n // 2, dtype=np.uint64), 2), np.arange(n), np.zeros(n, np.int64), np.full(n, 7), np.full(n, size - 99, np.int32)]
+    table = suffix._table([suffix._text_block(0, head, list(text))])
+    sort = suffix._sort_contexts(100, 8)
+    tracemalloc.start()
+    out = sort(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * text.size
+    found = sorted(zip(*(c.tolist() for c in suffix.gather(out, suffix._SPAN)), strict=True))
+    assert found == [(d, 0, suffix._REMOVE, 0, 7 + 5, 31) for d in range(1, n, 2)]
