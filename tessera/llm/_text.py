@@ -198,7 +198,7 @@ def distinct_sorted(values: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text, its sorted distinct shingle hashes."""
-    for _, data, offsets in chunks(column):
+    for _, data, offsets in chunks(column, 1 << 18):
         words, first = word_hashes(data, offsets)
         for a, b in zip(first[:-1], first[1:], strict=True):
             yield distinct_sorted(shingle_hashes(words[a:b], width))

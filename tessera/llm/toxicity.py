@@ -43,7 +43,7 @@ def slots(words: np.ndarray, stems: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def features(column: pa.Array, bits: int) -> Iterator[np.ndarray]:
     # Marks on both sides of a word would hide it, so bytes other than letters and digits separate.
-    for _, data, offsets in chunks(column):
+    for _, data, offsets in chunks(column, 1 << 18):
         data = np.where(_SEPARATES[data], np.uint8(32), data)
         starts, stops, first = word_spans(data, offsets)
         prefix = prefix_hash(data, True)
