@@ -74,8 +74,11 @@ def dispersions(m: Matrix, flavor: str = "seurat", n_bins: int = 20, layer: str
 
 
 def dispersion_hvg(m: Matrix, flavor: str = "seurat", n_top: int | None = None, n_bins: int = 20, min_mean: float = 0.0125, max_mean: float = 3.0, min_disp: float = 0.5, max_disp: float = float("inf"), layer: str | None = None, digits: int = 9) -> DataFrame:
-    """``dispersions`` with highly_variable: the n_top greatest (and their rank), or those within the cut-offs."""
-    found = dispersions(m, flavor, n_bins, layer, digits)
+    """``dispersions`` with highly_variable: the n_top greatest (and their rank), or those within the cut-offs.
+
+    Ranks compare to ``digits`` decimals; the bins keep their own.
+    """
+    found = dispersions(m, flavor, n_bins, layer)
     if n_top is None:
         inside = (F.col("means") > min_mean) & (F.col("means") < max_mean) & (F.col("dispersions_norm") > min_disp) & (F.col("dispersions_norm") < max_disp)
         return found.withColumn("highly_variable", F.coalesce(inside, F.lit(False)))
