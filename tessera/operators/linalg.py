@@ -50,27 +50,35 @@ def tmatmul(m: Matrix, weights: DataFrame, layer: str = "scaled") -> DataFrame:
     return rmatmul(m, weights, layer).select("var_id", "k", "value")
 
 
-#: Columns of a tile of a product, and rows that a task multiplies at once, about.
+#: Columns of a tile of a product, rows that a task is sent at once, about, and rows that it lays out densely.
 TILE = 512
-GRAM_ROWS = 8192
+GRAM_ROWS = 4096
+_DENSE_ROWS = 1024
 
 
 def _tile_product(table: pa.Table) -> pa.Table:
-    """Products of the columns of two tiles over some rows, where some row has both."""
+    """Products of the columns of two tiles over some rows, where some row has both; dense are a few rows at a time, as wide as their cells reach."""
     i_tile, j_tile = table.column("i_tile")[0].as_py(), table.column("j_tile")[0].as_py()
     row = np.unique(np.asarray(table.column("obs_id")), return_inverse=True)[1]
     tile = np.asarray(table.column("tile"))
     sides = []
-    for t in (i_tile, j_tile):
-        some = table.filter(pa.array(tile == t))
-        cells = some.column("cells").combine_chunks()
+    for t in (i_tile, j_tile) if i_tile != j_tile else (i_tile,):
+        cells = table.column("cells").filter(pa.array(tile == t)).combine_chunks()
         owner = np.repeat(row[tile == t], np.asarray(cells.value_lengths()))
         flat = cells.flatten()
-        at, value = np.asarray(flat.field("var_id")) - t * TILE, np.asarray(flat.field("value"))
-        side = np.zeros((row.max(initial=-1) + 1, TILE))
-        side[owner, at] = value
-        sides.append(side)
-    product, both = sides[0].T @ sides[1], (sides[0] != 0).astype(np.float32).T @ (sides[1] != 0).astype(np.float32)
+        order = np.argsort(owner, kind="stable")
+        at, value = np.asarray(flat.field("var_id"))[order] - t * TILE, np.asarray(flat.field("value"))[order]
+        sides.append((owner[order], at, value, at.max(initial=-1) + 1))
+    product, both = (np.zeros((sides[0][3], sides[-1][3]), kind) for kind in (np.float64, np.float32))
+    for low in range(0, row.max(initial=-1) + 1, _DENSE_ROWS):
+        blocks = []
+        for owner, at, value, width in sides:
+            some = slice(*np.searchsorted(owner, (low, low + _DENSE_ROWS)))
+            block = np.zeros((_DENSE_ROWS, width))
+            block[owner[some] - low, at[some]] = value[some]
+            blocks.append(block)
+        product += blocks[0].T @ blocks[-1]
+        both += (blocks[0] != 0).astype(np.float32).T @ (blocks[-1] != 0).astype(np.float32)
     if i_tile == j_tile:
         both = np.triu(both)
     i, j = np.nonzero(both)
@@ -88,7 +96,7 @@ def gram(m: Matrix, layer: str | None = None) -> DataFrame:
         raise ValueError("use pca for dense layers")
     tile = F.floor(F.col("var_id") / TILE).cast("long")
     tiles = [r[0] for r in m.var.select(tile.alias("t")).distinct().orderBy("t").collect()]
-    shares = max(1, m.n_obs // GRAM_ROWS)
+    shares = max(1, -(-m.n_obs // GRAM_ROWS))
     rows = x.values().where("value <> 0").groupBy("obs_id", tile.alias("tile")).agg(F.collect_list(F.struct("var_id", "value")).alias("cells"))
     pairs = rows.withColumn("_other", F.explode(F.array(*[F.lit(t).cast("long") for t in tiles])))
     pairs = pairs.select(F.least("tile", "_other").alias("i_tile"), F.greatest("tile", "_other").alias("j_tile"), F.pmod(F.xxhash64("obs_id"), F.lit(shares)).alias("share"), "obs_id", "tile", "cells")

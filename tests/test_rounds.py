@@ -15,3 +15,37 @@ def test_digits_of_ranks_leave_the_bins_alone(spark, monkeypatch):
     want = {r.var_id: r.dispersions_norm for r in hvg.dispersions(None, "cell_ranger").collect()}
     found = {r.var_id: r.dispersions_norm for r in hvg.dispersion_hvg(None, "cell_ranger", n_top=20, digits=6).collect()}
     assert found == want
+
+
+def _tiles(n, i_tile=0, j_tile=0):
+    """What a task is sent of n rows with 64 cells in each tile, and the dense rows."""
+    import pyarrow as pa
+
+    values = np.random.default_rng(3).normal(size=(n, 128)).round(3)
+    tiles = sorted({i_tile, j_tile})
+    rows = [(k, t, values[k, 64 * p : 64 * p + 64]) for p, t in enumerate(tiles) for k in range(n)]
+    cells = [[{"var_id": t * linalg.TILE + j, "value": v} for j, v in enumerate(x)] for _, t, x in rows]
+    column = pa.array(cells, pa.list_(pa.struct([("var_id", pa.int64()), ("value", pa.float64())])))
+    ids = [pa.array([x] * len(rows), pa.int64()) for x in (i_tile, j_tile)]
+    return pa.table({"i_tile": ids[0], "j_tile": ids[1], "obs_id": pa.array([r[0] for r in rows]), "tile": pa.array([r[1] for r in rows]), "cells": column}), values
+
+
+@pytest.mark.parametrize("j_tile", [0, 2])
+def test_tile_product_by_parts_of_its_rows(j_tile):
+    table, x = _tiles(2500, 0, j_tile)
+    found = linalg._tile_product(table).to_pydict()
+    want = x[:, :64].T @ (x[:, 64:] if j_tile else x[:, :64])
+    cells = dict(zip(zip(found["i"], found["j"], strict=True), found["value"], strict=True))
+    assert len(cells) == (64 * 64 if j_tile else 64 * 65 // 2)
+    assert all(abs(v - want[i, j - j_tile * linalg.TILE]) < 1e-6 for (i, j), v in cells.items())
+
+
+def test_tile_product_holds_few_dense_rows():
+    import tracemalloc
+
+    table, _ = _tiles(8000)
+    tracemalloc.start()
+    linalg._tile_product(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
