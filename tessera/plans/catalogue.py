@@ -234,11 +234,8 @@ def row_range(spark, d):
 
 @query("SELECT obs_id, count(*) AS n, sum(value) AS total FROM x GROUP BY 1")
 def chunked_blocks(spark, d):
-    out = None
-    for _, _, cells in counts(spark, d).persisted().chunked(25):
-        part = cells.groupBy("obs_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cells = counts(spark, d).blocked(25)
+    return cells.groupBy("start", "obs_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).drop("start")
 
 
 @query(""", k AS (SELECT var_id, brand, row_number() OVER (PARTITION BY brand ORDER BY var_id) - 1 AS k FROM var)

@@ -49,3 +49,30 @@ def test_tile_product_holds_few_dense_rows():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6
+
+
+def _matrix(spark, x, first=0):
+    obs = spark.createDataFrame([(first + i, f"o{i}") for i in range(x.shape[0])], "obs_id long, obs_name string")
+    var = spark.createDataFrame([(j, f"v{j}") for j in range(x.shape[1])], "var_id long, var_name string")
+    return Matrix.of(obs, var, spark.createDataFrame([(first + int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "obs_id long, var_id long, value double"))
+
+
+def test_all_blocks_are_one_plan(spark):
+    x = np.arange(1.0, 161.0).reshape(40, 4)
+    m = _matrix(spark, x, first=3)
+    plan = m.blocked(7)
+    found = sorted(map(tuple, plan.collect()))
+    assert found == sorted((a, b, *r) for a, b, cells in m.chunked(7) for r in map(tuple, cells.collect()))
+    assert "Union" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert m.subset(F.lit(False)).blocked(7).count() == 0
+
+
+def test_chunked_blocks_needs_no_union(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    spark.createDataFrame([(k, f"S{k}", k % 5, 1.0) for k in range(1, 101)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "Brand#1", 1)], "p_partkey long, p_brand string, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, 1, float(k)) for k in range(1, 101)], "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.queries()["chunked_blocks"](spark, str(tmp_path))
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.obs_id, r.n, r.total) for r in found.collect()) == [(k, 1, float(k)) for k in range(1, 101)]
