@@ -76,3 +76,26 @@ def test_chunked_blocks_needs_no_union(spark, tmp_path):
     found = catalogue.queries()["chunked_blocks"](spark, str(tmp_path))
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.obs_id, r.n, r.total) for r in found.collect()) == [(k, 1, float(k)) for k in range(1, 101)]
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_filled_shuffles_no_zeros(spark, monkeypatch, limit):
+    from tessera.operators import frame
+
+    monkeypatch.setattr(frame, "FILLED_BYTES", limit)
+    monkeypatch.setattr(frame, "FILLED_COLUMNS", 5)
+    monkeypatch.setattr(frame, "FILLED_CELLS", 100)
+    x = np.random.default_rng(5).integers(0, 3, size=(30, 17)).astype(float)
+    x[4], x[:, 6] = 0, 0
+    m = transforms.normalize_total(_matrix(spark, x))
+    m = m.with_layer("c", transforms.centered(m.X, stats.mean_var(m).select("var_id", "mean", F.sqrt("variance").alias("std")), clip_high=0.5))
+    y = x / np.where(x.sum(1) == 0, 1, x.sum(1) / np.median(x.sum(1)[x.sum(1) > 0]))[:, None]
+    std = y.std(axis=0, ddof=1)
+    for part, want in ((m, np.minimum(0.5, (y - y.mean(0)) / np.where(std == 0, 1, std))), (m[F.col("obs_id") > 3, F.col("var_id") < 9], None)):
+        found = part.filled("c")
+        got = {(r.obs_id, r.var_id): r.value for r in found.collect()}
+        whole = want if want is not None else whole
+        assert len(got) == found.count() == part.n_obs * part.n_vars
+        assert all(abs(v - whole[i, j]) < 1e-9 for (i, j), v in got.items())
+    plan = m.filled("c")._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_held" in plan) == (limit > 0)
