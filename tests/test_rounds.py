@@ -99,3 +99,30 @@ def test_filled_shuffles_no_zeros(spark, monkeypatch, limit):
         assert all(abs(v - whole[i, j]) < 1e-9 for (i, j), v in got.items())
     plan = m.filled("c")._jdf.queryExecution().optimizedPlan().toString()
     assert ("_held" in plan) == (limit > 0)
+
+
+def test_guard_by_rows_leaves_the_cells_in_tasks(spark, monkeypatch):
+    x = np.random.default_rng(6).integers(0, 3, size=(30, 17)).astype(float)
+    x[4] = 0
+    m = _matrix(spark, x)
+    scaled = transforms.scale(m)
+    monkeypatch.setattr(guard, "to_memory", lambda *a: pytest.fail("all cells went to the driver"))
+    monkeypatch.setattr(guard, "ROWS_CELLS", 40)
+
+    def run(m, layer=None):
+        @guard.in_memory(obs=["s", "n"], rows="s double, n string, left long", layer=layer)
+        def work(values, obs, var):
+            assert values.shape == (len(obs), 17) and list(values.columns) == list(var["var_name"])
+            obs["s"], obs["n"], obs["left"] = values.to_numpy() @ np.arange(17), obs["obs_name"] + "!", 1
+
+        return work(m).obs
+
+    found = run(m)
+    assert found.columns == ["obs_id", "obs_name", "s", "n"]
+    got = {r.obs_id: r for r in found.collect()}
+    assert len(got) == 30 and all(r.s == x[k] @ np.arange(17) and r.n == f"o{k}!" for k, r in got.items())
+    z = np.clip((x - x.mean(0)) / np.where(x.std(0, ddof=1) == 0, 1, x.std(0, ddof=1)), -10, 10)
+    assert all(abs(r.s - z[r.obs_id] @ np.arange(17)) < 1e-9 for r in run(scaled, "scaled").collect())
+    assert run(m[F.lit(False)]).count() == 0
+    with pytest.raises(ValueError):
+        guard.in_memory(var=["s"], rows="s double")(lambda values, obs, var: None)
